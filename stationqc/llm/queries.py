@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, quality_rules, sentencepieces, simhash
+from . import chat_format, exact_dedup, language_id, line_dedup, packing, quality_rules, sentencepieces, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.items_of(table(spark, sf_dir, "documents")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality_rules.apply_policy(book).drop("text")
@@ -22,6 +26,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -35,6 +43,24 @@ def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: ``lang`` is the declaration and ``source`` the host."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.select("text", F.col("lang").alias("language")))
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    return language_id.identify(rows, model).withColumnRenamed("id", "doc_id")
+
+
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: declared markup language, host and its suffix, and the text outside tags; the model is that of the documents."""
+    model = language_id.train(table(spark, sf_dir, "documents").select("text", F.col("lang").alias("language")))
+    body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|head|nav|footer)\b.*?</\1>", " "), r"<[^>]*>?", " ")
+    declared = F.nullif(F.regexp_extract("html", r"""(?i)<html[^>]*\blang\s*=\s*["']?([A-Za-z]+)""", 1), F.lit(""))
+    host = F.nullif(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1), F.lit(""))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), body.alias("text"), declared.alias("declared"), host.alias("host"))
+    return language_id.identify(rows, model).withColumnRenamed("id", "page_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -44,11 +70,15 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
+    "op6_line_dedup": op6_line_dedup,
     "op7_chat_windows": op7_chat_windows,
     "op8_sentencepieces": op8_sentencepieces,
+    "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "page_language_id": page_language_id,
     "quality_ablation": quality_ablation,
 }
 
@@ -63,6 +93,19 @@ ORACLE_SQL = {
 SELECT rule, CAST(sum(CASE WHEN (fail_bits & bit) <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed,
   CAST(sum(CASE WHEN (fail_bits & {_STRICT}) = bit THEN 1 ELSE 0 END) AS BIGINT) AS n_regained
 FROM ledger CROSS JOIN rules GROUP BY rule""",
+    "op6_line_dedup": r"""
+WITH l AS (SELECT doc_id, text, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS t, len(ls) AS nl
+  FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+f AS (SELECT *, CAST('0x' || substr(md5(trim(t)), 1, 15) AS BIGINT) % 1000003 AS h, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w FROM l),
+e AS (SELECT *, CASE WHEN (h + 31 * coalesce(lag(h) OVER o, 0)) % 2 = 0 OR w > 50 OR coalesce(lead(w) OVER o, 51) > 50 THEN 1 ELSE 0 END AS stop
+  FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT *, sum(stop) OVER (PARTITION BY doc_id ORDER BY i) - stop AS c FROM e),
+b AS (SELECT doc_id, c, min(i) AS first, count(*) AS n, sum(w) AS words, string_agg(t, chr(10) ORDER BY i) AS body FROM k GROUP BY doc_id, c),
+g AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS r FROM b WHERE (n >= 2 AND words > 0) OR words > 50),
+x AS (SELECT doc_id, c, n FROM g WHERE r > 1),
+s AS (SELECT k.doc_id, min(k.text) AS old, min(k.nl) AS n_lines, string_agg(CASE WHEN x.c IS NULL THEN k.t END, chr(10) ORDER BY i) AS new,
+  count(x.c) AS n_removed_lines, count(DISTINCT x.c) AS n_removed_chunks FROM k LEFT JOIN x ON k.doc_id = x.doc_id AND k.c = x.c GROUP BY k.doc_id)
+SELECT doc_id, CASE WHEN n_removed_lines = 0 THEN old ELSE coalesce(new, '') END AS text, CAST(n_lines AS BIGINT) AS n_lines, n_removed_lines, n_removed_chunks FROM s""",
     "op10_exact_dedup": r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
