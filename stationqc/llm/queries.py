@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, line_dedup, packing, quality_rules, sentencepieces, simhash
+from . import chat_format, exact_dedup, html_extract, language_id, line_dedup, packing, quality_rules, sentencepieces, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.items_of(table(spark, sf_dir, "documents")))
 
@@ -70,6 +75,7 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
