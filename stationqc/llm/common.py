@@ -78,3 +78,39 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"links did not settle within {max_rounds} rounds")
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
+
+
+#: Bits of a slot bitmap: 16 MB, whatever the input.  Too many keys for it only mean more rows to join, never a wrong row.
+SLOT_BITS = 27
+
+
+def slot_bitmap(keys: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
+    """(bucket, bitmap): a bit for each of ``2**bits`` slots that a 64-bit hash in the one column of ``keys`` falls into.
+
+    At most ``2**bits / 32768`` rows of 4 KB, so it may be broadcast.
+    """
+    slot = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - bits)
+    slots = keys.select(slot.alias("slot")).distinct()
+    return slots.groupBy(F.floor(F.col("slot") / 32768).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(32768))).alias("bitmap"))
+
+
+def in_slots(rows: DataFrame, key: Column, bitmap: DataFrame, name: str, bits: int = SLOT_BITS) -> DataFrame:
+    """``rows`` plus ``name``: false means that the hash ``key`` is not among those of the bitmap, true that it may be."""
+    met = rows.withColumn("__slot", F.shiftrightunsigned(key, 64 - bits)).join(F.broadcast(bitmap), F.floor(F.col("__slot") / 32768) == F.col("bucket"), "left")
+    at = F.pmod("__slot", F.lit(32768))
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.get(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.pmod(F.floor(byte / F.pow(F.lit(2), k)), F.lit(2)) == 1), F.pmod(at, F.lit(8)).cast("int"))
+    return met.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__slot", "bucket", "bitmap")
+
+
+def drop_listed(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """``docs`` without rows whose ``keys`` are a row of ``gone`` (stored; columns in that order).  A null key is never listed.
+
+    Only rows whose slot is taken are shuffled to be compared; the others, most of them, stay where they are.
+    """
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(*cols, *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
+    names = [f"__k{i}" for i in range(len(keys))]
+    gone = gone.toDF(*names)
+    marked = in_slots(named, F.xxhash64(*names), slot_bitmap(gone.select(F.xxhash64(*names).alias("h"))), "__maybe")
+    return marked.where("NOT __maybe").select(*cols).unionByName(marked.where("__maybe").join(gone, names, "left_anti").select(*cols))

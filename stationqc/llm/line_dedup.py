@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored, without
+from .common import in_slots, let, slot_bitmap, stored, without
 
 
 def line_hash(line):
@@ -55,8 +55,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = lambda c: F.array_join(F.slice("__lines", c["first"] + 1, c["n"]), "\n")
     found = parts.select(F.col(id_col).alias("__id"), "__key", F.explode(F.transform(chosen, lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), text(c).alias("body")))).alias("c")).select("__id", "__key", "c.*")
 
-    repeated = stored(found.groupBy(F.xxhash64("body").alias("h")).agg(F.count("*").alias("times")).where("times > 1").select("h"), "repeated")
-    suspects = stored(found.withColumn("h", F.xxhash64("body")).join(repeated, "h", "left_semi"), "chunks")
+    repeated = found.groupBy(F.xxhash64("body").alias("h")).agg(F.count("*").alias("times")).where("times > 1").select("h")
+    slots = stored(slot_bitmap(repeated), "repeated")
+    # Only chunks whose slot has a repeated hash are shuffled.
+    suspects = stored(in_slots(found.withColumn("h", F.xxhash64("body")), F.col("h"), slots, "__maybe").where("__maybe").drop("__maybe"), "chunks")
     # The group's key is the chunk's text: equality is that of all bytes.  Copies are combined before the shuffle.
     place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("first").alias("first"))
     firsts = suspects.groupBy("h", "body").agg(F.min(place).alias("p"), F.count("*").alias("times")).where("times > 1").select("h", F.sha2(F.col("body").cast("binary"), 256).alias("sha"), "p")
@@ -64,7 +66,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = slim.join(firsts, ["h", "sha"]).where(~(F.col("p.id").eqNullSafe(F.col("__id")) & (F.col("p.key") == F.col("__key")) & (F.col("p.first") == F.col("first"))))
     removed = stored(gone.groupBy("__id", "__key").agg(F.collect_set(F.struct("first", "n")).alias("__gone")), "removed").withColumnRenamed("__key", "__k")
 
-    joined = keyed.join(removed, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
+    row = F.xxhash64(F.col(f"`{id_col}`"), F.col("__key"))
+    marked = in_slots(keyed, row, stored(slot_bitmap(removed.select(F.xxhash64("__id", "__k").alias("h"))), "affected"), "__maybe")
+    met = marked.where("__maybe").join(removed, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left").drop("__id", "__k")
+    joined = met.unionByName(marked.where("NOT __maybe").withColumn("__gone", F.lit(None).cast(met.schema["__gone"].dataType)))
     split = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
     n_gone = F.aggregate("__gone", F.lit(0), lambda s, g: s + g["n"])
     # lines that stay: between the removed stretches, cut by their sorted bounds, so the work grows with the lines
