@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, without
+from .common import drop_listed, stored
 
 #: Languages that a country's suffix speaks for.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
@@ -165,6 +165,5 @@ def keep_identified(docs: DataFrame, text_col: str = "text", declared_col: str =
     key = F.struct(F.xxhash64(*parts).alias("a"), F.hash(*parts).alias("b"))
     found = identify(docs.select(key.alias("id"), F.col(text_col).alias("text"), F.col(declared_col).alias("declared"), F.col(host_col).alias("host")), model)
     good = F.col("accepted") if languages is None else F.col("accepted") & F.col("language").isin(languages)
-    gone = stored(found.where(~good).select(F.col("id.a").alias("__a"), F.col("id.b").alias("__b")).distinct(), "rejected")
-    cols = [F.col(f"`{c}`") for c in without(docs).columns]
-    return docs.select(*cols, F.xxhash64(*parts).alias("__a"), F.hash(*parts).alias("__b")).join(gone, ["__a", "__b"], "left_anti").select(*cols)
+    gone = stored(found.where(~good).select("id.a", "id.b").distinct(), "rejected")
+    return drop_listed(docs, [F.xxhash64(*parts), F.hash(*parts)], gone)

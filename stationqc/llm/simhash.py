@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored, without
+from .common import connected_components, drop_listed, stored
 
 SEED = 42
 #: Shingle hashes whose bits are counted at once; bounds memory for texts of any length.
@@ -164,6 +164,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """``docs`` with one row of each component, that with its smallest id; same columns.  Rows without an id always stay."""
-    found = near_duplicates(without(docs).select(id_col, text_col), id_col, text_col, radius)
-    extra = stored(found.where("id != component_id").select(F.col("id").alias(id_col)).distinct(), "extra")
-    return docs.join(extra, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, radius)
+    return drop_listed(docs, [F.col(f"`{id_col}`")], stored(found.where("id != component_id").select("id").distinct(), "extra"))
