@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import incidents, qc
+from . import more_queries as _more
 from . import queries as _registered
 from .layers import layers
 
@@ -17,6 +18,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
+    assert _more
     return dict(_registered.QUERIES)
 
 
