@@ -75,22 +75,20 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     less = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     read = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).withColumn("__w", words(F.col("__text")))
     read = read.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    measured = read.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        *[
-            v.cast("long").alias(k)
-            for k, v in {
-                "n_words": F.size("__w"),
-                "word_chars": F.length(F.array_join("__w", "")),
-                "n_symbols": less(SYMBOLS),
-                "n_lines": F.size("__lines"),
-                "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
-                "n_repeat_words": repeat_words(F.col("__w")),
-                "n_bangs": less("!"),
-                "n_upper": less(UPPER),
-            }.items()
-        ],
-    )
+    measures = {
+        "n_words": F.size("__w"),
+        "word_chars": F.length(F.array_join("__w", "")),
+        "n_symbols": less(SYMBOLS),
+        "n_lines": F.size("__lines"),
+        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
+        "n_repeat_words": repeat_words(F.col("__w")),
+        "n_bangs": less("!"),
+        "n_upper": less(UPPER),
+    }
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    # Exploding one struct keeps a later filter from being pushed down, which would measure anew wherever a rule reads a measurement.
+    once = F.explode(F.array(F.struct(*[v.cast("long").alias(k) for k, v in measures.items()])))
+    measured = read.select(*cols, once.alias("__m")).select(*cols, "__m.*")
     bits = [F.when(F.expr(rule), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, rule in enumerate(RULES.values())]
     total = bits[0]
     for b in bits[1:]:
