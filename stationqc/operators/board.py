@@ -42,7 +42,12 @@ def station_timeline(evidence: DataFrame, minutes: int = 120) -> DataFrame:
     last = evidence.agg(F.max("minute").alias("last"))
     rows = evidence.crossJoin(F.broadcast(last)).where(F.col("minute") > F.col("last") - minutes)
     good = {"T": F.col("T_raw") > -90, "P": F.col("P_raw") > 1, "RH": F.col("RH_raw") > -90}
-    point = F.struct("minute", *[F.round(F.when(good[v], F.col(f"{v}_raw")), 2).alias(v) for v in VARS], *[F.round(f"{k}_{v}", 2).alias(f"{k}_{v}") for v in VARS for k in ("exp", "exp_lo", "exp_hi")], F.round("prob", 3).alias("prob"), F.round(F.least("ts", F.lit(5.0)), 2).alias("ts"))
+    # the nudge makes decimal halves round up, whatever their last bit
+    near = lambda x, n: F.round(x + 1.3e-8, n)
+    point = F.struct(
+        "minute", *[near(F.when(good[v], F.col(f"{v}_raw")), 2).alias(v) for v in VARS], *[near(F.col(f"{k}_{v}"), 2).alias(f"{k}_{v}") for v in VARS for k in ("exp", "exp_lo", "exp_hi")],
+        near(F.col("prob"), 3).alias("prob"), near(F.least("ts", F.lit(5.0)), 2).alias("ts"),
+    )
     return rows.groupBy("station").agg(F.array_sort(F.collect_list(point)).alias("points"))
 
 

@@ -11,7 +11,7 @@ from . import fixtures
 
 
 #: Layers that several later ones read: kept on disk.  SMALL ones have a row a station or an incident.
-WIDE, SMALL = {"features", "residuals", "scored"}, {"climate", "edges", "spatial", "alerts", "incidents"}
+WIDE, SMALL = {"features", "residuals", "scored", "masked", "expected"}, {"climate", "edges", "spatial", "alerts", "incidents"}
 
 
 class Layers:

@@ -53,7 +53,7 @@ def _written(x: Layers) -> DataFrame:
 
 query("s6_write_alerts", _written, build("alerts", "SELECT 'fault' AS kind, count(*) AS n FROM alerts"))
 _POINTS = "prob ts T P RH " + of("exp exp_lo exp_hi")
-_SHOWN = "round(prob, 3) + 0.0 AS prob, round(least(ts, 5.0), 2) + 0.0 AS ts, round(CASE WHEN T_raw > -90 THEN T_raw END, 2) + 0.0 AS T, round(CASE WHEN P_raw > 1 THEN P_raw END, 2) + 0.0 AS P, round(CASE WHEN RH_raw > -90 THEN RH_raw END, 2) + 0.0 AS RH, " + ", ".join(f"round({c}, 2) + 0.0 AS {c}" for c in of("exp exp_lo exp_hi").split())
+_SHOWN = "round(prob + 1.3e-8, 3) + 0.0 AS prob, round(least(ts, 5.0) + 1.3e-8, 2) + 0.0 AS ts, round(CASE WHEN T_raw > -90 THEN T_raw END + 1.3e-8, 2) + 0.0 AS T, round(CASE WHEN P_raw > 1 THEN P_raw END + 1.3e-8, 2) + 0.0 AS P, round(CASE WHEN RH_raw > -90 THEN RH_raw END + 1.3e-8, 2) + 0.0 AS RH, " + ", ".join(f"round({c} + 1.3e-8, 2) + 0.0 AS {c}" for c in of("exp exp_lo exp_hi").split())
 query(
     "s8_station_timeline",
     lambda x: board.station_timeline(x.expected).select("station", F.explode("points").alias("p")).select("station", "p.minute", *[(F.col(f"p.{c}") + 0.0).alias(c) for c in _POINTS.split()]),
@@ -101,9 +101,9 @@ query("i11_contributions", lambda x: x.incidents.select("station", "run_onset",
 query("j10_corrected_value", lambda x: pick(x.incidents.select("station", "run_onset", F.explode("corrected").alias("c")).select("station", "run_onset", "c.*"), "station run_onset var", "observed corrected"))
 
 # ------------------------------------------------------------------ events
-_MOVES = 'mv AS (SELECT station, minute, T, P, RH, abs(T - lag(T) OVER (PARTITION BY station ORDER BY minute)) AS jump FROM masked), near AS (SELECT w.station, w.start, w."end" AS stop, m.minute - w.start AS rel, m.T, m.P, m.RH, m.jump FROM weather w JOIN mv m ON m.station = w.station AND m.minute >= w.start - 60 AND m.minute < w.start + 60)'
+_MOVES = 'mv AS (SELECT station, minute, T, P, RH, abs(T - lag(T) OVER (PARTITION BY station ORDER BY minute)) AS jump FROM masked), around AS (SELECT w.station, w.start, w."end" AS stop, m.minute - w.start AS rel, m.T, m.P, m.RH, m.jump FROM weather w JOIN mv m ON m.station = w.station AND m.minute >= w.start - 60 AND m.minute < w.start + 60)'
 _MED = lambda v, a, b: f"quantile_cont(CASE WHEN rel >= {a} AND rel < {b} THEN {v} END, 0.5)"
-_KIND = f"""{_MOVES}, agg AS (SELECT station, start, stop, {', '.join(f"{_MED(v, 0, 40)} - {_MED(v, -60, -5)} AS d{v}" for v in VARS)}, {_MED('RH', 0, 60)} AS rh, max(CASE WHEN rel >= 1 AND rel < 15 THEN jump END) AS jump FROM near GROUP BY station, start, stop)
+_KIND = f"""{_MOVES}, agg AS (SELECT station, start, stop, {', '.join(f"{_MED(v, 0, 40)} - {_MED(v, -60, -5)} AS d{v}" for v in VARS)}, {_MED('RH', 0, 60)} AS rh, max(CASE WHEN rel >= 1 AND rel < 15 THEN jump END) AS jump FROM around GROUP BY station, start, stop)
 SELECT station, start, stop AS "end", CASE WHEN dT >= 3 THEN 'Heatwave' WHEN dT <= -2.5 AND dRH >= 5 AND abs(dP) < 4 THEN CASE WHEN start > 0 AND stop > start + 1 AND jump > 0.3 THEN 'Thunderstorm outflow' ELSE 'Cold front' END
   WHEN dT <= -2.5 THEN 'Cold front' WHEN rh >= 95 AND dT <= 0 THEN 'Fog' ELSE 'Weather change' END AS kind, {r6('dT dP dRH')} FROM agg"""
 query("i13_weather_kind", lambda x: pick(events.weather_kind(incidents.weather_runs(x.masked), x.masked), "station start end kind", "dT dP dRH"), build("weather", "").rstrip() + ", " + _KIND)
