@@ -13,12 +13,14 @@ from ..constants import NOISE, STEP, STUCK, VARS
 from ..functions.physics import dewpoint, hour_interp
 from .qc import no_false
 
-W = Window.partitionBy("station").orderBy("minute")
+def by_minute():
+    """Station by minute: the one window of all features (made on use: it needs a session)."""
+    return Window.partitionBy("station").orderBy("minute")
 
 
 def _median_before(x: str) -> Column:
     """Median of the 30 rows before, if 15 at least are there."""
-    frame = W.rowsBetween(-30, -1)
+    frame = by_minute().rowsBetween(-30, -1)
     return F.when(F.count(x).over(frame) >= 15, F.percentile(x, F.lit(0.5)).over(frame))
 
 
@@ -33,12 +35,12 @@ def changes(climate: DataFrame) -> DataFrame:
     new: dict[str, Column] = {}
     for v in VARS:
         x, c = F.col(v), F.col(f"cl_{v}")
-        new[f"d1_{v}"] = x - F.lag(v, 1).over(W)
-        new[f"d5_{v}"] = x - F.lag(v, 5).over(W) - (c - F.lag(c, 5).over(W))
-        new[f"innov_{v}"] = x - _median_before(v) - (c - F.lag(c, 15).over(W))
-        new[f"same_{v}"] = no_false(x == F.lag(v, 1).over(W))
+        new[f"d1_{v}"] = x - F.lag(v, 1).over(by_minute())
+        new[f"d5_{v}"] = x - F.lag(v, 5).over(by_minute()) - (c - F.lag(c, 5).over(by_minute()))
+        new[f"innov_{v}"] = x - _median_before(v) - (c - F.lag(c, 15).over(by_minute()))
+        new[f"same_{v}"] = no_false(x == F.lag(v, 1).over(by_minute()))
     new["td_innov"] = F.col("td") - _median_before("td")
-    new["td_d1"] = F.col("td") - F.lag("td", 1).over(W)
+    new["td_d1"] = F.col("td") - F.lag("td", 1).over(by_minute())
     return out.withColumns(new)
 
 
@@ -46,9 +48,9 @@ def spreads_and_runs(moved: DataFrame) -> DataFrame:
     """Adds per variable dsd (deviation of d1 over 10 rows, 6 at least, in units of noise) and run (rows equal to the one before, so far)."""
     new: dict[str, Column] = {}
     for v in VARS:
-        frame = W.rowsBetween(-9, 0)
+        frame = by_minute().rowsBetween(-9, 0)
         new[f"dsd_{v}"] = F.when(F.count(f"d1_{v}").over(frame) >= 6, F.stddev_samp(f"d1_{v}").over(frame) / NOISE[v])
-        broke = F.max(F.when(~F.col(f"same_{v}"), F.col("minute"))).over(W.rowsBetween(Window.unboundedPreceding, 0))
+        broke = F.max(F.when(~F.col(f"same_{v}"), F.col("minute"))).over(by_minute().rowsBetween(Window.unboundedPreceding, 0))
         new[f"run_{v}"] = F.col("minute") - broke
     return moved.withColumns(new).drop(*[f"same_{v}" for v in VARS])
 
@@ -87,7 +89,7 @@ def feature_vector(featured: DataFrame) -> DataFrame:
 
 def recently(flag: Column, rows: int = 30) -> Column:
     """True if ``flag`` was in the last ``rows`` rows, this one included."""
-    return F.max(flag.cast("int")).over(W.rowsBetween(1 - rows, 0)) > 0
+    return F.max(flag.cast("int")).over(by_minute().rowsBetween(1 - rows, 0)) > 0
 
 
 FUSION = ["f_if", "f_ae", "f_bad", "f_stuck", "f_step", "f_ph", "f_dsd"] + [f"f_{z}_{v}" for z in ("zl", "zi") for v in VARS] + ["f_has_nb", "f_nb_ts"]

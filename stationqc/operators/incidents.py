@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..constants import ACTION, CAUSE, HARD_P, LABEL, NAMES, NOISE, RANGE, SENSORS, SEVERITIES, SEVERITY, STEP, THRESHOLD, TOLERANCE, UNITS, VARS
 from ..functions.physics import array_median
 from ..functions.text import plain, signed
-from .features import W
+from .features import by_minute
 from .qc import last_minute, no_false
 
 KEY = ["station", "run_onset"]
@@ -21,8 +21,8 @@ KEY = ["station", "run_onset"]
 
 def _sessions(acts: DataFrame, gap: int) -> DataFrame:
     """Adds session: it grows where the distance from the act row before exceeds ``gap``."""
-    fresh = F.coalesce(F.col("minute") - F.lag("minute").over(W) > gap, F.lit(True)).cast("long")
-    return acts.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(W.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+    fresh = F.coalesce(F.col("minute") - F.lag("minute").over(by_minute()) > gap, F.lit(True)).cast("long")
+    return acts.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(by_minute().rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
 
 
 def group_runs(rows: DataFrame, mask: Column, gap: int) -> DataFrame:
@@ -40,7 +40,7 @@ def detect_runs(rows: DataFrame, act: Column, instant: Column | None = None, nee
         raise ValueError("win must not exceed close")
     one = no_false(act) if instant is None else no_false(act) | no_false(instant)
     base = rows.select("station", "minute", one.alias("act"), (no_false(instant) if instant is not None else F.lit(False)).alias("now"))
-    seen = F.sum(F.col("act").cast("int")).over(W.rowsBetween(1 - win, 0))
+    seen = F.sum(F.col("act").cast("int")).over(by_minute().rowsBetween(1 - win, 0))
     base = base.withColumn("sm", F.when(F.col("now"), F.greatest(seen, F.lit(need))).otherwise(seen))
     found = _sessions(base.where("act"), close)
     found = found.withColumn("detect", F.min(F.when(F.col("sm") >= need, F.col("minute"))).over(Window.partitionBy("station", "session")))
