@@ -284,7 +284,7 @@ def _training(x: Layers) -> DataFrame:
 query(
     "u2_training_rows", lambda x: pick(_training(x).groupBy("label", F.round("f_has_nb", 6).alias("f_has_nb")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight")), "n", "label f_has_nb weight"),
     build("hard", "").rstrip() + f""", {_W14}, u AS (SELECT CASE WHEN h.anom <> '' THEN 1.0 ELSE 0.0 END AS label, CASE WHEN h.has_nb THEN 1.0 ELSE 0.0 END AS f_has_nb, w.weight FROM hard h JOIN weights w ON w.station = h.station AND w.minute = h.minute),
-b AS (SELECT * FROM u UNION ALL SELECT label, 0.0, weight * 0.35 FROM u), c AS (SELECT CAST(label AS DOUBLE) AS label, CAST(f_has_nb AS DOUBLE) AS f_has_nb, count(*) AS n, CAST(sum(CASE WHEN label = 1 THEN weight * 3 ELSE weight END) AS DOUBLE) AS weight FROM b WHERE weight > 0 GROUP BY 1, 2) SELECT n, {r6('label f_has_nb weight')} FROM c""",
+bu AS (SELECT * FROM u UNION ALL SELECT label, 0.0, weight * 0.35 FROM u), cu AS (SELECT CAST(label AS DOUBLE) AS label, CAST(f_has_nb AS DOUBLE) AS f_has_nb, count(*) AS n, CAST(sum(CASE WHEN label = 1 THEN weight * 3 ELSE weight END) AS DOUBLE) AS weight FROM bu WHERE weight > 0 GROUP BY 1, 2) SELECT n, {r6('label f_has_nb weight')} FROM cu""",
 )
 _vector = lambda x: features.feature_vector(x.features)
 query("m1_sample_rows", lambda x: models.sample_rows(_vector(x), 2000).select("station", "minute"))
