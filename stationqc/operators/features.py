@@ -1,26 +1,45 @@
 """Features over a station's own history.  All look back only, so batch and stream share them.
 
 Every window has one specification, station by minute: one shuffle and one sort serve them all.  Rows must be dense (see
-``sources.densify``): offsets count rows.
+``sources.densify``): offsets count rows.  Long histories can be cut into parts (see ``cut_history``), so that one
+station's rows meet in many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..constants import NOISE, STEP, STUCK, VARS
 from ..functions.physics import dewpoint, hour_interp
 from .qc import no_false
 
-def by_minute():
+#: Rows that the furthest feature looks back.
+BACK = 30
+
+
+def by_minute() -> WindowSpec:
     """Station by minute: the one window of all features (made on use: it needs a session)."""
     return Window.partitionBy("station").orderBy("minute")
 
 
-def _median_before(x: str) -> Column:
+def by_part() -> WindowSpec:
+    return Window.partitionBy("station", "part").orderBy("minute")
+
+
+def cut_history(rows: DataFrame, length: int) -> DataFrame:
+    """``rows`` plus part (minute by ``length``) and lead: a part's last rows come again, with lead, before the next part.
+
+    ``BACK / length`` more rows, for as many tasks a station as it has parts.
+    """
+    part, lead = F.floor(F.col("minute") / length), F.pmod("minute", F.lit(length)) >= length - BACK
+    own, again = F.struct(part.alias("part"), F.lit(False).alias("lead")), F.struct((part + 1).alias("part"), F.lit(True).alias("lead"))
+    return rows.select("*", F.inline(F.when(lead, F.array(own, again)).otherwise(F.array(own))))
+
+
+def _median_before(x: str, over: WindowSpec) -> Column:
     """Median of the 30 rows before, if 15 at least are there."""
-    frame = by_minute().rowsBetween(-30, -1)
+    frame = over.rowsBetween(-BACK, -1)
     return F.when(F.count(x).over(frame) >= 15, F.percentile(x, F.lit(0.5)).over(frame))
 
 
@@ -29,30 +48,47 @@ def with_climate(checked: DataFrame, profile: DataFrame) -> DataFrame:
     return checked.join(profile.select("station", *[f"clim_{v}" for v in VARS]), "station", "left").withColumns({f"cl_{v}": hour_interp(F.col(f"clim_{v}"), F.col("minute")) for v in VARS}).drop(*[f"clim_{v}" for v in VARS])
 
 
-def changes(climate: DataFrame) -> DataFrame:
+def changes(climate: DataFrame, over: WindowSpec | None = None) -> DataFrame:
     """Adds td, and per variable d1, d5, innov; td_innov, td_d1."""
+    over = over or by_minute()
     out = climate.withColumn("td", dewpoint(F.col("T"), F.col("RH")))
     new: dict[str, Column] = {}
     for v in VARS:
         x, c = F.col(v), F.col(f"cl_{v}")
-        new[f"d1_{v}"] = x - F.lag(v, 1).over(by_minute())
-        new[f"d5_{v}"] = x - F.lag(v, 5).over(by_minute()) - (c - F.lag(c, 5).over(by_minute()))
-        new[f"innov_{v}"] = x - _median_before(v) - (c - F.lag(c, 15).over(by_minute()))
-        new[f"same_{v}"] = no_false(x == F.lag(v, 1).over(by_minute()))
-    new["td_innov"] = F.col("td") - _median_before("td")
-    new["td_d1"] = F.col("td") - F.lag("td", 1).over(by_minute())
+        new[f"d1_{v}"] = x - F.lag(v, 1).over(over)
+        new[f"d5_{v}"] = x - F.lag(v, 5).over(over) - (c - F.lag(c, 5).over(over))
+        new[f"innov_{v}"] = x - _median_before(v, over) - (c - F.lag(c, 15).over(over))
+        new[f"same_{v}"] = no_false(x == F.lag(v, 1).over(over))
+    new["td_innov"] = F.col("td") - _median_before("td", over)
+    new["td_d1"] = F.col("td") - F.lag("td", 1).over(over)
     return out.withColumns(new)
 
 
-def spreads_and_runs(moved: DataFrame) -> DataFrame:
-    """Adds per variable dsd (deviation of d1 over 10 rows, 6 at least, in units of noise) and run (rows equal to the one before, so far)."""
+def spreads_and_runs(moved: DataFrame, over: WindowSpec | None = None) -> DataFrame:
+    """Adds per variable dsd (deviation of d1 over 10 rows, 6 at least, in units of noise) and run (rows equal to the one before, so far).
+
+    With ``over`` (see ``by_part``) a run that goes on from an earlier part starts at that part's last change.
+    """
     new: dict[str, Column] = {}
+    before = _changes_before(moved) if over else None
     for v in VARS:
-        frame = by_minute().rowsBetween(-9, 0)
+        frame = (over or by_minute()).rowsBetween(-9, 0)
         new[f"dsd_{v}"] = F.when(F.count(f"d1_{v}").over(frame) >= 6, F.stddev_samp(f"d1_{v}").over(frame) / NOISE[v])
-        broke = F.max(F.when(~F.col(f"same_{v}"), F.col("minute"))).over(by_minute().rowsBetween(Window.unboundedPreceding, 0))
-        new[f"run_{v}"] = F.col("minute") - broke
-    return moved.withColumns(new).drop(*[f"same_{v}" for v in VARS])
+        changed = ~F.col(f"same_{v}") & ~F.col("lead") if over else ~F.col(f"same_{v}")
+        broke = F.max(F.when(changed, F.col("minute"))).over((over or by_minute()).rowsBetween(Window.unboundedPreceding, 0))
+        new[f"run_{v}"] = broke if over else F.col("minute") - broke
+    out = moved.withColumns(new).drop(*[f"same_{v}" for v in VARS])
+    if before is None:
+        return out
+    met = out.where("NOT lead").join(before, ["station", "part"], "left")
+    return met.withColumns({f"run_{v}": F.col("minute") - F.coalesce(f"run_{v}", f"before_{v}") for v in VARS}).drop("part", "lead", *[f"before_{v}" for v in VARS])
+
+
+def _changes_before(moved: DataFrame) -> DataFrame:
+    """station, part and before_T, before_P, before_RH: the last change in any earlier part.  One row a part, so its window is short."""
+    last = moved.where("NOT lead").groupBy("station", "part").agg(*[F.max(F.when(~F.col(f"same_{v}"), F.col("minute"))).alias(f"last_{v}") for v in VARS])
+    earlier = Window.partitionBy("station").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return last.select("station", "part", *[F.max(f"last_{v}").over(earlier).alias(f"before_{v}") for v in VARS])
 
 
 def flags(featured: DataFrame) -> DataFrame:
@@ -71,8 +107,18 @@ def flags(featured: DataFrame) -> DataFrame:
     )
 
 
-def features(checked: DataFrame, profile: DataFrame) -> DataFrame:
-    return flags(spreads_and_runs(changes(with_climate(checked, profile))))
+def features(checked: DataFrame, profile: DataFrame, part: int | None = None) -> DataFrame:
+    """All features.  ``part`` cuts histories to so many minutes (more than ``BACK``), with the same result.
+
+    Uncut, a station is one task and one shuffle does.  Cut, the values are shuffled once more, alone, for the changes
+    before each part: worth it where stations are fewer than cores or have many years.
+    """
+    climate = with_climate(checked, profile)
+    if part is None:
+        return flags(spreads_and_runs(changes(climate)))
+    if part <= BACK:
+        raise ValueError(f"a part needs more than {BACK} minutes")
+    return flags(spreads_and_runs(changes(cut_history(climate, part), by_part()), by_part()))
 
 
 VECTOR = [f"{k}_{v}" for v in VARS for k in ("d1", "d5", "innov", "dsd", "lrun")] + ["td_innov", "td_d1"]

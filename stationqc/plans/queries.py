@@ -53,6 +53,7 @@ table("w5_run", lambda x: x.features, KEY + of("run"), "", "feat", "feat")
 table("w6_dew_point_change", lambda x: x.features, KEY, "td td_innov td_d1", "feat", "feat")
 table("w7_step_stuck", lambda x: x.features, KEY + of("step stuck") + " step_any stuck_any", "", "feat", "feat")
 table("w8_physics_and_spread", lambda x: x.features, KEY, "ph dsd_max", "feat", "feat")
+table("w16_cut_history", lambda x: features.features(x.checked, x.climate, part=480), KEY + of("run stuck"), of("d1 innov dsd"), "feat", "feat")
 table("w9_recently_flagged", lambda x: x.scored.withColumn("excluded", features.recently(F.col("prob") >= 0.5)), KEY + "excluded", "", "excl", "excl")
 table("w15_hour_interp", lambda x: features.with_climate(x.checked, x.climate), KEY, of("cl"), "cl", "cl")
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -50,6 +51,23 @@ def test_features_against_pandas(spark):
     assert got["innov_T"].isna().tolist()[:15] == (x - base).isna().tolist()[:15]
 
 
+def test_cut_histories_give_the_same_features(spark):
+    rng = np.random.default_rng(5)
+    t = np.round(25 + rng.normal(0, 0.3, 300).cumsum() * 0.1, 2)
+    t[45:180] = t[45]  # a run over several parts
+    t[200:204] = np.nan
+    rows = panel(spark, [(None if np.isnan(x) else x, 1000 + 0.1 * i % 3, 50 + i % 7) for i, x in enumerate(t)])
+    checked = qc.checked(rows)
+    climate = profile.climate_profile(checked)
+    whole = features.features(checked, climate)
+    want = whole.orderBy("minute").collect()
+    for part in (31, 50, 1000):
+        got = features.features(checked, climate, part).select(*whole.columns).orderBy("minute").collect()
+        assert [str(r) for r in got] == [str(r) for r in want]
+    with pytest.raises(ValueError):
+        features.features(checked, climate, 30)
+
+
 def literal_runs(act, instant, need, win, close):
     """The minute-by-minute rule."""
     n, out, t = len(act), [], 0
