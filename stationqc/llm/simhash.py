@@ -163,6 +163,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """``docs`` with one row of each component, that with its smallest id; same columns.  Rows without an id always stay."""
+    """``docs`` with one row of each component, that with its smallest id; same columns.
+
+    Rows without an id always stay, and rows that share a component's smallest id all do.
+    """
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, radius)
     return drop_listed(docs, [F.col(f"`{id_col}`")], stored(found.where("id != component_id").select("id").distinct(), "extra"))

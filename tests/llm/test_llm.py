@@ -121,6 +121,8 @@ def test_components(spark):
 
 def test_quality_rules(spark, odd, none):
     junk = ["".join(f"word{i}*** " for i in range(80)), "".join(f"WORD{i}!! " for i in range(80)), " ".join(f"clean{i} word{i} number{i}" for i in range(40))]
+    plain = " ".join(f"clean{i} word{i}" for i in range(30))
+    junk += [f"said twice\n{plain}\nsaid twice", f"{plain}\nx\nx\nx\nx\nx"]  # one repeated line is no defect, many are
     df = docs(spark, [*TEXTS, *junk])
     got = {r.doc_id: r for r in quality_rules.apply_policy(quality_rules.ledger(df)).collect()}
     for i, t in enumerate([*TEXTS, *junk]):
@@ -130,7 +132,7 @@ def test_quality_rules(spark, odd, none):
         assert (got[i].n_words, got[i].n_repeat_words, got[i].word_chars) == (len(w), len(hit), sum(map(len, w)))
         assert got[i].base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
     n = len(TEXTS)
-    assert [got[n + k].kept for k in range(3)] == [False, False, True]
+    assert [got[n + k].kept for k in range(5)] == [False, False, True, True, False] and not got[n + 4].base_failed
     assert quality_rules.keep_good(df).columns == df.columns and quality_rules.keep_good(df).count() == sum(r.kept for r in got.values())
     regained = {r.rule: r.n_regained for r in quality_rules.ablation(quality_rules.ledger(df)).collect()}
     assert regained["symbols"] == 1
