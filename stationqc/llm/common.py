@@ -114,3 +114,13 @@ def drop_listed(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFra
     gone = gone.toDF(*names)
     marked = in_slots(named, F.xxhash64(*names), slot_bitmap(gone.select(F.xxhash64(*names).alias("h"))), "__maybe")
     return marked.where("NOT __maybe").select(*cols).unionByName(marked.where("__maybe").join(gone, names, "left_anti").select(*cols))
+
+
+def keep_first(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` (stored, with their number in ``__row``) with one of each component of ``members`` (row, id, component): that with the smallest id, null ids last.
+
+    Rows that are no member stay.  The column ``__row`` goes.
+    """
+    keep = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("k")).select(F.col("k.row").alias("row"))
+    gone = stored(members.join(keep, "row", "left_anti").select("row"), "extra")
+    return drop_listed(rows, [F.col("__row")], gone).drop("__row")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from stationqc.llm import chat_format, exact_dedup, html_extract, language_id, language_model, line_dedup, packing, quality_rules, sentencepieces, simhash
+from stationqc.llm import chat_format, exact_dedup, html_extract, language_id, language_model, line_dedup, near_copies, packing, quality_rules, sentencepieces, simhash
 from stationqc.llm.common import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -94,6 +94,42 @@ def test_simhash_against_all_pairs(spark, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_near_copies_of_wider_distance_go(spark, none):
+    """Copies with changed words, which differ in more than two bits: a chain, a family, a repeated id, a null id."""
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(60, 300))) for _ in range(60)]
+
+    def changed(t, k):
+        w = t.split()
+        for at in rng.sample(range(len(w)), k):
+            w[at] = "changed"
+        return " ".join(w)
+
+    near = [changed(t, 1 + len(t.split()) // 150) for t in base[:30]] + [changed(base[0], 1) for _ in range(20)]
+    half = [changed(t, 12) for t in base[30:40]]  # candidates at most, but under the similarity
+    texts = [*base, *near, *half, "", None, "a b", "A  b"]
+    sets = [near_copies.shingles(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near_copies.similarity(sets[i], sets[j]) >= 0.8]
+    for i, j in pairs:
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
+    assert sum(bin(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).count("1") > 2 for i, j in pairs) > 30
+    got = near_copies.drop_similar(docs(spark, texts))
+    assert got.columns == docs(spark, texts).columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted({root(i) for i in range(len(texts))})
+    rows = [(1, base[0], "en", "s"), (2, near[0], "en", "s"), (2, base[1], "en", "s"), (None, base[2], "en", "s"), (3, near[2], "en", "s"), (3, near[2], "en", "s")]
+    left = near_copies.drop_similar(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([(1, base[0]), (2, base[1]), (3, near[2])])
+    assert near_copies.drop_similar(none).count() == 0
+
+
 def test_local_forest_links_everything_across_tiles():
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 2**63, 30).astype(np.uint64)
