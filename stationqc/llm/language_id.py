@@ -5,6 +5,8 @@ For each row the posterior over the languages multiplies
 * the likelihood of the declared markup language, from a confusion table counted over all rows,
 * the likelihood of the address suffix, where it is a country's, and
 * a host prior, smoothed hierarchically: host towards its domain, domain towards all rows.
+A hypothesis more, 'unknown', says that the text is in none of the languages: its trigrams are uniform over the buckets.
+Texts of another language or of random letters are likelier under it than under any language, and are not accepted.
 The prior counts are the text posteriors of all rows, summed by grouped aggregation; a hot host is combined before any
 shuffle.  Texts are read once by the scorer; everything after works on a few numbers a row.
 """
@@ -24,6 +26,8 @@ from .common import drop_listed, stored
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 #: Probability that a country's suffix says its language, however the page reads.
 SUFFIX_TRUST = 0.8
+#: Prior probability that a text is in none of the labelled languages.
+UNKNOWN = 0.01
 #: Bytes that are scored at once.
 STEP = 1 << 20
 
@@ -84,18 +88,19 @@ def train(labelled: DataFrame, sample_rows: int = 8000, buckets: int = 1 << 14,
     return TrigramModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
-def _normal(a: Column) -> Column:
-    """Log-weights to probabilities."""
-    top = F.array_max(a)
+def _normal(a: Column, unknown: Column) -> Column:
+    """Log-weights to probabilities; what ``unknown``, the log-weight of no language, takes is missing from their sum."""
+    top = F.greatest(F.array_max(a), unknown)
     e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.exp(unknown - top), lambda s, y: s + y))
 
 
 def identify(rows: DataFrame, model: TrigramModel, text_weight: float = 40.0, strength: float = 20.0, least: float = 0.6) -> DataFrame:
     """``rows`` (id, text, declared, host; others are ignored) to id, language, posterior, text_language, text_posterior, accepted.
 
     ``text_weight`` caps the trigrams that count as independent evidence; ``strength`` is how many rows a parent level
-    weighs in a host's prior; a posterior under ``least`` is no identification.  A null or empty text has no likelihood,
+    weighs in a host's prior; a posterior under ``least`` is no identification.  Posteriors share one with that
+    of 'unknown' (see above), so they are low where no language explains the text; the likeliest is named all the same.  A null or empty text has no likelihood,
     a null declaration or host no say.  A text without letters, or a model without languages, is not accepted, with a null
     language.  Ties go to the first language in alphabetical order.  One row comes out per row, repeated ones too.
     """
@@ -114,10 +119,12 @@ def identify(rows: DataFrame, model: TrigramModel, text_weight: float = 40.0, st
     given = rows.select("id", F.col("text").cast("string").alias("text"), F.lower(F.split(F.col("declared").cast("string"), "[-_]")[0]).alias("declared"), F.lower(F.col("host").cast("string")).alias("host"))
     scored = given.mapInArrow(score, f"id {given.schema['id'].dataType.simpleString()}, declared string, host string, mean array<double>, n long")
     loglik = F.transform("mean", lambda m: m * F.least(F.col("n").cast("double"), F.lit(text_weight)))
+    # 'unknown' has flat evidence beside the text: the shares that it would have among even values
+    nowhere = -float(np.log(len(model.table))) * F.least(F.col("n").cast("double"), F.lit(text_weight)) + float(np.log(UNKNOWN / (1 - UNKNOWN)))
     names = F.array(*map(F.lit, langs))
     said = F.when(F.col("declared").isNull() | (F.trim("declared") == ""), F.lit("-")).when(F.col("declared").isin(langs), F.col("declared")).otherwise("other")
     kept = stored(
-        scored.select("id", said.alias("declared"), "host", F.regexp_extract("host", r"([^.]+(?:\.[^.]+)?)$", 1).alias("domain"), loglik.alias("ll"), "n").withColumn("tp", F.when(F.col("n") > 0, _normal(F.col("ll")))), "language"
+        scored.select("id", said.alias("declared"), "host", F.regexp_extract("host", r"([^.]+(?:\.[^.]+)?)$", 1).alias("domain"), loglik.alias("ll"), "n").withColumn("tp", F.when(F.col("n") > 0, _normal(F.col("ll"), nowhere + float(np.log(len(langs)))))), "language"
     )
 
     # Confusion of declarations and the overall prior: a few cells.
@@ -142,7 +149,10 @@ def identify(rows: DataFrame, model: TrigramModel, text_weight: float = 40.0, st
     joined = kept.join(priors, "host", "left").withColumn("prior", F.coalesce("hp", F.array(*[F.lit(float(p)) for p in prior])))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     weights = add(add(add(F.transform("prior", lambda p: F.ln(p)), F.coalesce(declared, F.array(*map(F.lit, flat)))), suffix), F.when(F.col("n") > 0, F.col("ll")).otherwise(F.array(*map(F.lit, flat))))
-    done = joined.select("id", "n", "tp", _normal(weights).alias("post"))
+    even = nowhere - F.when(F.col("declared") == "-", 0.0).otherwise(float(np.log(len(values))))
+    if by_suffix:
+        even = even - F.when(F.coalesce(F.regexp_extract("host", r"\.([^.]+)$", 1).isin(list(by_suffix)), F.lit(False)), float(np.log(len(langs)))).otherwise(0.0)
+    done = joined.select("id", "n", "tp", _normal(weights, even).alias("post"))
     best = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
     found = F.col("n") > 0
     return done.select(

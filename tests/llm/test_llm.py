@@ -311,6 +311,23 @@ def test_language_id(spark, none):
     assert language_id.keep_identified(none).count() == 0
 
 
+def test_language_id_knows_what_it_does_not_know(spark):
+    """Texts of a language without labels, and of random letters, whatever they are declared as, are not accepted."""
+    rng = random.Random(4)
+    en, fr = "the cat and the dog are in the house with us and we like that they sat there then", "le chat et le chien sont dans la maison avec nous et nous aimons cela quand elle est la"
+    said = lambda t: " ".join(rng.choice(t.split()) for _ in range(60))
+    rows = [(i, said((en, fr)[i % 2]), ("en", "fr")[i % 2], "a.example.com") for i in range(200)]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa"
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах"
+    letters = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(40)) for _ in range(8)]
+    rows += [(1000 + i, t, d, "a.example.com") for i, t in enumerate([polish, russian, *letters]) for d in (None, "fr", "pl")]
+    df = spark.createDataFrame(rows, DOCS)
+    model = language_id.train(df.where("doc_id < 200").selectExpr("text", "lang AS language"))
+    got = language_id.identify(df.selectExpr("doc_id AS id", "text", "lang AS declared", "source AS host"), model).collect()
+    assert {r.id for r in got if r.accepted} == set(range(200)) and all(r.language and r.posterior < 0.6 for r in got if r.id >= 1000)
+    assert {r.doc_id for r in language_id.keep_identified(df, model=model).collect()} == set(range(200))
+
+
 def test_language_model(spark, none):
     rng = random.Random(3)
     texts = [" ".join(rng.choice((["the", "of", "and", "cat"], ["le", "de", "et", "chat"])[i % 2]) for _ in range(40)) + f" rare{i}" for i in range(120)] + [None, ""]
