@@ -30,7 +30,27 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends here and losing an executor costs nothing."""
     path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.scratch = path
+    return read
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what :func:`stored` wrote, once everything that reads it is stored itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names like ``stems`` that no column of ``df`` has, whatever its case: helper columns never meet those of the user."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+        taken.add(name.lower())
+    return found
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -61,25 +81,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     most links.  Every round is stored, so lineage stays short.  Nothing goes to the driver but two counts.
     """
     now = stored(edges.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "cc")
-    seen = None
     for _ in range(max_rounds):
+        if _settled(now):
+            break
         both = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src != dst").distinct()
         large = stored(large, "cc")
         least = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(least, "src").select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
-        now = stored(small.union(least.select("src", F.col("m").alias("dst"))).where("src != dst").distinct(), "cc")
-        # finished once the edges are stars: as many edges as there are nodes that aren't centres, and none changes
-        mark = now.agg(F.count("*"), F.coalesce(F.sum(F.hash("src", "dst").cast("long")), F.lit(0))).first()
-        if mark == seen:
-            break
-        seen = mark
+        old, now = now, stored(small.union(least.select("src", F.col("m").alias("dst"))).where("src != dst").distinct(), "cc")
+        forget(old, large)
     else:
         raise RuntimeError(f"links did not settle within {max_rounds} rounds")
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all links (src > dst) are those of stars to their centres: no node has two, and no centre has one of its own."""
+    several = edges.groupBy("src").count().where("count > 1").select("src")
+    return several.isEmpty() and edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").isEmpty()
+
+
 #: Bits of a slot bitmap: 16 MB, whatever the input.  Too many keys for it only mean more rows to join, never a wrong row.
 SLOT_BITS = 27
 
@@ -96,11 +119,12 @@ def slot_bitmap(keys: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
 
 def in_slots(rows: DataFrame, key: Column, bitmap: DataFrame, name: str, bits: int = SLOT_BITS) -> DataFrame:
     """``rows`` plus ``name``: false means that the hash ``key`` is not among those of the bitmap, true that it may be."""
-    met = rows.withColumn("__slot", F.shiftrightunsigned(key, 64 - bits)).join(F.broadcast(bitmap), F.floor(F.col("__slot") / 32768) == F.col("bucket"), "left")
-    at = F.pmod("__slot", F.lit(32768))
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    slot, bucket, held = unused(rows, "__slot", "__bucket", "__bitmap")
+    met = rows.withColumn(slot, F.shiftrightunsigned(key, 64 - bits)).join(F.broadcast(bitmap.toDF(bucket, held)), F.floor(F.col(slot) / 32768) == F.col(bucket), "left")
+    at = F.pmod(slot, F.lit(32768))
+    byte = F.conv(F.hex(F.substring(F.col(held), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.get(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.pmod(F.floor(byte / F.pow(F.lit(2), k)), F.lit(2)) == 1), F.pmod(at, F.lit(8)).cast("int"))
-    return met.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__slot", "bucket", "bitmap")
+    return met.withColumn(name, F.coalesce(bit, F.lit(False))).drop(slot, bucket, held)
 
 
 def drop_listed(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
@@ -109,18 +133,24 @@ def drop_listed(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFra
     Only rows whose slot is taken are shuffled to be compared; the others, most of them, stay where they are.
     """
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.select(*cols, *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
-    names = [f"__k{i}" for i in range(len(keys))]
+    maybe, *names = unused(docs, "__maybe", *[f"__k{i}" for i in range(len(keys))])
+    named = docs.select(*cols, *[k.alias(n) for n, k in zip(names, keys)])
     gone = gone.toDF(*names)
-    marked = in_slots(named, F.xxhash64(*names), slot_bitmap(gone.select(F.xxhash64(*names).alias("h"))), "__maybe")
-    return marked.where("NOT __maybe").select(*cols).unionByName(marked.where("__maybe").join(gone, names, "left_anti").select(*cols))
+    marked = in_slots(named, F.xxhash64(*names), slot_bitmap(gone.select(F.xxhash64(*names).alias("h"))), maybe)
+    return marked.where(~F.col(maybe)).select(*cols).unionByName(marked.where(F.col(maybe)).join(gone, names, "left_anti").select(*cols))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a stored row number, and that column's name."""
+    (row,) = unused(docs, "__row")
+    return stored(docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.monotonically_increasing_id().alias(row)), "rows"), row
 
 
-def keep_first(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """``rows`` (stored, with their number in ``__row``) with one of each component of ``members`` (row, id, component): that with the smallest id, null ids last.
+def keep_first(rows: DataFrame, number: str, members: DataFrame) -> DataFrame:
+    """``rows`` (see :func:`numbered`) with one of each component of ``members`` (row, id, component): that with the smallest id, null ids last.
 
-    Rows that are no member stay.  The column ``__row`` goes.
+    Rows that are no member stay.  The column ``number`` goes.
     """
     keep = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("k")).select(F.col("k.row").alias("row"))
     gone = stored(members.join(keep, "row", "left_anti").select("row"), "extra")
-    return drop_listed(rows, [F.col("__row")], gone).drop("__row")
+    return drop_listed(rows, [F.col(number)], gone).drop(number)

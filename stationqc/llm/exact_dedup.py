@@ -2,16 +2,14 @@
 
 1. Each partition sorts the 64-bit fingerprints of its texts and sends them, cut by owner and Golomb-Rice coded, to the
    owners of the fingerprint ranges (a few bytes a row; a fingerprint goes once per sender, however often it occurs).
-2. Each owner finds fingerprints that occur twice or more and answers with a bitmap over its share of ``2**slot_bits``
-   slots.  All bitmaps together have that fixed size, whatever the input, so they may be broadcast.
+2. Each owner finds fingerprints that occur twice or more and answers with the pieces of a bitmap over its share of the
+   slots.  Slots are some 16 a row, so the answers take 2 bytes a row at most, up to ``MOST_BITS``.
 3. Partitions test their rows against the bitmap.  Only suspects are shuffled, and only suspects are compared byte by
    byte.  Two fingerprints in one slot merely make an extra suspect; nothing is lost and nothing is merged wrongly.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,10 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, shuffle_partitions, stored, without
+from .common import SPACE, in_slots, shuffle_partitions, stored, without
 
 #: Fingerprints that one sender codes at once: bounds a task's memory at some tens of MB.
 CHUNK = 1 << 20
+#: Slots of the bitmap, as a power of two: it follows the rows between these bounds (at most 256 MB of 4 KB pieces).
+LEAST_BITS, MOST_BITS = 20, 31
+#: Slots of one piece.
+PIECE = 1 << 15
 
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -72,79 +74,77 @@ def _messages(owner_bits: int):
 
 def _answers(owner_bits: int, slot_bits: int):
     def reconcile(rows: pd.DataFrame) -> pd.DataFrame:
-        owner = int(rows["owner"].iloc[0])
+        base = np.uint64(int(rows["owner"].iloc[0]) << (64 - owner_bits))
         lists = [golomb_decode(r.n, r.k, r.unary, r.rest) for r in rows.itertuples()]
         flagged = [v[np.unpackbits(np.frombuffer(r.again, np.uint8))[: r.n].astype(bool)] for v, r in zip(lists, rows.itertuples())]
         values = np.sort(np.concatenate(lists))
-        twice = np.concatenate([values[1:][values[1:] == values[:-1]], *flagged])
-        width = slot_bits - owner_bits
-        bitmap = np.zeros(1 << width, bool)
-        bitmap[(twice >> np.uint64(64 - slot_bits)).astype(np.int64)] = True
-        return pd.DataFrame({"owner": [owner], "bitmap": [zlib.compress(np.packbits(bitmap).tobytes(), 1)], "found": [len(np.unique(twice))]})
+        twice = np.concatenate([values[1:][values[1:] == values[:-1]], *flagged]) + base
+        slots = np.unique(twice >> np.uint64(64 - slot_bits)).astype(np.int64)
+        buckets, starts = np.unique(slots // PIECE, return_index=True)
+        pieces = []
+        for part in np.split(slots % PIECE, starts[1:]) if len(slots) else ():
+            piece = np.zeros(PIECE, bool)
+            piece[part] = True
+            pieces.append(np.packbits(piece, bitorder="little").tobytes())
+        return pd.DataFrame({"bucket": buckets.astype(np.int64), "bitmap": pieces})
 
     return reconcile
 
 
-def duplicate_bitmap(fingerprints: DataFrame, slot_bits: int = 27, owner_bits: int | None = None) -> bytes:
-    """The answers of all owners: ``2**slot_bits`` bits, set where a fingerprint of the one column occurs twice or more."""
-    spark = fingerprints.sparkSession
+def slots_for(rows: int) -> int:
+    """Sixteen slots a row, as a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, (16 * rows).bit_length()))
+
+
+def duplicate_bitmap(fingerprints: DataFrame, slot_bits: int, owner_bits: int | None = None) -> DataFrame:
+    """(bucket, bitmap): the answers of all owners, a bit for each slot with a fingerprint (of the one column) that occurs twice or more."""
     if owner_bits is None:
-        owner_bits = min(16, max(3, (4 * shuffle_partitions(spark) - 1).bit_length()))
+        owner_bits = min(16, max(3, (4 * shuffle_partitions(fingerprints.sparkSession) - 1).bit_length()))
+    owner_bits = min(owner_bits, slot_bits - 15)  # a piece has one owner
     send, schema = _messages(owner_bits)
-    answers = fingerprints.mapInArrow(send, schema).groupBy("owner").applyInPandas(_answers(owner_bits, slot_bits), "owner int, bitmap binary, found long")
-    whole, size = bytearray((1 << slot_bits) // 8), (1 << (slot_bits - owner_bits)) // 8
-    for row in answers.toLocalIterator():  # a fixed number of bitmaps of a fixed size
-        whole[row.owner * size : (row.owner + 1) * size] = zlib.decompress(row.bitmap)
-    return bytes(whole)
+    return fingerprints.mapInArrow(send, schema).groupBy("owner").applyInPandas(_answers(owner_bits, slot_bits), "bucket long, bitmap binary")
 
 
-def _split(docs: DataFrame, text_col: str, slot_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(rows that surely have no copy, stored suspects); both with __norm, __fp, and suspects with __rid."""
-    spark = docs.sparkSession
+def _split(docs: DataFrame, id_col: str, text_col: str, slot_bits: int | None) -> tuple[DataFrame, DataFrame]:
+    """(rows that surely have no copy, stored suspects); both with row (all columns), id, norm and fp, and suspects with rid."""
     norm = F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), SPACE, " ")
-    bitmap = spark.sparkContext.broadcast(duplicate_bitmap(docs.select(F.xxhash64(norm).alias("fp")), slot_bits))
+    bits = slots_for(docs.count()) if slot_bits is None else slot_bits
+    slots = stored(duplicate_bitmap(docs.select(F.xxhash64(norm).alias("fp")), bits), "answers")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(norm).alias("fp"))
+    again = F.regexp_replace(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")), SPACE, " ")
+    marked = in_slots(named, F.col("fp"), slots, "suspect", bits)
+    suspects = stored(marked.where("suspect").drop("suspect").withColumn("rid", F.monotonically_increasing_id()), "suspects")
+    return marked.where("NOT suspect").drop("suspect").withColumn("norm", again), suspects.withColumn("norm", again)
 
-    @F.pandas_udf("boolean")
-    def suspected(fp: pd.Series) -> pd.Series:
-        bits = np.frombuffer(bitmap.value, np.uint8)
-        slot = (fp.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - slot_bits)).astype(np.int64)
-        return pd.Series((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool))
 
-    marked = docs.withColumn("__fp", F.xxhash64(norm)).withColumn("__suspect", suspected("__fp"))
-    suspects = stored(marked.where("__suspect").drop("__suspect").withColumn("__rid", F.monotonically_increasing_id()), "suspects")
-    return marked.where("NOT __suspect").drop("__suspect").withColumn("__norm", norm), suspects.withColumn("__norm", norm)
+def _groups(suspects: DataFrame) -> DataFrame:
+    """One row per distinct normalised text of the suspects.  The grouping key holds the text: equality is that of all bytes.
 
-
-def _groups(suspects: DataFrame, id_col: str) -> DataFrame:
-    """One row per distinct normalised text of the suspects.  The grouping key holds the text: equality is that of all bytes."""
-    return suspects.groupBy("__fp", "__norm").agg(
-        F.min(id_col).alias("keep_id"),
-        F.count("*").alias("group_size"),
-        F.coalesce(F.min_by("__rid", id_col), F.min("__rid")).alias("__keep_rid"),
-    )
+    Copies are combined before the shuffle, so a text that a third of all rows share arrives once per task.
+    """
+    return suspects.groupBy("fp", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"), F.coalesce(F.min_by("rid", "id"), F.min("rid")).alias("keep_rid"))
 
 
-def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = 27) -> DataFrame:
+def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_bits: int | None = None) -> DataFrame:
     """``docs`` plus keep_id, group_size, kept and text_sha256; equal means identical after each run of white space is one space.
 
     Null texts count as empty, and empty texts equal each other.  The row with the smallest id stays; null ids come
     after all others.  Rows that repeat an id and a text are copies like any other: exactly one of a group has ``kept``.
-    In an empty table nothing is marked.  Input columns named like an output give way; all others pass through.
+    Texts of any length are compared whole.  In an empty table nothing is marked.  Input columns named like an output
+    give way; all others, whatever their names, pass through.
     """
     docs = without(docs, "keep_id", "group_size", "kept", "text_sha256")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    single, suspects = _split(docs, text_col, slot_bits)
-    sha = F.sha2(F.col("__norm").cast("binary"), 256)
-    groups = _groups(suspects, id_col).withColumn("text_sha256", sha).drop("__norm")
-    found = suspects.withColumn("text_sha256", sha).join(groups, ["__fp", "text_sha256"])
-    return single.select(*cols, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256")).unionByName(
-        found.select(*cols, "keep_id", "group_size", (F.col("__rid") == F.col("__keep_rid")).alias("kept"), "text_sha256")
+    single, suspects = _split(docs, id_col, text_col, slot_bits)
+    sha = F.sha2(F.col("norm").cast("binary"), 256)
+    groups = _groups(suspects).withColumn("text_sha256", sha).drop("norm")
+    found = suspects.withColumn("text_sha256", sha).join(groups, ["fp", "text_sha256"])
+    return single.select("row.*", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256")).unionByName(
+        found.select("row.*", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = 27) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_bits: int | None = None) -> DataFrame:
     """``docs`` without the rows that :func:`mark_copies` doesn't keep; same columns.  The texts of dropped rows are not joined."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    single, suspects = _split(docs, text_col, slot_bits)
-    keep = _groups(suspects, id_col).select(F.col("__keep_rid").alias("__rid"))
-    return single.select(*cols).unionByName(suspects.join(keep, "__rid", "left_semi").select(*cols))
+    single, suspects = _split(docs, id_col, text_col, slot_bits)
+    keep = _groups(suspects).select(F.col("keep_rid").alias("rid"))
+    return single.select("row.*").unionByName(suspects.join(keep, "rid", "left_semi").select("row.*"))

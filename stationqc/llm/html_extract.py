@@ -12,6 +12,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names by role, and words of class, id and role attributes that speak for or against an element.
-RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "select"}
+RAW = {"script", "style", "title", "textarea", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msqrt", "mover", "munder", "object", "noscript"}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "table", "dl", "body", "html"}
-ROLES = [{"article", "main"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p", "blockquote", "pre", "figcaption"}, {"ul", "ol", "dl"}, {"li", "dd", "dt"}, {"table", "tbody", "tr", "td", "th", "thead"}, {"nav", "aside", "form", "button", "fieldset", "dialog", "menu"}, {"footer"}, {"header"}, {"html", "body"}]
+ROLES = [{"article", "main"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p", "blockquote", "pre", "figcaption"}, {"ul", "ol", "dl"}, {"li", "dd", "dt"}, {"table", "tbody", "tr", "td", "th", "thead"}, {"nav", "aside", "form", "button", "fieldset", "dialog", "menu", "select", "svg", "template"}, {"footer"}, {"header"}, {"html", "body"}]
 ROLE_OF = {t: k for k, r in enumerate(ROLES) for t in r}
 AGAINST = set(
     "ad ads advert advertisement advertising banner banners breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus feedback footer form header legal "
@@ -58,7 +59,7 @@ class Page:
 
 def parse(source: str) -> Page:
     page, stack = Page(), [0]
-    names = ["html"]
+    names, open_ = ["html"], Counter(["html"])
     text: list[str] = []
     linked, link_chars, at = False, 0, 0
 
@@ -72,8 +73,16 @@ def parse(source: str) -> Page:
             link_chars = 0
 
     def close(upto: int) -> None:
+        open_.subtract(names[upto:])
         del stack[upto:], names[upto:]
 
+    def last(name: str) -> int:
+        """Place of the innermost open ``name``; what is passed on the way is about to be closed."""
+        at = len(names) - 1
+        while names[at] != name:
+            at -= 1
+        return at
+
     def put(piece: str) -> None:
         nonlocal link_chars
         if piece:
@@ -91,13 +100,13 @@ def parse(source: str) -> Page:
         name = name.lower()
         attrs = m[3]
         if m[1]:
-            if name in INLINE and name not in names:
+            if name in INLINE and not open_[name]:
                 if name == "a":
                     linked = False
                 continue
-            if name in names[1:]:
+            if name != "html" and open_[name]:
                 flush()
-                close(len(names) - 1 - names[::-1].index(name))
+                close(last(name))
                 linked = linked and name != "a"
             elif name not in INLINE:
                 flush()
@@ -105,7 +114,7 @@ def parse(source: str) -> Page:
         if name == "br":
             text.append(" ")
             continue
-        if name in RAW and not attrs.endswith("/"):
+        if name in RAW and not (attrs.endswith("/") and open_["svg"]):  # HTML has no empty script; SVG has
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
@@ -120,10 +129,10 @@ def parse(source: str) -> Page:
             continue
         flush()
         linked = False
-        if name in ("html", "body") and (name == "html" or "body" in names):
+        if name in ("html", "body") and (name == "html" or open_["body"]):
             continue
-        if name in ENDS_P and "p" in names:
-            close(len(names) - 1 - names[::-1].index("p"))
+        if name in ENDS_P and open_["p"]:
+            close(last("p"))
         if same := SAME.get(name):
             for i in range(len(names) - 1, 0, -1):
                 if names[i] in same:
@@ -137,6 +146,7 @@ def parse(source: str) -> Page:
         page.marks.append(any(k.lower() == "data-y" for k, _ in found))
         stack.append(len(page.tags) - 1)
         names.append(name)
+        open_[name] += 1
     put(source[at:])
     flush()
     return page
@@ -320,17 +330,18 @@ def layout(rng: random.Random, paragraphs: list[str]) -> str:
     return f'<html><body><div class="{pick(["page", "wrapper", "site", "container"])}" {y}>' + whole[whole.index("<body>") + 6 :] if rng.random() < 0.3 else whole
 
 
-def train(pages: DataFrame, html_col: str = "html", sample_pages: int = 300, synthetic: int = 900, seed: int = 7) -> Trees:
+def train(pages: DataFrame, html_col: str = "html", sample_pages: int = 300, synthetic: int = 900, seed: int = 7, most_chars: int = 100_000, most_texts: int = 5000) -> Trees:
     """Trees from at most ``sample_pages`` pages with an article element, as their markup says, and ``synthetic`` pages of known truth made of their texts.
 
-    Both numbers bound what reaches the driver, at any size of the table.  Pages are taken by a hash of their content.
+    Both numbers, and ``most_chars`` a page and ``most_texts`` paragraphs, bound what reaches the driver, at any size of the
+    table; extraction itself knows no such bounds.  Pages are taken by a hash of their content.
     """
     col = F.col(f"`{html_col}`")
     every = max(1, pages.count() // (4 * sample_pages))
-    rows = pages.select(col.alias("html")).where(col.isNotNull() & (F.length(col) < 100_000) & F.lower(col).contains("<article") & (F.pmod(F.xxhash64(col), F.lit(every)) == 0))
+    rows = pages.select(col.alias("html")).where(col.isNotNull() & (F.length(col) <= most_chars) & F.lower(col).contains("<article") & (F.pmod(F.xxhash64(col), F.lit(every)) == 0))
     found = [r.html for r in rows.orderBy(F.xxhash64("html", F.lit(1)), "html").limit(sample_pages).collect()]
     parsed = [parse(x) for x in found]
-    texts = [t for page in parsed for _, t, _ in page.runs if len(t) > 40][:5000] or ["words of a page that has no text"]
+    texts = [t for page in parsed for _, t, _ in page.runs if len(t) > 40][:most_texts] or ["words of a page that has no text"]
     rng = random.Random(seed)
     made = [parse(layout(rng, [entities.escape(t, quote=False) for t in rng.sample(texts, min(12, len(texts)))])) for _ in range(synthetic)]
     x = np.concatenate([features(p) for p in parsed + made])
@@ -342,7 +353,9 @@ def extract(pages: DataFrame, trees: Trees, id_col: str = "page_id", url_col: st
     """id, url and text of every page, with n_blocks and n_nodes.
 
     A null or empty page, or one without text, gives an empty text.  Pages are read whole, cut-off ones as far as they go.
-    Repeated rows give repeated results; columns other than the three are not read.  An empty table gives an empty result.
+    A node whose score is exactly zero is dropped.  Pages of any length and depth take time in proportion to their size.
+    Repeated rows give repeated results; columns other than the three, whatever their names, are not read.  An empty table
+    gives an empty result.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trees)
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ SUFFIX_TRUST = 0.8
 UNKNOWN = 0.01
 #: Bytes that are scored at once.
 STEP = 1 << 20
+#: Tasks that count the training sample.
+SAMPLE_TASKS = 8
 
 
 @dataclass
@@ -58,33 +61,37 @@ def hashed(text: str | None, buckets: int):
 
 
 def train(labelled: DataFrame, sample_rows: int = 8000, buckets: int = 1 << 14, most_languages: int = 64) -> TrigramModel:
-    """A model from ``labelled`` (text, language).
+    """A model from ``labelled`` (text, language): of the ``most_languages`` commonest languages, ties by name.
 
     ``sample_rows`` bounds the labelled rows that are read for it: rows are taken by a hash of their text, about that many
-    whatever the size of the table.  Without any labelled row the model knows no language, and nothing is identified.
+    whatever the size of the table, and a text that repeats counts once.  Without any labelled row the model knows no
+    language, and nothing is identified.
     """
-    rows = labelled.where("language IS NOT NULL AND text IS NOT NULL")
-    every = max(1, rows.count() // sample_rows)
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    rows = labelled.where("language IS NOT NULL AND text IS NOT NULL").select("text", F.col("language").cast("string").alias("language"))
+    counted = rows.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(most_languages).collect()
+    languages = sorted(r.language for r in counted)
+    if not languages:
+        return TrigramModel([], np.zeros((buckets, 0), np.float32))
+    every = max(1, sum(r.n for r in counted) // sample_rows)
+    chosen = rows.where(F.col("language").isin(languages) & (F.pmod(F.xxhash64("text"), F.lit(every)) == 0)).distinct()
 
     def count(batches):
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if language not in found and len(found) >= most_languages:
-                    continue
                 own = found.setdefault(language, np.zeros(buckets, np.int64))
                 for h in hashed(text, buckets):
                     own += np.bincount(h, minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["language", "counts"])
 
-    total: dict[str, np.ndarray] = {}
-    for row in rows.select("text", "language").mapInArrow(count, "language string, counts binary").toLocalIterator():
-        total[row.language] = total.get(row.language, 0) + np.frombuffer(row.counts, np.int64)
-    languages = sorted(sorted(total, key=lambda x: -total[x].sum())[:most_languages])
-    if not languages:
-        return TrigramModel([], np.zeros((buckets, 0), np.float32))
-    counts = np.stack([total[x] for x in languages], axis=1) + 0.5
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.int64) for x in parts["counts"])
+        return pd.DataFrame({"language": [parts["language"].iloc[0]], "counts": [total.tobytes()]})
+
+    # The sample is bounded, so few tasks count it; a table a language is all that the driver gets.
+    parts = chosen.coalesce(SAMPLE_TASKS).mapInArrow(count, "language string, counts binary").groupBy("language").applyInPandas(add, "language string, counts binary")
+    total = {r.language: np.frombuffer(r.counts, np.int64) for r in parts.collect()}
+    counts = np.stack([total.get(x, np.zeros(buckets, np.int64)) for x in languages], axis=1) + 0.5
     return TrigramModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
@@ -102,7 +109,9 @@ def identify(rows: DataFrame, model: TrigramModel, text_weight: float = 40.0, st
     weighs in a host's prior; a posterior under ``least`` is no identification.  Posteriors share one with that
     of 'unknown' (see above), so they are low where no language explains the text; the likeliest is named all the same.  A null or empty text has no likelihood,
     a null declaration or host no say.  A text without letters, or a model without languages, is not accepted, with a null
-    language.  Ties go to the first language in alphabetical order.  One row comes out per row, repeated ones too.
+    language.  Ties go to the first language in alphabetical order.  One row comes out per row, repeated ones too.  Texts
+    of any length are scored whole, in steps of ``STEP`` bytes.  An empty table gives an empty result.  A hot host is summed
+    before the shuffle, and its rows meet the priors in a join that adaptive execution splits or broadcasts.
     """
     langs, spark = model.languages, rows.sparkSession
     if not langs:
@@ -129,7 +138,7 @@ def identify(rows: DataFrame, model: TrigramModel, text_weight: float = 40.0, st
 
     # Confusion of declarations and the overall prior: a few cells.
     sums = [F.coalesce(F.sum(F.get("tp", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(len(langs))]
-    cells = {r.declared: np.array(r[1:], float) for r in kept.groupBy("declared").agg(*sums).toLocalIterator()}
+    cells = {r.declared: np.array(r[1:], float) for r in kept.groupBy("declared").agg(*sums).collect()}
     overall = sum(cells.values(), np.zeros(len(langs))) + 1.0
     prior = overall / overall.sum()
     values = [*langs, "other"]

@@ -1,9 +1,10 @@
 """Line dedup over content-defined chunks of lines.
 
-A rolling hash over the hashes of ``window`` successive lines decides where a chunk ends, so boundaries depend on nearby
-content alone and move with it when lines are put in before.  Lines of more than ``long_words`` words are chunks of their
-own.  Chunks of two lines or more, and long lines, are compared across all documents: first hashes (partial counts, then
-one shuffle of numbers), then, for those found twice, all bytes.  The first occurrence stays, by document id and place.
+A rolling hash over the hashes of ``window`` successive lines alone decides where a chunk ends, so boundaries depend on
+nearby content and move with it when lines are put in before.  Chunks of two lines or more are compared across all
+documents: first hashes (partial counts, then one shuffle of numbers), then, for those found twice, all bytes.  A single
+line of more than ``passage_words`` words is a passage and is compared likewise, whatever chunk it lies in.  The first
+occurrence stays, by document id and place.
 """
 
 from __future__ import annotations
@@ -19,73 +20,84 @@ def line_hash(line):
     return F.conv(F.substring(F.md5(F.trim(line).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def chunked(docs: DataFrame, text_col: str, window: int, divisor: int, long_words: int) -> DataFrame:
-    """``docs`` plus __lines and __chunks: array of (first line, lines, words), first counted from 0."""
-    lines = docs.withColumn("__lines", F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "\n"))
-    facts = F.transform("__lines", lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
+def chunked(keyed: DataFrame, window: int, divisor: int, passage_words: int) -> DataFrame:
+    """``keyed`` (id, key, text) to id, key, lines and found: array of (chunk, first, n), counted from 0, of what may be removed.
 
-    def bounds(f):
-        def ends(i):
-            near = [F.coalesce(F.get(f, i - k)["h"], F.lit(0).cast("long")) for k in range(window)]
-            rolled = near[0] % 1000003
+    ``chunk`` is the first line of the chunk that a passage lies in.  Chunks without a word are left out.
+    """
+    lines = keyed.select("id", "key", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    facts = F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
+
+    def ends(f):
+        def stop(i):
+            near = [F.coalesce(F.get(f, i - k)["h"], F.lit(0).cast("long")) % 1000003 for k in range(window)]
+            rolled = near[0]
             for k, h in enumerate(near[1:], 1):
-                rolled = rolled + (31**k) * (h % 1000003)
-            return (F.pmod(rolled, F.lit(divisor)) == 0) | (F.get(f, i)["w"] > long_words) | F.coalesce(F.get(f, i + 1)["w"] > long_words, F.lit(True))
+                rolled = rolled + (31**k) * h
+            return (F.pmod(rolled, F.lit(divisor)) == 0) | (i == F.size(f) - 1)
+
+        return F.filter(F.sequence(F.lit(0), F.size(f) - 1), stop)
+
+    def of_chunk(f, a, n):
+        inside = F.slice(f, a + 1, n)
+        long = F.filter(F.transform(inside, lambda x, k: F.struct(a.alias("chunk"), (a + k).alias("first"), F.when(x["w"] > passage_words, F.lit(1)).otherwise(F.lit(0)).alias("n"))), lambda c: c["n"] > 0)
+        whole = F.array(F.struct(a.alias("chunk"), a.alias("first"), n.alias("n")))
+        return F.concat(F.when((n >= 2) & F.exists(inside, lambda x: x["w"] > 0), whole).otherwise(F.slice(whole, 1, 0)), long)
 
-        stops = F.filter(F.sequence(F.lit(0), F.size(f) - 1), ends)
-        words = lambda a, n: F.aggregate(F.slice(f, a + 1, n), F.lit(0), lambda s, x: s + x["w"])
-        return let(stops, lambda s: F.transform(s, lambda e, k: let(F.coalesce(F.get(s, k - 1) + 1, F.lit(0)), lambda a: F.struct(a.alias("first"), (e - a + 1).alias("n"), words(a, e - a + 1).alias("words")))))
+    def candidates(f):
+        return let(ends(f), lambda s: F.flatten(F.transform(s, lambda e, k: let(F.coalesce(F.get(s, k - 1) + 1, F.lit(0)), lambda a: of_chunk(f, a, e - a + 1)))))
 
-    return lines.withColumn("__chunks", let(facts, bounds))
+    return lines.select("id", "key", "lines", let(facts, candidates).alias("found"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, long_words: int = 50) -> DataFrame:
-    """``docs`` with repeated chunks taken out of the text, plus n_lines, n_removed_lines and n_removed_chunks (long).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, passage_words: int = 50) -> DataFrame:
+    """``docs`` with repeated chunks and passages taken out of the text, plus n_lines, n_removed_lines and n_removed_chunks (long).
 
     A null text stays null and an empty one empty; both have one line, or none, and lose nothing.  A chunk without a word
     is never removed.  Within a document, too, only the first occurrence stays.  Ids that are null come last; rows that
     repeat an id count as one document by its distinct texts, in the order of those texts.  Documents all of whose lines
-    go keep an empty text.  Input columns named like the counts give way; all others pass through.
+    go keep an empty text.  Lines and texts of any length are compared whole, and an empty table stays empty.  Input
+    columns named like the counts give way; all others, whatever their names, pass through.  A chunk that a third of all
+    documents share is combined before every grouping; its occurrences meet their first one in a join on (hash, digest)
+    that adaptive execution splits.
     """
     docs = without(docs, "n_lines", "n_removed_lines", "n_removed_chunks")
-    cols = docs.columns
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    parts = chunked(keyed, text_col, window, divisor, long_words)
-    chosen = F.filter("__chunks", lambda c: ((c["n"] >= 2) & (c["words"] > 0)) | (c["words"] > long_words))
-    text = lambda c: F.array_join(F.slice("__lines", c["first"] + 1, c["n"]), "\n")
-    found = parts.select(F.col(id_col).alias("__id"), "__key", F.explode(F.transform(chosen, lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), text(c).alias("body")))).alias("c")).select("__id", "__key", "c.*")
+    body = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), body.alias("text"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("key"))
+    text = lambda c: F.array_join(F.slice("lines", c["first"] + 1, c["n"]), "\n")
+    parts = chunked(keyed, window, divisor, passage_words)
+    found = parts.select("id", "key", F.explode(F.transform("found", lambda c: F.struct(c["chunk"].alias("chunk"), c["first"].alias("first"), c["n"].alias("n"), text(c).alias("body")))).alias("c")).select("id", "key", "c.*")
 
     repeated = found.groupBy(F.xxhash64("body").alias("h")).agg(F.count("*").alias("times")).where("times > 1").select("h")
     slots = stored(slot_bitmap(repeated), "repeated")
     # Only chunks whose slot has a repeated hash are shuffled.
-    suspects = stored(in_slots(found.withColumn("h", F.xxhash64("body")), F.col("h"), slots, "__maybe").where("__maybe").drop("__maybe"), "chunks")
+    suspects = stored(in_slots(found.withColumn("h", F.xxhash64("body")), F.col("h"), slots, "maybe").where("maybe").drop("maybe"), "chunks")
     # The group's key is the chunk's text: equality is that of all bytes.  Copies are combined before the shuffle.
-    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("first").alias("first"))
-    firsts = suspects.groupBy("h", "body").agg(F.min(place).alias("p"), F.count("*").alias("times")).where("times > 1").select("h", F.sha2(F.col("body").cast("binary"), 256).alias("sha"), "p")
-    slim = suspects.select("__id", "__key", "first", "n", "h", F.sha2(F.col("body").cast("binary"), 256).alias("sha"))
-    gone = slim.join(firsts, ["h", "sha"]).where(~(F.col("p.id").eqNullSafe(F.col("__id")) & (F.col("p.key") == F.col("__key")) & (F.col("p.first") == F.col("first"))))
-    removed = stored(gone.groupBy("__id", "__key").agg(F.collect_set(F.struct("first", "n")).alias("__gone")), "removed").withColumnRenamed("__key", "__k")
-
-    row = F.xxhash64(F.col(f"`{id_col}`"), F.col("__key"))
-    marked = in_slots(keyed, row, stored(slot_bitmap(removed.select(F.xxhash64("__id", "__k").alias("h"))), "affected"), "__maybe")
-    met = marked.where("__maybe").join(removed, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left").drop("__id", "__k")
-    joined = met.unionByName(marked.where("NOT __maybe").withColumn("__gone", F.lit(None).cast(met.schema["__gone"].dataType)))
-    split = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
-    n_gone = F.aggregate("__gone", F.lit(0), lambda s, g: s + g["n"])
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"), F.col("first").alias("first"))
+    digest = F.sha2(F.col("body").cast("binary"), 256).alias("sha")
+    firsts = suspects.groupBy("h", "body").agg(F.min(place).alias("p"), F.count("*").alias("times")).where("times > 1").select("h", digest, "p")
+    slim = suspects.select("id", "key", "chunk", "first", "n", "h", digest)
+    gone = slim.join(firsts, ["h", "sha"]).where(~(F.col("p.id").eqNullSafe(F.col("id")) & (F.col("p.key") == F.col("key")) & (F.col("p.first") == F.col("first"))))
+    # a chunk that goes takes its passages along
+    each = gone.groupBy("id", "key", "chunk").agg(F.collect_set(F.struct("first", "n")).alias("g"), F.max("n").alias("top"))
+    each = each.withColumn("g", F.filter("g", lambda x: (x["n"] > 1) | (F.col("top") == 1)))
+    removed = stored(each.groupBy("id", "key").agg(F.array_sort(F.flatten(F.collect_list("g"))).alias("gone")), "removed").toDF("of_id", "of_key", "gone")
+
+    marked = in_slots(keyed, F.xxhash64("id", "key"), stored(slot_bitmap(removed.select(F.xxhash64("of_id", "of_key").alias("h"))), "affected"), "maybe")
+    met = marked.where("maybe").join(removed, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left").drop("of_id", "of_key")
+    joined = met.unionByName(marked.where("NOT maybe").withColumn("gone", F.lit(None).cast(met.schema["gone"].dataType)))
     # lines that stay: between the removed stretches, cut by their sorted bounds, so the work grows with the lines
-    gaps = F.array_sort("__gone")
     stay = F.flatten(
         F.transform(
-            F.sequence(F.lit(0), F.size("__sorted")),
-            lambda i: let(F.coalesce(F.get("__sorted", i - 1)["first"] + F.get("__sorted", i - 1)["n"], F.lit(0)), lambda a: F.slice("__split", a + 1, F.coalesce(F.get("__sorted", i)["first"], F.size("__split")) - a)),
+            F.sequence(F.lit(0), F.size("gone")),
+            lambda i: let(F.coalesce(F.get("gone", i - 1)["first"] + F.get("gone", i - 1)["n"], F.lit(0)), lambda a: F.slice("split", a + 1, F.coalesce(F.get("gone", i)["first"], F.size("split")) - a)),
         )
     )
-    whole = joined.withColumn("__split", split).withColumn("__sorted", gaps)
-    cleaned = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(stay, "\n"))
-    out = [cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in cols]
+    whole = joined.withColumn("split", F.split("text", "\n"))
+    cleaned = F.when(F.col("gone").isNull(), F.col("row").getField(text_col)).otherwise(F.array_join(stay, "\n"))
     return whole.select(
-        *out,
-        F.when(F.col("__split").isNull(), 0).otherwise(F.size("__split")).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(n_gone).cast("long").alias("n_removed_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed_chunks"),
+        *[cleaned.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns],
+        F.when(F.col("split").isNull(), 0).otherwise(F.size("split")).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.aggregate("gone", F.lit(0), lambda s, g: s + g["n"])).cast("long").alias("n_removed_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed_chunks"),
     )

@@ -1,7 +1,10 @@
 """Conflict-constrained best-fit packing of documents into training sequences.
 
-Documents are dealt to shards of about ``shard_rows`` rows; a shard packs on its own, so bins never cross shards and any
-number of machines can work.  In a shard, items come longest first.  Open bins are kept ordered by residual room.  The
+Documents are dealt to shards of about ``shard_rows`` rows by a hash of what they are, so the result doesn't depend on how
+the table is partitioned or read.  A shard packs on its own: bins never cross shards and any number of machines can work.
+:func:`pack` places numbers of tokens; :func:`sequences` packs the token ids themselves and returns the filled bins.
+
+In a shard, items come longest first.  Open bins are kept ordered by residual room.  The
 search starts at the successor of the item's length, the tightest room that holds it, and goes on to wider bins until the
 bitmaps agree: a bin's cluster bitmap must lack the item's duplicate cluster, and its last source plane the item's source
 (plane k has the sources seen k+1 times).  The first that agrees is the tightest compatible bin.  If none does, a bin opens.
@@ -59,26 +62,32 @@ def _ids(values: pd.Series) -> np.ndarray:
     return values.map({v: i for i, v in enumerate(counts.index[counts > 1])}).fillna(-1).astype(int).to_numpy()
 
 
+KEY = ["doc_id", "n_tokens", "source", "cluster"]
+
+
 def pack(items: DataFrame, capacity: int = 4096, max_per_source: int = 4, shard_rows: int = 8192) -> DataFrame:
-    """Places every token of ``items`` (doc_id, n_tokens, source, cluster) in bins of ``capacity`` tokens.
+    """Places every token of ``items`` (doc_id, n_tokens, source, cluster; others are ignored) in bins of ``capacity`` tokens.
 
     Returns doc_id, piece, start, n_tokens, bin_id, bin_offset, bin_fill: a document longer than a bin is cut into full
     bins and a rest, numbered from 0.  No bin holds two documents of one cluster, or more than ``max_per_source`` of one
     source; null sources and clusters never conflict.  Items of null or less than one token take no room and give no
-    row.  Repeated rows are items of their own.  Ties in length go by document id, then by order of reading.
+    row.  Ties in length go by document id (null first), source and cluster.  Repeated rows are items of their own: they
+    are counted, then numbered and dealt apart, so that many of them are no hot shard.  An empty table gives no bins.
     """
     rows = items.where("n_tokens > 0").select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
-    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "items")
+    rows = rows.groupBy(*KEY).agg(F.count("*").alias("times")).select(*KEY, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
+    rows = stored(rows, "items")
     shards = max(1, -(-rows.count() // shard_rows))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values([*KEY, "copy"], na_position="first", ignore_index=True)
         full, rest = np.divmod(shard["n_tokens"].to_numpy(np.int64), capacity)
         # full pieces have a bin each
         row = np.repeat(np.arange(len(shard)), full)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(full) - full, full)
         head = pd.DataFrame({"row": row, "piece": piece, "n_tokens": capacity, "bin": np.arange(len(row)), "bin_offset": 0, "bin_fill": capacity})
-        left = shard.assign(row=np.arange(len(shard)), piece=full, rest=rest)[rest > 0].sort_values(["rest", "doc_id", "rid"], ascending=[False, True, True])
+        left = shard.assign(row=np.arange(len(shard)), piece=full, rest=rest)[rest > 0].sort_values("rest", ascending=False, kind="stable")
         bins, offsets, fill = best_fit(left["rest"].tolist(), _ids(left["source"]).tolist(), _ids(left["cluster"]).tolist(), capacity, max_per_source)
         tail = pd.DataFrame({"row": left["row"], "piece": left["piece"], "n_tokens": left["rest"], "bin": np.array(bins, np.int64) + len(row), "bin_offset": offsets, "bin_fill": fill})
         out = pd.concat([head, tail], ignore_index=True)
@@ -88,7 +97,7 @@ def pack(items: DataFrame, capacity: int = 4096, max_per_source: int = 4, shard_
         )
 
     schema = f"doc_id {kind}, piece long, start long, n_tokens long, bin_id long, bin_offset long, bin_fill long"
-    return rows.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards))).groupBy("shard").applyInPandas(run, schema)
+    return rows.withColumn("shard", F.pmod(F.xxhash64(*KEY, "copy"), F.lit(shards))).groupBy("shard").applyInPandas(run, schema)
 
 
 def items_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -96,3 +105,41 @@ def items_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     plain = F.trim(F.regexp_replace(F.lower(text), SPACE, " "))
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.size(words(text)) + 1).alias("n_tokens"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(plain).alias("cluster"))
+
+
+def sequences(tokens: DataFrame, capacity: int = 4096, max_per_source: int = 4, shard_rows: int = 8192) -> DataFrame:
+    """Filled bins from ``tokens`` (doc_id, ids, source, cluster): bin_id, n_tokens, ids, doc_ids, pieces, offsets.
+
+    ``ids`` are the token ids of the whole bin; document ``doc_ids[k]`` begins at ``offsets[k]`` with its piece
+    ``pieces[k]``, so boundaries are known to an attention mask.  Rules and ties are those of :func:`pack`; a rest keeps
+    to its shard.  Full pieces of long documents are bins as they are and are never shuffled: a shard holds at most
+    ``shard_rows`` rests of less than ``capacity`` ids.  Null or empty ids give no row.  Repeated rows are packed each; full pieces
+    of such rows share a bin_id.
+    """
+    rows = tokens.select("doc_id", "ids", F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster")).where(F.size("ids") > 0)
+    rows = stored(rows, "tokens")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"bin_id string, n_tokens int, ids array<int>, doc_ids array<{kind}>, pieces array<int>, offsets array<int>"
+    full = F.floor(F.size("ids") / capacity).cast("int")
+    part = rows.where(full > 0).select("doc_id", "ids", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
+    cut = part.select("doc_id", "piece", F.slice("ids", F.col("piece") * capacity + 1, F.lit(capacity)).alias("ids"))
+    name = F.concat(F.lit("f"), F.lower(F.hex(F.xxhash64("doc_id", "piece", "ids"))), F.lower(F.hex(F.hash("ids", "doc_id"))))
+    whole = cut.select(name.alias("bin_id"), F.lit(capacity).alias("n_tokens"), "ids", F.array("doc_id").alias("doc_ids"), F.array("piece").alias("pieces"), F.array(F.lit(0)).alias("offsets"))
+    rest = rows.where(F.size("ids") % capacity > 0).select("doc_id", "source", "cluster", full.alias("piece"), F.slice("ids", full * capacity + 1, F.lit(capacity)).alias("ids"))
+    shards = max(1, -(-rows.count() // shard_rows))
+
+    def run(shard: pd.DataFrame) -> pd.DataFrame:
+        n = shard["ids"].map(len).rename("n")
+        order = pd.concat([shard[["doc_id", "source", "cluster", "own"]], n], axis=1).sort_values(["n", "doc_id", "source", "cluster", "own"], ascending=[False, True, True, True, True], na_position="first").index
+        left = shard.loc[order]
+        bins, offsets, _ = best_fit(n[order].tolist(), _ids(left["source"]).tolist(), _ids(left["cluster"]).tolist(), capacity, max_per_source)
+        made: list[tuple] = [([], [], [], []) for _ in range(max(bins, default=-1) + 1)]
+        for b, at, doc, piece, ids in zip(bins, offsets, left["doc_id"], left["piece"], left["ids"]):
+            for held, value in zip(made[b], (None if pd.isna(doc) else doc, piece, at, ids)):
+                held.append(value)
+        base = int(shard["shard"].iloc[0])
+        flat = [np.concatenate(m[3]) for m in made]
+        return pd.DataFrame({"bin_id": [f"{base}-{b}" for b in range(len(made))], "n_tokens": [len(x) for x in flat], "ids": flat, "doc_ids": [m[0] for m in made], "pieces": [m[1] for m in made], "offsets": [m[2] for m in made]})
+
+    dealt = rest.withColumn("own", F.xxhash64("ids")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "own", "source", "cluster"), F.lit(shards)))
+    return whole.unionByName(dealt.groupBy("shard").applyInPandas(run, schema))

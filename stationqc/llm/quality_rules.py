@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, without, words
+from .common import let, unused, without, words
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
@@ -68,27 +68,28 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     A null text measures like an empty one: no words, so ``few_words`` fails.  Lines are counted if they hold a word.
     Rows are judged alone, so repeated rows get the same bits and an empty table an empty ledger.  Texts of any length
-    are measured whole.  Input columns named like a measurement give way; all others pass through.
+    are measured whole.  Input columns named like a measurement or a verdict give way; all others pass through.
     """
-    docs = without(docs, *MEASURES, "fail_bits", "__text", "__w", "__lines")
-    text = F.col("__text")
+    docs = without(docs, *MEASURES, "fail_bits", "base_failed", "kept", "policy", "policy_version")
+    whole, w, lines, m = unused(docs, "__text", "__w", "__lines", "__m")
+    text = F.col(whole)
     less = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    read = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).withColumn("__w", words(F.col("__text")))
-    read = read.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    read = docs.withColumn(whole, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).withColumn(w, words(text))
+    read = read.withColumn(lines, F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     measures = {
-        "n_words": F.size("__w"),
-        "word_chars": F.length(F.array_join("__w", "")),
+        "n_words": F.size(w),
+        "word_chars": F.length(F.array_join(w, "")),
         "n_symbols": less(SYMBOLS),
-        "n_lines": F.size("__lines"),
-        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
-        "n_repeat_words": repeat_words(F.col("__w")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": repeat_words(F.col(w)),
         "n_bangs": less("!"),
         "n_upper": less(UPPER),
     }
     cols = [F.col(f"`{c}`") for c in docs.columns]
     # Exploding one struct keeps a later filter from being pushed down, which would measure anew wherever a rule reads a measurement.
     once = F.explode(F.array(F.struct(*[v.cast("long").alias(k) for k, v in measures.items()])))
-    measured = read.select(*cols, once.alias("__m")).select(*cols, "__m.*")
+    measured = read.select(*cols, once.alias(m)).select(*cols, f"{m}.*")
     bits = [F.when(F.expr(rule), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, rule in enumerate(RULES.values())]
     total = bits[0]
     for b in bits[1:]:
@@ -101,9 +102,9 @@ def fails(policy: Policy) -> Column:
 
 
 def apply_policy(book: DataFrame, policy: Policy = STRICT) -> DataFrame:
-    """The ledger plus base_failed and kept."""
+    """The ledger plus base_failed, kept, policy and policy_version."""
     base = fails(BASE)
-    return book.withColumn("base_failed", base).withColumn("kept", ~base & ~fails(policy))
+    return book.withColumns({"base_failed": base, "kept": ~base & ~fails(policy), "policy": F.lit(policy.name), "policy_version": F.lit(policy.version).cast("long")})
 
 
 def ablation(book: DataFrame, policy: Policy = STRICT) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, exact_dedup, html_extract, language_id, language_model, line_dedup, packing, quality_rules, sentencepieces, simhash
+from .common import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return quality_rules.apply_policy(book).drop("text")
+    return quality_rules.apply_policy(stored(book.drop("text"), "ledger"))
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    planted = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, '{said}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)")
     return chat_format.digests(chat_format.windows(turns.unionByName(planted)))
 
 
@@ -75,7 +76,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents").select("text")))
+    return quality_rules.ablation(stored(quality_rules.ledger(table(spark, sf_dir, "documents").select("text")).drop("text"), "ledger"))
 
 
 QUERIES = {
@@ -97,7 +98,7 @@ _BASE, _STRICT = quality_rules.BASE.mask, quality_rules.STRICT.mask
 _LEDGER = quality_rules.LEDGER_SQL.replace("{table}", "documents")
 
 ORACLE_SQL = {
-    "op3_quality_rules": f"{_LEDGER} SELECT *, (fail_bits & {_BASE}) <> 0 AS base_failed, (fail_bits & {_STRICT | _BASE}) = 0 AS kept FROM ledger",
+    "op3_quality_rules": f"{_LEDGER} SELECT *, (fail_bits & {_BASE}) <> 0 AS base_failed, (fail_bits & {_STRICT | _BASE}) = 0 AS kept, '{quality_rules.STRICT.name}' AS policy, CAST({quality_rules.STRICT.version} AS BIGINT) AS policy_version FROM ledger",
     "quality_ablation": f"{_LEDGER}, rules AS (SELECT * FROM (VALUES "
     + ", ".join(f"('{r}', {1 << list(quality_rules.RULES).index(r)})" for r in quality_rules.STRICT.rules)
     + f""") AS r(rule, bit))
@@ -108,15 +109,19 @@ FROM ledger CROSS JOIN rules GROUP BY rule""",
 WITH l AS (SELECT doc_id, text, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS t, len(ls) AS nl
   FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 f AS (SELECT *, CAST('0x' || substr(md5(trim(t)), 1, 15) AS BIGINT) % 1000003 AS h, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w FROM l),
-e AS (SELECT *, CASE WHEN (h + 31 * coalesce(lag(h) OVER o, 0)) % 2 = 0 OR w > 50 OR coalesce(lead(w) OVER o, 51) > 50 THEN 1 ELSE 0 END AS stop
-  FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, CASE WHEN (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 2 = 0 OR i = nl - 1 THEN 1 ELSE 0 END AS stop FROM f),
 k AS (SELECT *, sum(stop) OVER (PARTITION BY doc_id ORDER BY i) - stop AS c FROM e),
-b AS (SELECT doc_id, c, min(i) AS first, count(*) AS n, sum(w) AS words, string_agg(t, chr(10) ORDER BY i) AS body FROM k GROUP BY doc_id, c),
-g AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS r FROM b WHERE (n >= 2 AND words > 0) OR words > 50),
-x AS (SELECT doc_id, c, n FROM g WHERE r > 1),
-s AS (SELECT k.doc_id, min(k.text) AS old, min(k.nl) AS n_lines, string_agg(CASE WHEN x.c IS NULL THEN k.t END, chr(10) ORDER BY i) AS new,
-  count(x.c) AS n_removed_lines, count(DISTINCT x.c) AS n_removed_chunks FROM k LEFT JOIN x ON k.doc_id = x.doc_id AND k.c = x.c GROUP BY k.doc_id)
-SELECT doc_id, CASE WHEN n_removed_lines = 0 THEN old ELSE coalesce(new, '') END AS text, CAST(n_lines AS BIGINT) AS n_lines, n_removed_lines, n_removed_chunks FROM s""",
+b AS (SELECT doc_id, c, min(i) AS first, count(*) AS n, string_agg(t, chr(10) ORDER BY i) AS body FROM k GROUP BY doc_id, c HAVING count(*) >= 2 AND sum(w) > 0
+  UNION ALL SELECT doc_id, c, i, 1, t FROM k WHERE w > 50),
+g AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS r FROM b),
+y AS (SELECT *, max(n) OVER (PARTITION BY doc_id, c) AS top FROM g WHERE r > 1),
+x AS (SELECT doc_id, first, n FROM y WHERE n > 1 OR top = 1),
+o AS (SELECT DISTINCT doc_id, first + unnest(range(n)) AS i FROM x),
+q AS (SELECT doc_id, count(*) AS n_removed_chunks FROM x GROUP BY doc_id),
+s AS (SELECT k.doc_id, min(k.text) AS old, min(k.nl) AS n_lines, string_agg(CASE WHEN o.i IS NULL THEN k.t END, chr(10) ORDER BY k.i) AS new,
+  count(o.i) AS n_removed_lines FROM k LEFT JOIN o ON k.doc_id = o.doc_id AND k.i = o.i GROUP BY k.doc_id)
+SELECT s.doc_id, CASE WHEN n_removed_lines = 0 THEN old ELSE coalesce(new, '') END AS text, CAST(n_lines AS BIGINT) AS n_lines, n_removed_lines, coalesce(q.n_removed_chunks, 0) AS n_removed_chunks
+FROM s LEFT JOIN q ON q.doc_id = s.doc_id""",
     "op10_exact_dedup": r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256

@@ -3,7 +3,7 @@
 The model's compiled character map is read as it is stored: a double-array trie over source strings, whose leaves point at
 replacements.  Normalisation takes, at each place, the longest source string that the trie holds, and records for each
 normalised byte the byte it came from.  Pieces tile the normalised text, so that record projects each to original bytes.
-The ids themselves are the library's.
+The ids themselves are the library's, by contract; the alignment is this module's.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,65 @@ class CharacterMap:
         return found
 
 
+def _character(data: bytes, at: int) -> tuple[int, bytes]:
+    """The UTF-8 character at ``at`` as it is: its bytes and itself."""
+    n = 1 if data[at] < 0xC0 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+    return n, data[at : at + n]
+
+
+class Normaliser:
+    """A model's normalisation, with the source of every byte.  ``symbols`` (user-defined pieces) pass as they are."""
+
+    def __init__(self, spec, symbols: tuple[bytes, ...] = (), suffix: bool = False):
+        self.spec, self.suffix = spec, suffix
+        self.map = CharacterMap(spec.precompiled_charsmap)
+        self.symbols = sorted(symbols, key=len, reverse=True)
+        self.space = MARK if spec.escape_whitespaces else b" "
+
+    def _parts(self, data: bytes):
+        """(output, first byte, past-the-last byte) of the longest sources, left to right."""
+        at = 0
+        while at < len(data):
+            symbol = next((s for s in self.symbols if data.startswith(s, at)), None)
+            n, out = (len(symbol), symbol) if symbol else self.map.longest(data, at) or _character(data, at)
+            yield out, at, at + n
+            at += n
+
+    def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """Normalised bytes, and for each of them, and their end, the original byte it stands for."""
+        space, strip, mark = self.space, self.spec.remove_extra_whitespaces, self.spec.add_dummy_prefix
+        if not (self.map.units or self.symbols or strip):  # only spaces change
+            raw, front, back = np.frombuffer(data, np.uint8), bool(mark and data and not self.suffix), bool(mark and data and self.suffix)
+            source = np.repeat(np.arange(len(raw)), np.where(raw == 32, len(space), 1))
+            ends = [np.full(len(space) * on, at, np.int64) for on, at in ((front, 0), (back, len(raw)))]
+            return space * front + data.replace(b" ", space) + space * back, np.concatenate([ends[0], source, ends[1], [len(raw)]])
+        parts = list(self._parts(data))
+        while strip and parts and parts[0][0] == b" ":
+            del parts[0]
+        if not parts:
+            return b"", np.zeros(1, np.int64)
+        out, source = bytearray(), []
+
+        def put(piece: bytes, at: int) -> None:
+            out.extend(piece)
+            source.extend([at] * len(piece))
+
+        if mark and not self.suffix:
+            put(space, parts[0][1])
+        blank = strip  # what came before ended in a space
+        for text, at, _ in parts:
+            text = text.lstrip(b" ") if blank else text
+            put(text.replace(b" ", space), at)
+            blank = strip and (text.endswith(b" ") if text else blank)
+        end = parts[-1][2]
+        while strip and out.endswith(space):
+            end = source[-len(space)]
+            del out[-len(space) :], source[-len(space) :]
+        if mark and self.suffix:
+            put(space, end)
+        return bytes(out), np.array([*source, end], np.int64)
+
+
 class SpanEncoder:
     """One model: ids, spans and texts."""
 
@@ -58,67 +118,40 @@ class SpanEncoder:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(self.sp.serialized_model_proto())
-        self.spec = proto.normalizer_spec
-        self.map = CharacterMap(self.spec.precompiled_charsmap)
-        self.eos, self.unk = self.sp.eos_id(), self.sp.unk_id()
         kind = proto.SentencePiece
+        symbols = tuple(p.piece.encode() for p in proto.pieces if p.type == kind.USER_DEFINED)
+        self.normalise = Normaliser(proto.normalizer_spec, symbols, proto.trainer_spec.treat_whitespace_as_suffix)
+        self.eos, self.unk = self.sp.eos_id(), self.sp.unk_id()
         self.sizes = np.array([{kind.BYTE: 1, kind.CONTROL: 0}.get(p.type, len(p.piece.encode())) for p in proto.pieces], np.int64)
         self.names = [str(i) for i in range(len(proto.pieces))]
 
-    def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """Normalised bytes, and for each of them, and their end, the original byte it stands for."""
-        space = MARK if self.spec.escape_whitespaces else b" "
-        front = bool(self.spec.add_dummy_prefix and data)
-        if not self.map.units and not self.spec.remove_extra_whitespaces:
-            raw = np.frombuffer(data, np.uint8)
-            source = np.repeat(np.arange(len(raw)), np.where(raw == 32, len(space), 1))
-            return space * front + data.replace(b" ", space), np.concatenate([np.zeros(len(space) * front, np.int64), source, [len(raw)]])
-        strip, parts, at = self.spec.remove_extra_whitespaces, [], 0
-        while at < len(data):
-            n, out = self.map.longest(data, at) or (1, data[at : at + 1])
-            if n == 1 and out == data[at : at + 1]:  # the whole character, as it is
-                n = 1 if data[at] < 0xC0 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-                out = data[at : at + n]
-            parts.append((out, at, n))
-            at += n
-        if strip:
-            while parts and not parts[0][0].strip(b" "):
-                parts.pop(0)
-        out, source, blank = bytearray(), [], strip
-        if self.spec.add_dummy_prefix and parts:
-            out += space
-            source += [parts[0][1]] * len(space)
-        for text, start, _ in parts:
-            for b in text:
-                if b == 32 and strip and blank:
-                    continue
-                blank = b == 32
-                one = space if b == 32 else bytes([b])
-                out += one
-                source += [start] * len(one)
-        while strip and out.endswith(space):
-            del out[-len(space) :], source[-len(space) :]
-        return bytes(out), np.array([*source, parts[-1][1] + parts[-1][2] if parts else 0], np.int64)
-
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         return self.sp.encode([x or "" for x in texts], add_bos=False, add_eos=True, num_threads=1)
 
     def spans(self, text: str | None, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """First and past-the-last original byte of every id; control ids such as the end take no bytes."""
+        """First and past-the-last original byte of every id; control ids such as the end take no bytes.
+
+        Unknown pieces are as long as the library says.  Should pieces and normalised text differ in length, all pieces
+        are, and none goes past the text.
+        """
         normal, source = self.normalise((text or "").encode())
         sizes = self.sizes[ids]
-        if self.unk in ids:
-            surfaces = [len(x.encode()) for x in self.sp.encode(text, out_type=str)]
-            sizes[: len(surfaces)] = np.where(np.array(ids[: len(surfaces)]) == self.unk, surfaces, sizes[: len(surfaces)])
-        ends = np.cumsum(sizes)
-        if len(ends) and ends[-1] != len(normal):
-            raise ValueError(f"the pieces take {ends[-1]} of {len(normal)} normalised bytes")
-        return source[ends - sizes], source[ends]
+        if self.unk in ids or sizes.sum() != len(normal):
+            surfaces = np.array([len(x.encode()) for x in self.sp.encode(text or "", out_type=str)], np.int64)
+            own = np.array(ids[: len(surfaces)])
+            odd = own == self.unk if sizes.sum() - sizes[: len(own)][own == self.unk].sum() + surfaces[own == self.unk].sum() == len(normal) else np.ones(len(own), bool)
+            sizes[: len(surfaces)] = np.where(odd, surfaces, sizes[: len(surfaces)])
+        ends = np.minimum(np.cumsum(sizes), len(normal))
+        return source[np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)], source[ends]
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
 
 
+def _digest(numbers) -> str:
+    return hashlib.sha256(" ".join(numbers).encode()).hexdigest()
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
@@ -147,8 +180,8 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What :func:`encode` gives, as counts and digests: the same encoder per row, but the arrays stay in the task.
 
-    n_tokens, ids_sha256 (ids in decimal, joined by a space), decoded_sha256, and n_span_bytes, the original bytes that
-    the spans cover.
+    n_tokens, ids_sha256 (ids in decimal, joined by a space), decoded_sha256, n_span_bytes, the original bytes that the
+    spans cover, and spans_sha256: of the first and the past-the-last byte of every id in decimal, all joined by a space.
     """
     rows = _rows(docs, id_col, text_col)
 
@@ -162,9 +195,30 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
                 for text, ids in zip(part, coder.encode(part)):
                     starts, ends = coder.spans(text, ids)
                     covered = int(ends.max() - starts.min()) if len(ids) else 0
-                    out.append((len(ids), hashlib.sha256(" ".join(map(name, ids)).encode()).hexdigest(), hashlib.sha256(coder.decode(ids).encode()).hexdigest(), covered))
-            columns = zip(*out) if out else ((), (), (), ())
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_span_bytes"])
+                    both = np.stack([starts, ends], axis=1).ravel().tolist()
+                    out.append((len(ids), _digest(map(name, ids)), hashlib.sha256(coder.decode(ids).encode()).hexdigest(), covered, _digest(map(str, both))))
+            columns = zip(*out) if out else ((), (), (), (), ())
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_span_bytes", "spans_sha256"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long, spans_sha256 string")
+
+
+def token_items(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, cluster and ids (the end id last) of every row: what :func:`packing.sequences` packs.
+
+    A cluster is one text, ASCII case and white space aside.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def run(batches):
+        coder = SpanEncoder(model_file)
+        for batch in batches:
+            texts, ids, cluster = batch.column(2).to_pylist(), [], []
+            for at in range(0, len(texts), 64):
+                part = texts[at : at + 64]
+                ids += coder.encode(part)
+                cluster += [xxhash.xxh64_hexdigest(b" ".join((x or "").encode().lower().split())) for x in part]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cluster, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "source", "cluster", "ids"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, cluster string, ids array<int>")

@@ -1,10 +1,13 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints come from whole texts, one pass.  Distinct fingerprints are range-partitioned by their population counts
-and cut into blocks.  Block pairs whose counts can lie within the radius are compared in tiles: numpy exclusive-or and
-bit counts, after skipping tile pairs whose population counts (of the whole and of its four 16-bit quarters) differ by
-more than the radius.  A task returns a spanning forest of the links it found, never the links: k near copies give fewer
-than k rows.  The forests are joined to components in Spark.
+(of the whole and of its four 16-bit quarters) and cut into blocks.  A join in Spark pairs the blocks whose counts can lie
+within the radius; each pair is compared in tiles: numpy exclusive-or and bit counts, after skipping tile pairs whose
+counts differ by more than the radius.  A task returns a spanning forest of the links it found, never the links: k near
+copies give fewer than k rows.  The forests are joined to components in Spark.
+
+Blocks grow with the table, so that a fingerprint is sent to a bounded number of partners; the comparison itself is
+quadratic in distinct fingerprints, as it is exact.
 """
 
 from __future__ import annotations
@@ -13,10 +16,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_listed, stored
+from .common import connected_components, keep_first, numbered, stored
 
 SEED = 42
 #: Shingle hashes whose bits are counted at once; bounds memory for texts of any length.
@@ -108,42 +111,68 @@ def local_forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tup
     return both[linked], both[label[linked]]
 
 
+#: Fingerprints of a block: at least and at most, and blocks that a table is cut into meanwhile.
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1 << 15, 1 << 20, 512
+
+
 def _blocks(size: int):
     def cut(batches):
         parts = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]  # one range partition: about ``size`` numbers
         fps = np.concatenate(parts or [np.empty(0, np.int64)]).view(np.uint64)
         for at in range(0, len(fps), 2 * size):
             part = fps[at : at + 2 * size]
-            counts = _counts(part)[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array([int(counts.min())]), pa.array([int(counts.max())]), pa.array([part.tobytes()])], names=["low", "high", "fps"])
+            counts = _counts(part)
+            made = [[counts.min(axis=0).tolist()], [counts.max(axis=0).tolist()], [len(part)], [part.tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()))], names=["low", "high", "size", "fps"])
 
     return cut
 
 
-def forest(distinct: DataFrame, radius: int = 2, block: int = 32768) -> DataFrame:
+def grouped(blocks: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """``blocks`` (block, size, …) plus g: neighbours in ``order`` that together have about ``size`` items are one group.
+
+    A window over one row a block: a few numbers for each thousands of items.
+    """
+    before = F.sum("size").over(Window.orderBy(*order, "block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    return blocks.withColumn("g", F.floor(before / size))
+
+
+def meeting(groups: DataFrame, reach: int) -> DataFrame:
+    """(i, j), i <= j: groups (g, first, last) whose ranges of whole numbers come within ``reach``; an equi-join on those numbers."""
+    a = groups.select(F.col("g").alias("i"), F.explode(F.sequence(F.col("first") - reach, F.col("last") + reach)).alias("at"))
+    b = groups.select(F.col("g").alias("j"), F.explode(F.sequence("first", "last")).alias("at"))
+    return a.join(b, "at").where("i <= j").select("i", "j").distinct()
+
+
+def sides(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``blocks`` (g, …) for each of ``pairs`` (i, j), with side: false for those of i, true for those of another j."""
+    own, other = F.struct(F.col("i").alias("g"), F.lit(False).alias("side")), F.struct(F.col("j").alias("g"), F.lit(True).alias("side"))
+    dealt = pairs.select("i", "j", F.inline(F.when(F.col("i") == F.col("j"), F.array(own)).otherwise(F.array(own, other))))
+    return dealt.join(blocks, "g").drop("g")
+
+
+def forest(distinct: DataFrame, radius: int = 2, block: int | None = None) -> DataFrame:
     """(src, dst) links that connect all fingerprints of the column ``fp`` (distinct, stored) as the full set of links would."""
-    spark, n = distinct.sparkSession, distinct.count()
-    ranked = distinct.select("fp", F.bit_count("fp").alias("pop")).repartitionByRange(max(1, -(-n // block)), "pop", "fp").select("fp")
-    blocks = stored(ranked.mapInArrow(_blocks(block), "low long, high long, fps binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
-    # The list of blocks has three numbers for each ``block`` fingerprints.
-    spans = sorted((r.low, r.high, r.block) for r in blocks.select("low", "high", "block").toLocalIterator())
-    partners, ahead = {}, 0
-    for i, (low, high, b) in enumerate(spans):
-        for j in range(i, len(spans)):
-            if spans[j][0] > high + radius:
-                break
-            partners.setdefault(b, []).append((i, j))
-            if j > i:
-                partners.setdefault(spans[j][2], []).append((i, j))
-    dealt = spark.createDataFrame([(b, [{"i": i, "j": j} for i, j in p]) for b, p in partners.items()], "block long, pairs array<struct<i:int,j:int>>")
-    pairs = blocks.select("block", "fps").join(dealt, "block").select("block", "fps", F.explode("pairs").alias("p")).select("p.i", "p.j", "block", "fps")
+    n = distinct.count()
+    block = block or min(MOST_BLOCK, max(LEAST_BLOCK, n // BLOCKS))
+    quarters = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))).alias(f"q{k}") for k in range(4)]
+    ranked = distinct.select("fp", F.bit_count("fp").alias("pop"), *quarters).repartitionByRange(max(1, -(-n // block)), "pop", "q0", "q1", "q2", "q3", "fp").select("fp")
+    made = stored(ranked.mapInArrow(_blocks(block), "low array<long>, high array<long>, size long, fps binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
+    place = grouped(made.drop("fps"), [F.col("low"), F.col("high")], block)
+    blocks = made.select("block", "fps").join(place.select("block", "g"), "block").drop("block")
+    span = [f(F.get(c, F.lit(k))).alias(f"{c}{k}") for c, f in (("low", F.min), ("high", F.max)) for k in range(5)]
+    groups = place.groupBy("g").agg(*span)
+    pairs = meeting(groups.select("g", F.col("low0").alias("first"), F.col("high0").alias("last")), radius)
+    a, b = (groups.select(*[F.col(c).alias(f"{s}{c}") for c in groups.columns]) for s in "ab")
+    gap = [F.greatest(F.lit(0), F.col(f"alow{k}") - F.col(f"bhigh{k}"), F.col(f"blow{k}") - F.col(f"ahigh{k}")) for k in range(1, 5)]
+    pairs = pairs.join(a, F.col("i") == F.col("ag")).join(b, F.col("j") == F.col("bg")).where(gap[0] + gap[1] + gap[2] + gap[3] <= radius).select("i", "j")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sides = [np.frombuffer(x, np.uint64) for x in rows["fps"]]
-        src, dst = local_forest(sides[0], sides[1] if len(sides) > 1 else None, radius)
+        parts = [[np.frombuffer(x, np.uint64) for x in rows["fps"][rows["side"] == side]] for side in (False, True)]
+        src, dst = local_forest(np.concatenate(parts[0]), np.concatenate(parts[1]) if parts[1] else None, radius)
         return pd.DataFrame({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
-    return pairs.groupBy("i", "j").applyInPandas(compare, "src long, dst long")
+    return sides(blocks, pairs).groupBy("i", "j").applyInPandas(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
@@ -151,7 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows link if their fingerprints differ in ``radius`` bits at most, so rows with equal fingerprints always do; a null
     or wordless text has fingerprint zero.  Null ids never name a component unless it has no other id (then null).
-    Repeated rows get the same answer.  An empty table gives an empty result.  Other columns play no part.
+    Repeated rows get the same answer.  Texts of any length count whole, in steps of ``STEP`` shingles.  An empty table
+    gives an empty result.  Other columns, whatever their names, play no part.
     """
     rows = stored(fingerprints(docs, id_col, text_col), "fps")
     distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
@@ -163,9 +193,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """``docs`` with one row of each component, that with its smallest id; same columns.
+    """``docs`` with exactly one row of each component, that with its smallest id (null ids last); same columns.
 
-    Rows without an id always stay, and rows that share a component's smallest id all do.
+    Rows are known by a stored number, so repeated ids do no harm.
     """
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, radius)
-    return drop_listed(docs, [F.col(f"`{id_col}`")], stored(found.where("id != component_id").select("id").distinct(), "extra"))
+    rows, number = numbered(docs)
+    prints = stored(fingerprints(rows, number, text_col), "fps")
+    distinct = stored(prints.select("fp").distinct(), "distinct")
+    parts = stored(connected_components(forest(distinct, radius)).withColumnRenamed("node", "fp"), "parts")
+    named = prints.join(parts, "fp", "left").select(F.col("id").alias("row"), F.coalesce("component", "fp").alias("component"))
+    several = named.groupBy("component").count().where("count > 1").select("component")
+    ids = rows.select(F.col(number).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    members = stored(named.join(several, "component", "left_semi").join(ids, "row").select("row", "id", "component"), "members")
+    return keep_first(rows, number, members)
