@@ -60,6 +60,22 @@ def hour_interp(table: Column, minute: Column) -> Column:
     return a + (b - a) * (F.pmod(minute, F.lit(60)) / 60.0)
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def median_of(values: Column) -> Column:
+    """Median of an array without nulls, in any order; null if it is empty."""
+    return once(F.sort_array(values), array_median)
+
+
+def quantile(value: Column | str, at: float | list[float], exact: bool = True) -> Column:
+    """Percentile by linear interpolation, or (``exact`` false) by a sketch whose size doesn't grow with the rows."""
+    points = F.array(*map(F.lit, at)) if isinstance(at, list) else F.lit(at)
+    return F.percentile(value, points) if exact else F.percentile_approx(value, points, F.lit(10_000))
+
+
 def array_median(values: Column) -> Column:
     """Median of a sorted array without nulls; null if it is empty."""
     n = F.size(values)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..constants import NOISE, STEP, STUCK, VARS
-from ..functions.physics import dewpoint, hour_interp
+from ..functions.physics import array_median, dewpoint, hour_interp, once
 from .qc import no_false
 
 #: Rows that the furthest feature looks back.
@@ -38,9 +38,8 @@ def cut_history(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _median_before(x: str, over: WindowSpec) -> Column:
-    """Median of the 30 rows before, if 15 at least are there."""
-    frame = over.rowsBetween(-BACK, -1)
-    return F.when(F.count(x).over(frame) >= 15, F.percentile(x, F.lit(0.5)).over(frame))
+    """Median of the 30 rows before, if 15 at least are there: their values as a sorted array, some ten times as fast as a percentile a row."""
+    return once(F.sort_array(F.collect_list(x).over(over.rowsBetween(-BACK, -1))), lambda a: F.when(F.size(a) >= 15, array_median(a)))
 
 
 def with_climate(checked: DataFrame, profile: DataFrame) -> DataFrame:

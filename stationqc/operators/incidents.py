@@ -19,6 +19,21 @@ from .qc import last_minute, no_false
 KEY = ["station", "run_onset"]
 
 
+#: Minutes of a bucket by which intervals meet rows.
+DAY = 1440
+
+
+def meet(runs: DataFrame, rows: DataFrame, start: Column, stop: Column, run_key: str = "station", row_key: str = "s", minute: str = "m", how: str = "inner") -> DataFrame:
+    """Rows (``row_key``, ``minute``) that lie in [start, stop) of the runs of the same ``run_key``: an equi-join on that and the day.
+
+    Runs come again for each day that they touch, so a station's year isn't held against all its runs.
+    """
+    days = F.when(stop > start, F.sequence(F.floor(start / DAY), F.floor((stop - 1) / DAY)))
+    dealt = runs.withColumns({"m_start": start, "m_stop": stop, "m_day": F.explode(days)})
+    on = (F.col(run_key) == F.col(row_key)) & (F.col("m_day") == F.floor(F.col(minute) / DAY)) & (F.col(minute) >= F.col("m_start")) & (F.col(minute) < F.col("m_stop"))
+    return dealt.join(rows, on, how).drop("m_start", "m_stop", "m_day")
+
+
 def _sessions(acts: DataFrame, gap: int) -> DataFrame:
     """Adds session: it grows where the distance from the act row before exceeds ``gap``."""
     fresh = F.coalesce(F.col("minute") - F.lag("minute").over(by_minute()) > gap, F.lit(True)).cast("long")
@@ -61,7 +76,7 @@ def weather_runs(masked: DataFrame) -> DataFrame:
     """(station, start, end) of unusual minutes outside faults: 3 of 5, closed after 15, cut at the first fault.  Needs ts and in_fault."""
     runs = detect_runs(masked, (F.col("ts") >= 1) & ~F.col("in_fault"), need=3, win=5, close=15).select("station", F.col("detect").alias("start"), "end")
     faults = masked.where("in_fault").select(F.col("station").alias("s"), F.col("minute").alias("m"))
-    cut = runs.join(faults, (F.col("station") == F.col("s")) & (F.col("m") >= F.col("start")) & (F.col("m") < F.col("end")), "left").groupBy("station", "start", "end").agg(F.min("m").alias("cut"))
+    cut = meet(runs, faults, F.col("start"), F.col("end"), how="left").groupBy("station", "start", "end").agg(F.min("m").alias("cut"))
     return cut.select("station", "start", F.coalesce("cut", "end").alias("end"))
 
 
@@ -70,17 +85,16 @@ def extreme_runs(masked: DataFrame, edges: DataFrame) -> DataFrame:
     near = masked.join(edges.select("station").distinct(), "station", "left_semi")
     runs = group_runs(near, (F.abs("A_T") >= 4) & ~F.col("in_fault"), 10).where("last - start >= 30")
     rows = near.select(F.col("station").alias("s"), F.col("minute").alias("m"), F.coalesce("A_T", F.lit(0.0)).alias("a"))
-    mean = runs.join(rows, (F.col("station") == F.col("s")) & F.col("m").between(F.col("start"), F.col("last"))).groupBy("station", "start", "last").agg(F.avg("a").alias("mean"))
+    mean = meet(runs, rows, F.col("start"), F.col("last") + 1).groupBy("station", "start", "last").agg(F.avg("a").alias("mean"))
     kind = F.when(F.col("mean") > 0, "Heatwave").otherwise("Cold spell")
     out = mean.crossJoin(F.broadcast(last_minute(masked).withColumnRenamed("last", "newest")))
     return out.select("station", "start", "last", (F.col("start") + 30).alias("detect"), kind.alias("kind"), "mean", (F.col("last") >= F.col("newest") - 1).alias("ongoing"))
 
 
 def incident_evidence(runs: DataFrame, evidence: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
-    """Rows of ``evidence`` within [onset-before, end+after) of each run, with run_onset, detect, end and ongoing.  Incidents are few: equal on station."""
+    """Rows of ``evidence`` within [onset-before, end+after) of each run, with run_onset, detect, end and ongoing."""
     r = runs.select(F.col("station").alias("s"), F.col("onset").alias("run_onset"), "detect", "end", "ongoing")
-    on = (F.col("station") == F.col("s")) & (F.col("minute") >= F.col("run_onset") - before) & (F.col("minute") < F.greatest(F.col("end"), F.col("run_onset") + 60) + after)
-    return evidence.join(r, on).drop("s")
+    return meet(r, evidence, F.col("run_onset") - before, F.greatest(F.col("end"), F.col("run_onset") + 60) + after, "s", "station", "minute").drop("s")
 
 
 def incident_profile(runs: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MOST_NEIGHBOURS, RADIUS_KM, VARS
-from ..functions.physics import array_median, guarded, haversine_km, hour_interp
+from ..functions.physics import array_median, guarded, haversine_km, hour_interp, median_of, once
 
 
 def build_neighbours(stations: DataFrame, radius_km: float = RADIUS_KM, k: int = MOST_NEIGHBOURS) -> DataFrame:
@@ -57,8 +57,8 @@ def neighbour_median(values: Column, least: int = 2) -> Column:
 
 def neighbour_spread(values: Column, listed: Column) -> Column:
     """1.4826 times the median distance from the median; 0 for a station that lists fewer than 3, or without values."""
-    middle = array_median(values)
-    return F.when((listed >= 3) & (F.size(values) > 0), 1.4826 * array_median(F.sort_array(F.transform(values, lambda x: F.abs(x - middle))))).otherwise(0.0)
+    far = once(array_median(values), lambda middle: median_of(F.transform(values, lambda x: F.abs(x - middle))))
+    return F.when((listed >= 3) & (F.size(values) > 0), 1.4826 * far).otherwise(0.0)
 
 
 def neighbour_support(rows: DataFrame, edges: DataFrame, hidden: Column | None = None) -> DataFrame:

@@ -1,4 +1,7 @@
-"""What is normal for a station: learned by grouped aggregation."""
+"""What is normal for a station: learned by grouped aggregation.
+
+Percentiles are exact unless asked otherwise: ``exact=False`` takes sketches of a fixed size, for histories whose values don't fit a task.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FLOOR, VARS
-from ..functions.physics import hour_interp, hour_of
+from ..functions.physics import hour_interp, hour_of, quantile
 from .features import VECTOR
 
 
@@ -27,17 +30,17 @@ def climate_profile(checked: DataFrame) -> DataFrame:
     return by_hour({f"clim_{v}": v for v in VARS}, climatology(checked))
 
 
-def dsd_reference(featured: DataFrame) -> DataFrame:
+def dsd_reference(featured: DataFrame, exact: bool = True) -> DataFrame:
     """One row: the median dsd of each variable over all rows."""
-    return featured.agg(*[F.percentile(f"dsd_{v}", F.lit(0.5)).alias(f"dsd_ref_{v}") for v in VARS])
+    return featured.agg(*[quantile(f"dsd_{v}", 0.5, exact).alias(f"dsd_ref_{v}") for v in VARS])
 
 
-def feature_scale(vector: DataFrame) -> DataFrame:
+def feature_scale(vector: DataFrame, exact: bool = True) -> DataFrame:
     """(feature, med, iqr) over complete rows; iqr is at least half the 90th percentile of the distance from the median."""
     full = vector.where("complete")
-    first = full.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in VECTOR])
+    first = full.agg(*[quantile(c, [0.25, 0.5, 0.75], exact).alias(c) for c in VECTOR])
     far = full.crossJoin(F.broadcast(first.select(*[F.get(c, F.lit(1)).alias(f"m_{c}") for c in VECTOR])))
-    second = far.agg(*[F.percentile(F.abs(F.col(c) - F.col(f"m_{c}")), F.lit(0.9)).alias(f"a_{c}") for c in VECTOR])
+    second = far.agg(*[quantile(F.abs(F.col(c) - F.col(f"m_{c}")), 0.9, exact).alias(f"a_{c}") for c in VECTOR])
     both = first.crossJoin(F.broadcast(second))
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.get(c, F.lit(1)).alias("med"), F.greatest(F.get(c, F.lit(2)) - F.get(c, F.lit(0)), F.col(f"a_{c}") * 0.5 + 1e-3).alias("iqr")) for c in VECTOR]))
     return both.select(rows.alias("r")).select("r.*")
@@ -49,28 +52,28 @@ def robust_scale(vector: DataFrame, scale: dict[str, tuple[float, float]]) -> Da
     return vector.withColumns({c: one(c) for c in VECTOR})
 
 
-def read_scale(vector: DataFrame) -> dict[str, tuple[float, float]]:
+def read_scale(vector: DataFrame, exact: bool = True) -> dict[str, tuple[float, float]]:
     """:func:`feature_scale` on the driver: 17 rows."""
-    return {r.feature: (r.med, r.iqr) for r in feature_scale(vector).collect()}
+    return {r.feature: (r.med, r.iqr) for r in feature_scale(vector, exact).collect()}
 
 
-def spatial_offsets(resid: DataFrame, least: int = 500) -> DataFrame:
+def spatial_offsets(resid: DataFrame, least: int = 500, exact: bool = True) -> DataFrame:
     """(station, off_T, off_P, off_RH, n_T, …): median residual by hour, 0 for an empty hour or a station with under ``least`` residuals."""
-    hours = resid.groupBy("station", hour_of(F.col("minute")).alias("hour")).agg(*[F.percentile(f"res_{v}", F.lit(0.5)).alias(f"r_{v}") for v in VARS], *[F.count(f"res_{v}").alias(f"c_{v}") for v in VARS])
+    hours = resid.groupBy("station", hour_of(F.col("minute")).alias("hour")).agg(*[quantile(f"res_{v}", 0.5, exact).alias(f"r_{v}") for v in VARS], *[F.count(f"res_{v}").alias(f"c_{v}") for v in VARS])
     table = by_hour({f"off_{v}": f"r_{v}" for v in VARS}, hours, F.lit(0.0))
     out = table.join(hours.groupBy("station").agg(*[F.sum(f"c_{v}").alias(f"n_{v}") for v in VARS]), "station")
     zeros = F.array_repeat(F.lit(0.0), 24)
     return out.withColumns({f"off_{v}": F.when(F.col(f"n_{v}") >= least, F.col(f"off_{v}")).otherwise(zeros) for v in VARS})
 
 
-def spatial_sigma(resid: DataFrame, offsets: DataFrame, least: int = 500) -> DataFrame:
+def spatial_sigma(resid: DataFrame, offsets: DataFrame, least: int = 500, exact: bool = True) -> DataFrame:
     """(station, sig_T, …, sigI_T, …): robust spread of the residuals, never under the floor."""
     rows = resid.join(offsets, "station")
     r2 = rows.select("station", *[(F.col(f"res_{v}") - hour_interp(F.col(f"off_{v}"), F.col("minute"))).alias(f"r_{v}") for v in VARS], *[F.col(f"resI_{v}").alias(f"i_{v}") for v in VARS])
-    mid = r2.groupBy("station").agg(*[F.percentile(f"{k}_{v}", F.lit(0.5)).alias(f"m{k}_{v}") for k in "ri" for v in VARS], *[F.count(f"r_{v}").alias(f"n_{v}") for v in VARS])
+    mid = r2.groupBy("station").agg(*[quantile(f"{k}_{v}", 0.5, exact).alias(f"m{k}_{v}") for k in "ri" for v in VARS], *[F.count(f"r_{v}").alias(f"n_{v}") for v in VARS])
     far = r2.join(mid, "station").groupBy("station").agg(
-        *[F.percentile(F.abs(F.col(f"r_{v}") - F.col(f"mr_{v}")), F.array(F.lit(0.5), F.lit(0.99))).alias(f"q_{v}") for v in VARS],
-        *[F.percentile(F.abs(F.col(f"i_{v}") - F.col(f"mi_{v}")), F.lit(0.5)).alias(f"qi_{v}") for v in VARS],
+        *[quantile(F.abs(F.col(f"r_{v}") - F.col(f"mr_{v}")), [0.5, 0.99], exact).alias(f"q_{v}") for v in VARS],
+        *[quantile(F.abs(F.col(f"i_{v}") - F.col(f"mi_{v}")), 0.5, exact).alias(f"qi_{v}") for v in VARS],
         *[F.first(f"n_{v}").alias(f"n_{v}") for v in VARS],
     )
     sig = lambda v: F.when(F.col(f"n_{v}") >= least, F.greatest(F.lit(FLOOR[v]), 1.4826 * F.get(f"q_{v}", F.lit(0)), F.get(f"q_{v}", F.lit(1)) / 2.576)).otherwise(FLOOR[v])
@@ -78,7 +81,7 @@ def spatial_sigma(resid: DataFrame, offsets: DataFrame, least: int = 500) -> Dat
     return far.select("station", *[sig(v).alias(f"sig_{v}") for v in VARS], *[sig_i(v).alias(f"sigI_{v}") for v in VARS])
 
 
-def spatial_profile(resid: DataFrame, least: int = 500) -> DataFrame:
+def spatial_profile(resid: DataFrame, least: int = 500, exact: bool = True) -> DataFrame:
     """(station, off, sig, sigI): all that :func:`..neighbours.spatial_z` needs."""
-    offsets = spatial_offsets(resid, least)
-    return offsets.drop(*[f"n_{v}" for v in VARS]).join(spatial_sigma(resid, offsets, least), "station")
+    offsets = spatial_offsets(resid, least, exact)
+    return offsets.drop(*[f"n_{v}" for v in VARS]).join(spatial_sigma(resid, offsets, least, exact), "station")

@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, incidents, neighbours, profile, qc
+from ..sources.scratch import delete, scratch_path
 from . import fixtures
 
 
-#: Layers that several later ones read: kept on disk.  SMALL ones have a row a station or an incident.
-WIDE, SMALL = {"features", "residuals", "scored", "masked", "expected"}, {"climate", "edges", "spatial", "alerts", "incidents"}
+#: Layers that later ones or several queries read: written once, as Parquet in the scratch folder, and read back, so that
+#: plans stay short, readers take the columns they need, and a lost executor costs no layer.
+STORED = {"panel", "stations", "climate", "features", "edges", "residuals", "spatial", "scored", "marked", "expected", "alerts", "masked", "weather", "incidents"}
 
 
 class Layers:
-    """Lazy DataFrames; ``ts`` and ``p_model`` are fixed functions of the evidence here, so that SQL can follow."""
+    """DataFrames by name, made when first asked for; ``ts`` and ``p_model`` are fixed functions of the evidence here, so that SQL can follow."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf = spark, sf_dir
         self.made: dict[str, DataFrame] = {}
+        self.paths: list[str] = []
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or not hasattr(type(self), f"make_{name}"):
             raise AttributeError(name)
         if name not in self.made:
             made = getattr(self, f"make_{name}")()
-            self.made[name] = made.persist(StorageLevel.DISK_ONLY if name in WIDE else StorageLevel.MEMORY_AND_DISK) if name in WIDE | SMALL else made
+            self.made[name] = self._stored(name, made) if name in STORED else made
         return self.made[name]
 
+    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, f"layer-{name}")
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def release(self) -> None:
-        for df in self.made.values():
-            df.unpersist()
+        for path in self.paths:
+            delete(self.spark, path)
+        self.made.clear()
+        self.paths.clear()
 
     def make_panel(self):
         return fixtures.panel(self.spark, self.sf)
@@ -66,10 +76,13 @@ class Layers:
     def make_scored(self):
         return qc.hard_and_instant(self.z.withColumn("p_model", F.least(F.lit(1.0), F.coalesce(F.abs("zL_T"), F.lit(0.0)) / 8)))
 
-    def make_second(self):
-        """The second pass: neighbours that were flagged in the last half hour don't speak."""
+    def make_marked(self):
+        """What the second pass needs of the first: neighbours that were flagged in the last half hour don't speak."""
         marked = self.scored.withColumn("excluded", features.recently(F.col("prob") >= 0.5))
-        again = marked.select(*self.anomalies.columns, "p_model", "hard", "instant", "prob", "excluded")
+        return marked.select("station", "minute", *neighbours.SPATIAL, "ts", "excluded")
+
+    def make_second(self):
+        again = self.marked
         return neighbours.spatial_z(neighbours.residuals(neighbours.neighbour_support(again, self.edges, F.col("excluded"))), self.spatial)
 
     def make_expected(self):
@@ -81,6 +94,9 @@ class Layers:
     def make_masked(self):
         return incidents.fault_minutes(self.scored, self.alerts)
 
+    def make_weather(self):
+        return incidents.weather_runs(self.masked)
+
     def make_incidents(self):
         return incidents.incidents(self.expected, self.edges, self.alerts)
 
@@ -98,3 +114,10 @@ def layers(spark: SparkSession, sf_dir: str) -> Layers:
         _last.clear()
         _last[key] = Layers(spark, sf_dir)
     return _last[key]
+
+
+def forget() -> None:
+    """Deletes the layers that are kept."""
+    for old in _last.values():
+        old.release()
+    _last.clear()

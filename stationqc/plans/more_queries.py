@@ -106,16 +106,16 @@ _MED = lambda v, a, b: f"quantile_cont(CASE WHEN rel >= {a} AND rel < {b} THEN {
 _KIND = f"""{_MOVES}, agg AS (SELECT station, start, stop, {', '.join(f"{_MED(v, 0, 40)} - {_MED(v, -60, -5)} AS d{v}" for v in VARS)}, {_MED('RH', 0, 60)} AS rh, max(CASE WHEN rel >= 1 AND rel < 15 THEN jump END) AS jump FROM around GROUP BY station, start, stop)
 SELECT station, start, stop AS "end", CASE WHEN dT >= 3 THEN 'Heatwave' WHEN dT <= -2.5 AND dRH >= 5 AND abs(dP) < 4 THEN CASE WHEN start > 0 AND stop > start + 1 AND jump > 0.3 THEN 'Thunderstorm outflow' ELSE 'Cold front' END
   WHEN dT <= -2.5 THEN 'Cold front' WHEN rh >= 95 AND dT <= 0 THEN 'Fog' ELSE 'Weather change' END AS kind, {r6('dT dP dRH')} FROM agg"""
-query("i13_weather_kind", lambda x: pick(events.weather_kind(incidents.weather_runs(x.masked), x.masked), "station start end kind", "dT dP dRH"), build("weather", "").rstrip() + ", " + _KIND)
+query("i13_weather_kind", lambda x: pick(events.weather_kind(x.weather, x.masked), "station start end kind", "dT dP dRH"), build("weather", "").rstrip() + ", " + _KIND)
 _AGREE = 'said AS (SELECT w.station, w.start, w."end" AS stop, e.nb, max(m.ts) AS top FROM weather w JOIN edges e ON e.station = w.station JOIN masked m ON m.station = e.nb AND m.minute >= w.start AND m.minute < w."end" GROUP BY ALL), yes AS (SELECT station, start, stop, sum(CASE WHEN top >= 0.7 THEN 1.0 ELSE 0.0 END) AS yes FROM said GROUP BY ALL), lst AS (SELECT station, count(*) AS n FROM edges GROUP BY station), agreed AS (SELECT w.station, w.start, w."end" AS stop, coalesce(y.yes, 0.0) / l.n AS neighbours_agree, coalesce(l.n, 0) AS n_neighbours FROM weather w LEFT JOIN yes y ON y.station = w.station AND y.start = w.start LEFT JOIN lst l ON l.station = w.station)'
-_agreed = lambda x: events.neighbour_agreement(incidents.weather_runs(x.masked), x.edges, x.masked)
+_agreed = lambda x: events.neighbour_agreement(x.weather, x.edges, x.masked)
 query("j15_neighbour_agreement", lambda x: pick(_agreed(x), "station start end n_neighbours", "neighbours_agree"), build("weather edges", "").rstrip() + f', {_AGREE} SELECT station, start, stop AS "end", n_neighbours, {r6("neighbours_agree")} FROM agreed')
 query("i14_event_confidence", lambda x: pick(events.describe_events(_agreed(x)), "station start end severity", "confidence"), build("weather edges", "").rstrip() + f""", {_AGREE} SELECT station, start, stop AS "end", 'ok' AS severity, round(least(0.98, 0.72 + 0.25 * coalesce(neighbours_agree, 0.3)) + 1.3e-8, 6) + 0.0 AS confidence FROM agreed""")
 
 
 def _union(x: Layers) -> DataFrame:
     faults = x.alerts.select("station", F.lit("fault").alias("type"), "onset", "detect", "end", "ongoing")
-    weather = events.describe_events(events.neighbour_agreement(events.weather_kind(incidents.weather_runs(x.masked), x.masked), x.edges, x.masked))
+    weather = events.describe_events(events.neighbour_agreement(events.weather_kind(x.weather, x.masked), x.edges, x.masked))
     extremes = incidents.extreme_runs(x.masked, x.edges).withColumn("end", F.col("last") + 1)
     extremes = events.describe_events(events.neighbour_agreement(extremes, x.edges, x.masked, extreme=True), extreme=True)
     return events.union_all(faults, weather, extremes).select("kind", "station", "onset", "detect", "end")

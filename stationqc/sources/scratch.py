@@ -17,3 +17,9 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
         folder = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table that :func:`scratch_path` named, wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
