@@ -50,3 +50,48 @@ ALIASES = {
     "P": ("pressure", "pres", "p", "slp"),
     "RH": ("humidity", "rh", "relative_humidity"),
 }
+
+#: Fixed texts that operators return, with the values that they name in braces.
+CHECKS = {
+    "qc": ("Quick check on the station", "range · jump · stuck · missing"),
+    "physics": ("Physics check", "T ↔ RH dew point"),
+    "neighbour": ("Neighbour check", "buddy · 100 km"),
+    "ai": ("AI check", "IsolationForest + autoencoder"),
+}
+CHECK_TEXT = {
+    "packets": "Missing or invalid packets for {bad} of {minutes} minutes.",
+    "range": "{name} {value} {unit} is outside the {low} to {high} limit.",
+    "step": "{name} changed {value} {unit} in 1 minute.",
+    "stuck": "{name} identical for {count} readings in a row.",
+    "qc_pass": "No impossible values, sudden jumps, stuck or missing readings.",
+    "physics_fail": "Temperature and humidity together imply a dew point of {dew} °C, moved {moved} °C in 30 minutes. Air moisture cannot change that fast.",
+    "physics_pass": "Temperature, pressure and humidity are consistent. Dew point steady.",
+    "neighbour_fail": "{name} is {size} {unit} from {n} stations within {km} km. Only this station is off.",
+    "neighbour_warn": "Close to the {n} stations within {km} km. The fault shows in the station's own signals.",
+    "neighbour_na": "No other station within 100 km. Physics and AI only, so confidence is lower.",
+    "ai": "Unusualness score {score} against this station's own learned pattern (1.0 = outside 99.9% of normal behaviour).",
+}
+WHO = {"near": "{n} nearby stations stayed normal", "alone": "no neighbour is available to confirm, so physics and AI decided"}
+SENTENCE = {
+    "comm_error": "Flagged: packets are missing or invalid for {minutes} minutes, so all three readings are unusable.",
+    "stuck": "Flagged: {names} have not changed for {minutes} minutes{tail}",
+    "noise_burst": "Flagged: {name} readings became erratic for {minutes} minutes with no matching weather change, while {who}.",
+    "power_glitch": "Flagged: temperature, pressure and humidity jumped together at random for {minutes} minutes, the signature of a power fault, while {who}.",
+    "spike": "Flagged: {name} jumped {size} {unit} for {minutes} minutes and returned, while {who}.",
+    "drift": "Flagged: {name} has crept {size} {unit} away from the expected value over {minutes} minutes, while {who}.",
+    "level_shift": "Flagged: {name} jumped {size} {unit} within minutes and stayed there, while {who}.",
+}
+STUCK_TAIL = {"near": " while {n} nearby stations kept moving.", "alone": "."}
+SHARES = ("Difference from neighbours", "Dew-point jump (physics)", "Broke a station limit", "Unusual for this station (AI)")
+EVENT_TEXT = {
+    "extreme": "Not a fault: temperature is {size} °C from normal, and {agree} of {n} nearby stations show the same departure. Real weather is kept, not deleted.",
+    "weather": "Not a fault: temperature, pressure and humidity changed together, and {agree} of {n} nearby stations saw the same change. Real weather is kept, not deleted.",
+    "alone": "Unusual but physically consistent. No neighbour is available to confirm, so it is kept with a lower confidence.",
+}
+NOTES = {
+    "drift": "{sensor} is drifting {rate} {unit} per day and is expected to exceed its {limit} {unit} tolerance in about {days} days. Schedule recalibration.",
+    "weak": "{sensor} health {score}/100. Inspect at the next visit.",
+    "none": "No maintenance needed.",
+}
+#: Names of sensors that fail together.
+PROBE, LOGGER = "Temperature / humidity probe", "Logger (all sensors)"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import SENSORS, TOLERANCE, UNITS, VARS
+from ..constants import NOTES, SENSORS, TOLERANCE, UNITS, VARS
+from ..functions.text import fill, fixed
 from .qc import last_minute
 
 
@@ -77,15 +78,14 @@ def overall(health: DataFrame) -> DataFrame:
 
 def maintenance_notes(health: DataFrame) -> DataFrame:
     """(station, notes): advice in the order of the sensors, or that there is none."""
-    drifts = F.concat(
-        _by_var(SENSORS), F.lit(" is drifting "), F.format_string("%.2f", F.bround(F.abs("drift"), 3)), F.lit(" "), _by_var(UNITS), F.lit(" per day and is expected to exceed its "), _by_var({"T": "1", "P": "1", "RH": "5"}),
-        F.lit(" "), _by_var(UNITS), F.lit(" tolerance in about "), F.format_string("%.1f", F.bround("days_to_limit", 1)), F.lit(" days. Schedule recalibration."),
-    )
-    weak = F.concat(_by_var(SENSORS), F.lit(" health "), F.col("score").cast("string"), F.lit("/100. Inspect at the next visit."))
+    sensor, unit = _by_var(SENSORS), _by_var(UNITS)
+    limit = _by_var({v: f"{TOLERANCE[v]:g}" for v in VARS})
+    drifts = fill(NOTES["drift"], sensor=sensor, rate=fixed(F.abs("drift"), 2), unit=unit, limit=limit, days=fixed(F.col("days_to_limit"), 1))
+    weak = fill(NOTES["weak"], sensor=sensor, score=F.col("score"))
     note = F.when(F.col("days_to_limit") < 30, drifts).when(F.col("status") != "ok", weak)
     rank = _by_var({"T": 0, "P": 1, "RH": 2})
     found = health.groupBy("station").agg(F.array_sort(F.collect_list(F.when(note.isNotNull(), F.struct(rank.alias("k"), note.alias("text"))))).alias("n"))
-    return found.select("station", F.when(F.size("n") == 0, F.array(F.lit("No maintenance needed."))).otherwise(F.transform("n", lambda x: x["text"])).alias("notes"))
+    return found.select("station", F.when(F.size("n") == 0, F.array(F.lit(NOTES["none"]))).otherwise(F.transform("n", lambda x: x["text"])).alias("notes"))
 
 
 def override_by_alert(worst: DataFrame, open_alerts: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import ACTION, CAUSE, HARD_P, LABEL, NAMES, NOISE, RANGE, SENSORS, SEVERITIES, SEVERITY, STEP, THRESHOLD, TOLERANCE, UNITS, VARS
-from ..functions.physics import array_median
-from ..functions.text import plain, signed
+from ..constants import ACTION, CAUSE, CHECK_TEXT, CHECKS, HARD_P, LABEL, LOGGER, NAMES, NOISE, PROBE, RANGE, SENSORS, SENTENCE, SEVERITIES, SEVERITY, SHARES, STEP, STUCK_TAIL, THRESHOLD, TOLERANCE, UNITS, VARS, WHO
+from ..functions.physics import array_median, median_of
+from ..functions.text import fill, fixed, plain, signed
 from .features import by_minute
 from .qc import last_minute, no_false
 
@@ -108,6 +108,7 @@ def incident_profile(runs: DataFrame, evidence: DataFrame) -> DataFrame:
     for v in VARS:
         new[f"ref_{v}"] = F.percentile(F.when(base, F.col(v)), F.lit(0.5)).over(whole)
         new[f"cl0_{v}"] = F.min(F.when(rel >= -50, F.struct("minute", F.col(f"cl_{v}").alias("c")))).over(whole)["c"]
+    new["td_mid"] = median_of(F.collect_list("td").over(whole.orderBy("minute").rowsBetween(-35, -6)))
     rows = rows.withColumns(new | {"seg": seg, "rel": rel, "len": length})
     for v in VARS:
         own = F.col(v) - F.col(f"ref_{v}") - (F.col(f"cl_{v}") - F.col(f"cl0_{v}"))
@@ -125,6 +126,7 @@ def incident_profile(runs: DataFrame, evidence: DataFrame) -> DataFrame:
         F.percentile(F.when((F.col("rel") >= 0) & (F.col("rel") < 10), F.col("p_model")), F.lit(0.5)).alias("p_early"),
         F.coalesce(F.max(s(F.col("ph"))), F.lit(0.0)).alias("ph_max"), F.coalesce(F.max(s(F.col("ts"))), F.lit(0.0)).alias("ts_max"),
         F.max("listed").alias("n_neighbours"), F.max("far_km").alias("far_km"),
+        F.min(s(F.struct((-F.col("ph")).alias("o"), "minute", "td", "td_mid"))).alias("dew"),
     ]
     newest = F.when(F.col("ongoing"), F.col("last")).otherwise(F.col("end") - 1)
     for v in VARS:
@@ -145,7 +147,8 @@ def incident_profile(runs: DataFrame, evidence: DataFrame) -> DataFrame:
             F.min(s(F.when(F.col(f"rng_{v}"), F.struct("minute", F.col(f"{v}_raw").alias("x"))))).getField("x").alias(f"badval_{v}"),
             F.min(s(F.when(F.col(f"step_{v}"), F.struct("minute", F.col(f"d1_{v}").alias("x"))))).getField("x").alias(f"stepval_{v}"),
         ]
-    return rows.crossJoin(F.broadcast(last_minute(evidence))).groupBy(*KEY).agg(*aggs)
+    found = rows.crossJoin(F.broadcast(last_minute(evidence))).groupBy(*KEY).agg(*aggs)
+    return found.withColumns({"dew_td": F.col("dew.td"), "dew_moved": F.col("dew.td") - F.col("dew.td_mid")}).drop("dew")
 
 
 def _pick(by: Column, prefix: str) -> Column:
@@ -173,7 +176,7 @@ def main_variable(profile: DataFrame) -> DataFrame:
 
 
 def classify_fault(profile: DataFrame) -> DataFrame:
-    """Adds type.  ``profile`` has main."""
+    """Adds type, and what tells a jump from a drift: pk, the median of the largest deviations, and rise, minutes from a fifth of it to four.  ``profile`` has main."""
     main = F.col("main")
     n_of = lambda cond: sum((F.when(cond(v), 1).otherwise(0) for v in VARS), F.lit(0))
     spiky = (n_of(lambda v: F.col(f"nsp_{v}") >= 2) >= 2) & (n_of(lambda v: F.col(f"elev_{v}") >= 0.35) >= 2)
@@ -187,17 +190,17 @@ def classify_fault(profile: DataFrame) -> DataFrame:
     top = F.slice(F.sort_array("sizes", asc=False), 1, F.greatest(F.lit(3), F.floor(F.size("sizes") / 8).cast("int")))
     out = out.withColumn("pk", array_median(F.sort_array(top)))
     first = lambda part: F.when(F.col("pk") > 0, F.coalesce(F.array_min(F.transform("sizes", lambda x, i: F.when(x >= part * F.col("pk"), i))), F.lit(0))).otherwise(0)
-    rise = first(0.8) - first(0.2)
+    out = out.withColumn("rise", (first(0.8) - first(0.2)).cast("long"))
     kind = (
         F.when(F.col("comm_share") >= 0.5, "comm_error")
         .when((F.col("stuck_T") | F.col("stuck_P") | F.col("stuck_RH")) & (F.col("stuck_share") >= 0.5), "stuck")
         .when(spiky, "power_glitch")
         .when((k_big / F.greatest(F.lit(1), F.col("len")) >= 0.25) & (k_big > 8) & (one_sided < 0.85), "noise_burst")
-        .when(persist, F.when(rise <= 12, "level_shift").otherwise("drift"))
+        .when(persist, F.when(F.col("rise") <= 12, "level_shift").otherwise("drift"))
         .when(k_big <= 8, "spike")
         .otherwise("noise_burst")
     )
-    return out.withColumn("type", kind).drop("sizes", "pk")
+    return out.withColumn("type", kind).drop("sizes")
 
 
 def describe(classified: DataFrame, first_minute: int = 0) -> DataFrame:
@@ -209,7 +212,7 @@ def describe(classified: DataFrame, first_minute: int = 0) -> DataFrame:
     var, n = F.col("var"), F.size("vars")
     names = F.transform("vars", lambda x: F.when(x == "T", SENSORS["T"]).when(x == "P", SENSORS["P"]).otherwise(SENSORS["RH"]))
     both = (n == 2) & F.array_contains("vars", "T") & F.array_contains("vars", "RH")
-    sensor = F.when(n == 1, F.get(names, F.lit(0))).when(both, "Temperature / humidity probe").when(n == 3, "Logger (all sensors)").otherwise(F.array_join(names, " + "))
+    sensor = F.when(n == 1, F.get(names, F.lit(0))).when(both, PROBE).when(n == 3, LOGGER).otherwise(F.array_join(names, " + "))
     inside = F.filter(_pick(var, "series"), lambda r: r["seg"])
     largest = F.array_max(F.transform(inside, lambda r: F.struct(F.abs(r["d"]).alias("a"), (-r["minute"]).alias("m"), r["d"].alias("d"))))
     run0 = _pick(var, "run0")
@@ -231,57 +234,48 @@ def describe(classified: DataFrame, first_minute: int = 0) -> DataFrame:
     a = F.when(F.col("has_nb"), F.least(F.lit(1.0), F.greatest(*[F.col(f"zpeak_{v}") for v in VARS]) / 12.0)).otherwise(0.05)
     b, c = F.least(F.lit(1.0), F.col("ph_max")), F.when(F.col("any_hard") | F.col("any_step"), 1.0).otherwise(0.1)
     d = F.least(F.lit(1.0), F.col("ts_max") / 3.0) * 0.6
-    shares = {"Difference from neighbours": a, "Dew-point jump (physics)": b, "Broke a station limit": c, "Unusual for this station (AI)": d}
+    shares = dict(zip(SHARES, (a, b, c, d)))
     out = out.withColumn("contributions", F.array(*[F.struct(F.lit(k).alias("name"), F.bround(100 * x / (a + b + c + d)).cast("long").alias("share")) for k, x in shares.items()]))
     return out.withColumns({"checks": _checks(), "explanation": _sentence()})
 
 
 def _checks() -> Column:
-    say, bad = [], [F.col("comm_share") > 0.2]
-    say.append(F.when(bad[0], F.concat(F.lit("Missing or invalid packets for "), F.col("n_comm").cast("string"), F.lit(" of "), F.col("len").cast("string"), F.lit(" minutes."))))
+    own = lambda v: {"name": F.lit(NAMES[v]), "unit": F.lit(UNITS[v])}
+    failed, say = F.col("comm_share") > 0.2, []
+    say.append(F.when(failed, fill(CHECK_TEXT["packets"], bad=F.col("n_comm"), minutes=F.col("len"))))
     for v in VARS:
-        low, high = RANGE[v]
-        say.append(
-            F.when(F.col(f"rng_{v}"), F.concat(F.lit(f"{NAMES[v]} "), plain(F.col(f"badval_{v}")), F.lit(f" {UNITS[v]} is outside the {low:g} to {high:g} limit."))).when(
-                F.col(f"stepped_{v}"), F.concat(F.lit(f"{NAMES[v]} changed "), plain(F.abs(f"stepval_{v}")), F.lit(f" {UNITS[v]} in 1 minute."))
-            )
-        )
-        say.append(F.when(F.col(f"stuck_{v}"), F.concat(F.lit(f"{NAMES[v]} identical for "), (F.col(f"runmax_{v}") + 1).cast("string"), F.lit(" readings in a row."))))
-        bad += [F.col(f"rng_{v}"), F.col(f"stepped_{v}"), F.col(f"stuck_{v}")]
-    failed = bad[0]
-    for x in bad[1:]:
-        failed = failed | x
-    check = lambda i, title, tag, state, text: F.struct(F.lit(i).alias("id"), F.lit(title).alias("title"), F.lit(tag).alias("tag"), state.alias("state"), text.alias("text"))
-    var = F.col("var")
-    wet = F.col("ph_max") >= 1
-    far = F.format_string("%.0f", F.bround("far_km", 0))
-    z = _pick(var, "zpeak")
-    off = F.concat(_const(var, NAMES), F.lit(" is "), signed(F.col("magnitude")), F.lit(" "), F.col("unit"), F.lit(" from "), F.col("n_neighbours").cast("string"), F.lit(" stations within "), far, F.lit(" km. Only this station is off."))
-    close = F.concat(F.lit("Close to the "), F.col("n_neighbours").cast("string"), F.lit(" stations within "), far, F.lit(" km. The fault shows in the station's own signals."))
-    return F.array(
-        check("qc", "Quick check on the station", "range · jump · stuck · missing", F.when(failed, "fail").otherwise("pass"), F.when(failed, F.array_join(F.slice(F.array_compact(F.array(*say)), 1, 2), " ")).otherwise("No impossible values, sudden jumps, stuck or missing readings.")),
-        check("physics", "Physics check", "T ↔ RH dew point", F.when(wet, "fail").otherwise("pass"), F.when(wet, F.concat(F.lit("The dew point moved "), plain(F.col("ph_max") * 6.0), F.lit(" °C in 30 minutes. Air moisture cannot change that fast."))).otherwise("Temperature, pressure and humidity are consistent. Dew point steady.")),
-        check("neighbour", "Neighbour check", "within 100 km", F.when(~F.col("has_nb"), "na").when(z >= 5, "fail").otherwise("warn"), F.when(~F.col("has_nb"), "No other station within 100 km. Physics and AI only, so confidence is lower.").when(z >= 5, off).otherwise(close)),
-        check("ai", "AI check", "isolation forest + autoencoder", F.when(F.col("ts_max") >= 1, "fail").otherwise("pass"), F.concat(F.lit("Unusualness score "), F.format_string("%.2f", F.bround("ts_max", 2)), F.lit(" against this station's own learned pattern (1.0 = outside 99.9% of normal behaviour)."))),
-    )
+        low, high = (F.lit(f"{x:g}") for x in RANGE[v])
+        out, step, stuck = (F.col(f"{k}_{v}") for k in ("rng", "stepped", "stuck"))
+        say.append(F.when(out, fill(CHECK_TEXT["range"], value=plain(F.col(f"badval_{v}")), low=low, high=high, **own(v))).when(step, fill(CHECK_TEXT["step"], value=plain(F.abs(f"stepval_{v}")), **own(v))))
+        say.append(F.when(stuck, fill(CHECK_TEXT["stuck"], name=F.lit(NAMES[v]), count=F.col(f"runmax_{v}") + 1)))
+        failed = failed | out | step | stuck
+    var, wet, far = F.col("var"), F.col("ph_max") >= 1, fixed(F.col("far_km"), 0)
+    near = {"n": F.col("n_neighbours"), "km": far}
+    off = _pick(var, "zpeak") >= 5
+    texts = {
+        "qc": (F.when(failed, "fail").otherwise("pass"), F.when(failed, F.array_join(F.slice(F.array_compact(F.array(*say)), 1, 2), " ")).otherwise(CHECK_TEXT["qc_pass"])),
+        "physics": (F.when(wet, "fail").otherwise("pass"), F.when(wet, fill(CHECK_TEXT["physics_fail"], dew=plain(F.col("dew_td")), moved=signed(F.col("dew_moved")))).otherwise(CHECK_TEXT["physics_pass"])),
+        "neighbour": (
+            F.when(~F.col("has_nb"), "na").when(off, "fail").otherwise("warn"),
+            F.when(~F.col("has_nb"), CHECK_TEXT["neighbour_na"]).when(off, fill(CHECK_TEXT["neighbour_fail"], name=_const(var, NAMES), size=signed(F.col("magnitude")), unit=F.col("unit"), **near)).otherwise(fill(CHECK_TEXT["neighbour_warn"], **near)),
+        ),
+        "ai": (F.when(F.col("ts_max") >= 1, "fail").otherwise("pass"), fill(CHECK_TEXT["ai"], score=fixed(F.col("ts_max"), 2))),
+    }
+    return F.array(*[F.struct(F.lit(k).alias("id"), *[F.lit(x).alias(n) for x, n in zip(CHECKS[k], ("title", "tag"))], state.alias("state"), text.alias("text")) for k, (state, text) in texts.items()])
 
 
 def _sentence() -> Column:
-    kind, var = F.col("type"), F.col("var")
-    name, n, minutes = F.lower(_const(var, NAMES)), F.col("n_neighbours").cast("string"), F.col("len").cast("string")
-    who = F.when(F.col("has_nb"), F.concat(n, F.lit(" nearby stations stayed normal"))).otherwise("no neighbour is available to confirm, so physics and AI decided")
-    size = F.concat(signed(F.col("magnitude")), F.lit(" "), F.col("unit"))
-    stuck = F.array_join(F.transform("vars", lambda x: F.lower(F.when(x == "T", NAMES["T"]).when(x == "P", NAMES["P"]).otherwise(NAMES["RH"]))), " and ")
-    say = lambda *parts: F.concat(F.lit("Flagged: "), *[F.lit(p) if isinstance(p, str) else p for p in parts])
-    return (
-        F.when(kind == "comm_error", say("packets are missing or invalid for ", minutes, " minutes, so all three readings are unusable."))
-        .when(kind == "stuck", say(stuck, " have not changed for ", minutes, " minutes", F.when(F.col("has_nb"), F.concat(F.lit(" while "), n, F.lit(" nearby stations kept moving."))).otherwise(".")))
-        .when(kind == "noise_burst", say(name, " readings became erratic for ", minutes, " minutes with no matching weather change, while ", who, "."))
-        .when(kind == "power_glitch", say("temperature, pressure and humidity jumped together at random for ", minutes, " minutes, the signature of a power fault, while ", who, "."))
-        .when(kind == "spike", say(name, " jumped ", size, " for ", minutes, " minutes and returned, while ", who, "."))
-        .when(kind == "drift", say(name, " has crept ", size, " away from the expected value over ", minutes, " minutes, while ", who, "."))
-        .otherwise(say(name, " jumped ", size, " within minutes and stayed there, while ", who, "."))
-    )
+    kind, n = F.col("type"), F.col("n_neighbours")
+    either = lambda texts: F.when(F.col("has_nb"), fill(texts["near"], n=n)).otherwise(texts["alone"])
+    low = lambda x: F.lower(F.when(x == "T", NAMES["T"]).when(x == "P", NAMES["P"]).otherwise(NAMES["RH"]))
+    values = {
+        "name": low(F.col("var")), "names": F.array_join(F.transform("vars", low), " and "), "minutes": F.col("len"), "size": signed(F.col("magnitude")),
+        "unit": F.col("unit"), "who": either(WHO), "tail": either(STUCK_TAIL),
+    }
+    text = F.when(kind == "comm_error", fill(SENTENCE["comm_error"], **values))
+    for k in list(SENTENCE)[1:]:
+        text = text.when(kind == k, fill(SENTENCE[k], **values))
+    return text
 
 
 def incidents(scored: DataFrame, edges: DataFrame, runs: DataFrame | None = None) -> DataFrame:

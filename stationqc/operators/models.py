@@ -19,7 +19,7 @@ from .features import VECTOR
 
 def sample_rows(vector: DataFrame, n: int = 70_000, seed: int = 0) -> DataFrame:
     """At most ``n`` complete rows, without replacement, by a hash of their key: the same ones every time."""
-    return vector.where("complete").orderBy(F.xxhash64("station", "minute", F.lit(seed)), "station", "minute").limit(n)
+    return vector.where("complete").orderBy(F.md5(F.concat_ws("-", F.col("station").cast("string"), F.col("minute").cast("string"), F.lit(str(seed)))), "station", "minute").limit(n)
 
 
 def _path(n: float) -> float:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import STEP, TOLERANCE, VARS
+from ..constants import EVENT_TEXT, NOTES, SENSORS, TOLERANCE, UNITS, VARS
 from ..operators import board, evaluate, events, features, fusion, health, incidents, inject, models, qc
 from ..operators.neighbours import neighbour_support, residuals, spatial_z
 from ..sources import packets, tables
 from ..sources.scratch import scratch_path
 from ..streaming.edge import edge_qc
+from . import incident_sql as inc
 from .layers import Layers
 from .oracle import build, each, r6, runs
-from .queries import KEY, of, pick, query
+from .queries import EXTREMES, KEY, VECTOR_SQL, of, pick, query
 
 # ------------------------------------------------------------------ sources and sinks
 
@@ -79,26 +80,30 @@ query(
 
 # ------------------------------------------------------------------ incidents
 query("j11_incident_evidence", lambda x: incidents.incident_evidence(x.alerts, x.scored.select("station", "minute", "hard"), 90, 10).select("station", "run_onset", "minute", "hard"), build("alerts", 'SELECT h.station, a.onset AS run_onset, h.minute, h.hard FROM alerts a JOIN hard h ON h.station = a.station AND h.minute >= a.onset - 90 AND h.minute < greatest(a."end", a.onset + 60) + 10'))
-_SEG = 'seg AS (SELECT h.*, a.onset AS run_onset, a."end" AS stop FROM alerts a JOIN hard h ON h.station = a.station AND h.minute >= a.onset AND h.minute < a."end")'
-_A7 = {"comm_share": "avg(CASE WHEN comm THEN 1.0 ELSE 0.0 END)", "stuck_share": "avg(CASE WHEN stuck_any THEN 1.0 ELSE 0.0 END)", "hard_share": "avg(CASE WHEN hard THEN 1.0 ELSE 0.0 END)", "ph_max": "max(ph)", "ts_max": "max(ts)"}
-_A7 |= {f"z_{v}": f"coalesce(max(abs(zL_{v})), 0.0)" for v in VARS} | {f"elev_{v}": f"avg(CASE WHEN dsd_{v} > 4 THEN 1.0 ELSE 0.0 END)" for v in VARS}
-_A7I = {f"nsp_{v}": f"sum(CASE WHEN abs(d1_{v}) > {STEP[v]} / 2 THEN 1 ELSE 0 END)" for v in VARS}
-query(
-    "a7_incident_profile", lambda x: pick(_profile(x), "station run_onset " + " ".join(_A7I), " ".join(_A7)),
-    build("alerts", "").rstrip() + f", {_SEG} SELECT station, run_onset, " + ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in _A7I.items()) + ", " + ", ".join(f"round({v} + 1.3e-8, 6) + 0.0 AS {k}" for k, v in _A7.items()) + " FROM seg GROUP BY station, run_onset",
-)
+_INCIDENT = "station run_onset "
+_LONGS, _DOUBLES = " ".join([*inc.BOOLS, *[k for k in inc.LONGS if k != "end"]]), " ".join(k for k in inc.DOUBLES if k != "dew_mid")
 
 
 def _profile(x: Layers) -> DataFrame:
-    return x.incidents
+    """All of a profile: its numbers, and the length and sum of its series."""
+    sums = [F.aggregate(f"series_{v}", F.lit(0.0), lambda a, r: a + r["d"]).alias(f"sum_{v}") for v in VARS]
+    found = x.incidents.select(*_INCIDENT.split(), *_LONGS.split(), *_DOUBLES.split(), "end", "dew_moved", *sums, *[F.size(f"series_{v}").cast("long").alias(f"n_{v}") for v in VARS])
+    return pick(found, f"{_INCIDENT} end {_LONGS} {of('n')}", f"{_DOUBLES} dew_moved {of('sum')}")
 
 
+_SUMS = ", ".join(f"CAST(len(s_{v}) AS BIGINT) AS n_{v}, round(list_sum(list_transform(s_{v}, lambda r: r.d)) + 1.3e-8, 6) + 0.0 AS sum_{v}" for v in VARS)
+query("a7_incident_profile", _profile, inc.sql(inc.PROFILE, f'SELECT station, run_onset, "end", {", ".join(_LONGS.split())}, {_SUMS}, {r6(_DOUBLES)}, round(dew_td - dew_mid + 1.3e-8, 6) + 0.0 AS dew_moved FROM prof'))
+query("i1_i2_main_variable", lambda x: pick(x.incidents, _INCIDENT + "main", of("peak zpeak")), inc.sql(inc.MAIN, f"SELECT station, run_onset, main, {r6(of('peak zpeak'))} FROM main"))
+query("i3_classify_fault", lambda x: pick(x.incidents, _INCIDENT + "type main"), inc.sql(inc.TYPED, "SELECT station, run_onset, type, main FROM typed"))
+query("t5_largest_deviations", lambda x: pick(x.incidents, _INCIDENT + "rise", "pk"), inc.sql(inc.TYPED, f"SELECT station, run_onset, CAST(rise AS BIGINT) AS rise, {r6('pk')} FROM typed"))
 _FLAT = "station run_onset onset detect end ongoing type var sensor severity unit label cause action explanation"
-query("i3_classify_fault", lambda x: x.incidents.select("station", "run_onset", "type", "main"))
-query("i4_i12_incidents", lambda x: pick(x.incidents, _FLAT, "magnitude confidence"))
-query("i9_checks", lambda x: x.incidents.select("station", "run_onset", F.explode("checks").alias("c")).select("station", "run_onset", "c.*"))
-query("i11_contributions", lambda x: x.incidents.select("station", "run_onset", F.explode("contributions").alias("c")).select("station", "run_onset", "c.*"))
-query("j10_corrected_value", lambda x: pick(x.incidents.select("station", "run_onset", F.explode("corrected").alias("c")).select("station", "run_onset", "c.*"), "station run_onset var", "observed corrected"))
+query(
+    "i4_i12_incidents", lambda x: pick(x.incidents.withColumn("vars", F.array_join("vars", " ")), _FLAT + " vars", "magnitude confidence"),
+    inc.sql(inc.DESCRIBED, f"SELECT {', '.join(chr(34) + c + chr(34) for c in _FLAT.split())}, array_to_string(vars, ' ') AS vars, {r6('magnitude confidence')} FROM described"),
+)
+query("i9_checks", lambda x: x.incidents.select("station", "run_onset", F.explode("checks").alias("c")).select("station", "run_onset", "c.*"), inc.sql(inc.DESCRIBED, inc.CHECKED))
+query("i11_contributions", lambda x: x.incidents.select("station", "run_onset", F.explode("contributions").alias("c")).select("station", "run_onset", "c.*"), inc.sql(inc.DESCRIBED, inc.SHARED))
+query("j10_corrected_value", lambda x: pick(x.incidents.select("station", "run_onset", F.explode("corrected").alias("c")).select("station", "run_onset", "c.*"), "station run_onset var", "observed corrected"), inc.sql(inc.DESCRIBED, f"SELECT station, run_onset, var, {r6('observed corrected')} FROM ({inc.CORRECTED})"))
 
 # ------------------------------------------------------------------ events
 _MOVES = 'mv AS (SELECT station, minute, T, P, RH, abs(T - lag(T) OVER (PARTITION BY station ORDER BY minute)) AS jump FROM masked), around AS (SELECT w.station, w.start, w."end" AS stop, m.minute - w.start AS rel, m.T, m.P, m.RH, m.jump FROM weather w JOIN mv m ON m.station = w.station AND m.minute >= w.start - 60 AND m.minute < w.start + 60)'
@@ -110,7 +115,8 @@ query("i13_weather_kind", lambda x: pick(events.weather_kind(x.weather, x.masked
 _AGREE = 'said AS (SELECT w.station, w.start, w."end" AS stop, e.nb, max(m.ts) AS top FROM weather w JOIN edges e ON e.station = w.station JOIN masked m ON m.station = e.nb AND m.minute >= w.start AND m.minute < w."end" GROUP BY ALL), yes AS (SELECT station, start, stop, sum(CASE WHEN top >= 0.7 THEN 1.0 ELSE 0.0 END) AS yes FROM said GROUP BY ALL), lst AS (SELECT station, count(*) AS n FROM edges GROUP BY station), agreed AS (SELECT w.station, w.start, w."end" AS stop, coalesce(y.yes, 0.0) / l.n AS neighbours_agree, coalesce(l.n, 0) AS n_neighbours FROM weather w LEFT JOIN yes y ON y.station = w.station AND y.start = w.start LEFT JOIN lst l ON l.station = w.station)'
 _agreed = lambda x: events.neighbour_agreement(x.weather, x.edges, x.masked)
 query("j15_neighbour_agreement", lambda x: pick(_agreed(x), "station start end n_neighbours", "neighbours_agree"), build("weather edges", "").rstrip() + f', {_AGREE} SELECT station, start, stop AS "end", n_neighbours, {r6("neighbours_agree")} FROM agreed')
-query("i14_event_confidence", lambda x: pick(events.describe_events(_agreed(x)), "station start end severity", "confidence"), build("weather edges", "").rstrip() + f""", {_AGREE} SELECT station, start, stop AS "end", 'ok' AS severity, round(least(0.98, 0.72 + 0.25 * coalesce(neighbours_agree, 0.3)) + 1.3e-8, 6) + 0.0 AS confidence FROM agreed""")
+_TEXT = f"CASE WHEN n_neighbours > 0 THEN {inc.fill(EVENT_TEXT['weather'], agree='CAST(round_even(neighbours_agree * n_neighbours, 0) AS BIGINT)', n='n_neighbours')} ELSE {inc.quoted(EVENT_TEXT['alone'])} END"
+query("i14_event_confidence", lambda x: pick(events.describe_events(_agreed(x)), "station start end severity explanation", "confidence"), build("weather edges", "").rstrip() + f""", {_AGREE} SELECT station, start, stop AS "end", 'ok' AS severity, round(round_even(least(0.98, 0.72 + 0.25 * coalesce(neighbours_agree, 0.3)), 3) + 1.3e-8, 6) + 0.0 AS confidence, {_TEXT} AS explanation FROM agreed""")
 
 
 def _union(x: Layers) -> DataFrame:
@@ -121,7 +127,7 @@ def _union(x: Layers) -> DataFrame:
     return events.union_all(faults, weather, extremes).select("kind", "station", "onset", "detect", "end")
 
 
-query("u1_union_all", _union, build("weather", "SELECT 'fault' AS kind, station, onset, detect, \"end\" FROM alerts UNION ALL SELECT 'event', station, start, start, \"end\" FROM weather"))
+query("u1_union_all", _union, build("weather edges", "").rstrip() + EXTREMES + " SELECT 'fault' AS kind, station, onset, detect, \"end\" FROM alerts UNION ALL SELECT 'event', station, start, start, \"end\" FROM weather UNION ALL SELECT 'event', station, start, detect, last + 1 FROM ext")
 
 # ------------------------------------------------------------------ health
 _BLOCKS = """ended AS (SELECT *, (SELECT max(minute) FROM expected) - minute AS back, least(72 * 60, (SELECT max(minute) - min(minute) + 1 FROM expected)) AS width FROM expected),
@@ -156,7 +162,12 @@ health AS (SELECT *, CAST(round_even(raw_score, 0) AS BIGINT) AS score, CASE WHE
 _health = lambda x: health.health_score(_measured(x))
 query("a11_health_score", lambda x: pick(_health(x), "station var score status", "days_to_limit raw_score"), build("exp limits", "").rstrip() + f", {_HEALTH} SELECT station, var, score, status, {r6('days_to_limit raw_score')} FROM health")
 query("a12_overall_health", lambda x: health.overall(_health(x)), build("exp limits", "").rstrip() + f", {_HEALTH} SELECT station, var, score, status FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY score, CASE var WHEN 'T' THEN 0 WHEN 'P' THEN 1 ELSE 2 END) AS r FROM health) WHERE r = 1")
-query("a13_maintenance_notes", lambda x: health.maintenance_notes(_health(x)).select("station", F.explode("notes").alias("note")))
+_SENSOR, _UNIT, _LIMIT = inc.const(SENSORS, "var"), inc.const(UNITS, "var"), inc.const({v: f"{TOLERANCE[v]:g}" for v in VARS}, "var")
+_NOTE = f"CASE WHEN days_to_limit < 30 THEN {inc.fill(NOTES['drift'], sensor=_SENSOR, rate=inc.fixed('abs(drift)', 2), unit=_UNIT, limit=_LIMIT, days=inc.fixed('days_to_limit', 1))} WHEN status <> 'ok' THEN {inc.fill(NOTES['weak'], sensor=_SENSOR, score='score')} END"
+query(
+    "a13_maintenance_notes", lambda x: health.maintenance_notes(_health(x)).select("station", F.explode("notes").alias("note")),
+    build("exp limits", "").rstrip() + f", {_HEALTH}, nt AS (SELECT station, {_NOTE} AS note FROM health) SELECT station, note FROM nt WHERE note IS NOT NULL UNION ALL SELECT station, {inc.quoted(NOTES['none'])} FROM nt GROUP BY station HAVING count(note) = 0",
+)
 query(
     "i15_health_override", lambda x: health.override_by_alert(health.overall(_health(x)), x.alerts.where("ongoing").select("station", F.lit(0.9).alias("confidence"))),
     build("exp limits alerts", "").rstrip() + f", {_HEALTH}, o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY score, CASE var WHEN 'T' THEN 0 WHEN 'P' THEN 1 ELSE 2 END) AS r FROM health) WHERE r = 1), op AS (SELECT DISTINCT station FROM alerts WHERE ongoing), n AS (SELECT o.station, o.var, CASE WHEN op.station IS NULL THEN o.score ELSE least(o.score, 42) END AS score, o.status AS old, op.station IS NOT NULL AS hit FROM o LEFT JOIN op ON op.station = o.station) SELECT station, var, score, CASE WHEN NOT hit THEN old WHEN score >= 80 THEN 'ok' WHEN score >= 55 THEN 'watch' ELSE 'degraded' END AS status FROM n",
@@ -262,7 +273,21 @@ for _name, _kind in (("g1_spike", "spike"), ("g2_level_shift", "level_shift"), (
         _name, lambda x, k=_kind: pick(inject.inject(x.panel, _plan(x, k)), KEY + "anom", "T_raw P_raw RH_raw"),
         build("panel stations", "").rstrip() + f""", q AS (SELECT * FROM ({_PLAN} stations) WHERE kind = '{_kind}') SELECT p.station, p.minute, coalesce(q.kind, '') AS anom, {', '.join(_rule(v) for v in VARS)} FROM panel p LEFT JOIN q ON q.station = p.station AND p.minute >= q.start AND p.minute < q."end" """,
     )
-query("g5_g7_random_faults", lambda x: inject.inject(x.panel, _plan(x, "spike", "drift").withColumn("kind", F.when(F.col("kind") == "spike", "noise_burst").otherwise("power_glitch"))).select("station", "minute", "T_raw", "P_raw", "RH_raw", "anom"))
+_DRAW = lambda seed: f"((CAST('0x' || substr(md5(CAST(p.station AS VARCHAR) || '-' || CAST(p.minute AS VARCHAR) || '-{seed}'), 1, 12) AS BIGINT) + 0.5) / {float(1 << 48)!r})"
+
+
+def _shaken(k: int, v: str) -> str:
+    low, high = inject.GLITCH[v]
+    burst = f"q.mag * (sqrt(-2 * ln({_DRAW(47 + 2 * k)})) * cos(2 * pi() * {_DRAW(48 + 2 * k)}))"
+    jump = f"CASE WHEN {_DRAW(27 + k)} < 0.5 THEN -1 ELSE 1 END * ({low} + {_DRAW(37 + k)} * {high - low}) * 0.8"
+    return f"round(CASE WHEN q.kind = 'noise_burst' AND q.var = '{v}' THEN {v}_raw + {burst} WHEN q.kind = 'power_glitch' AND ({_DRAW(17)} < 0.35 OR p.minute = q.start) THEN {v}_raw + {jump} ELSE {v}_raw END + 1.3e-8, 6) + 0.0 AS {v}_raw"
+
+
+query(
+    "g5_g7_random_faults", lambda x: pick(inject.inject(x.panel, _plan(x, "spike", "drift").withColumn("kind", F.when(F.col("kind") == "spike", "noise_burst").otherwise("power_glitch"))), KEY + "anom", "T_raw P_raw RH_raw"),
+    build("panel stations", "").rstrip() + f""", q AS (SELECT * REPLACE (CASE WHEN kind = 'spike' THEN 'noise_burst' ELSE 'power_glitch' END AS kind) FROM ({_PLAN} stations) WHERE kind IN ('spike', 'drift'))
+  SELECT p.station, p.minute, coalesce(q.kind, '') AS anom, {', '.join(_shaken(k, v) for k, v in enumerate(VARS))} FROM panel p LEFT JOIN q ON q.station = p.station AND p.minute >= q.start AND p.minute < q."end" """,
+)
 query(
     "g8_degradation", lambda x: pick(inject.degrade(x.panel, x.stations.select("station", F.when(F.col("station") % 2 == 0, "T").otherwise("RH").alias("var"), F.lit(0.4).alias("rate"))), KEY, "T_raw P_raw RH_raw"),
     build("panel", "SELECT station, minute, round(CASE WHEN station % 2 = 0 THEN T_raw + 0.4 * (minute / 1440.0) ELSE T_raw END + 1.3e-8, 6) + 0.0 AS T_raw, round(P_raw + 1.3e-8, 6) + 0.0 AS P_raw, round(CASE WHEN station % 2 = 1 AND RH_raw IS NOT NULL THEN least(100.0, greatest(1.0, RH_raw * (1 + 0.4 / 100.0 * (minute / 1440.0)))) ELSE RH_raw END + 1.3e-8, 6) + 0.0 AS RH_raw FROM panel"),
@@ -287,7 +312,7 @@ query(
 bu AS (SELECT * FROM u UNION ALL SELECT label, 0.0, weight * 0.35 FROM u), cu AS (SELECT CAST(label AS DOUBLE) AS label, CAST(f_has_nb AS DOUBLE) AS f_has_nb, count(*) AS n, CAST(sum(CASE WHEN label = 1 THEN weight * 3 ELSE weight END) AS DOUBLE) AS weight FROM bu WHERE weight > 0 GROUP BY 1, 2) SELECT n, {r6('label f_has_nb weight')} FROM cu""",
 )
 _vector = lambda x: features.feature_vector(x.features)
-query("m1_sample_rows", lambda x: models.sample_rows(_vector(x), 2000).select("station", "minute"))
+query("m1_sample_rows", lambda x: models.sample_rows(_vector(x)).select("station", "minute"), build("feat", "").rstrip() + VECTOR_SQL + " SELECT station, minute FROM vec WHERE complete ORDER BY md5(CAST(station AS VARCHAR) || '-' || CAST(minute AS VARCHAR) || '-0'), station, minute LIMIT 70000")
 query("m2_m3_anomaly_scores", lambda x: models.anomaly_scores(_vector(x), models.fit_anomaly(_vector(x), 20_000, 40, 10)).select("station", "minute", "ts_if", "ts_ae", "ts"))
 
 

@@ -59,11 +59,11 @@ table("w15_hour_interp", lambda x: features.with_climate(x.checked, x.climate),
 
 _LRUN = each("ln(1 + run_@) AS lrun_@")
 _FULL = " AND ".join(f"{c} IS NOT NULL" for c in features.VECTOR)
-_VECTOR = f", vec AS (SELECT *, {_FULL} AS complete FROM (SELECT *, {_LRUN} FROM feat))"
-query("p7_feature_vector", lambda x: pick(features.feature_vector(x.features), KEY + "complete", " ".join(features.VECTOR)), build("feat", "").rstrip() + _VECTOR + f" SELECT station, minute, complete, {r6(' '.join(features.VECTOR))} FROM vec")
+VECTOR_SQL = f", vec AS (SELECT *, {_FULL} AS complete FROM (SELECT *, {_LRUN} FROM feat))"
+query("p7_feature_vector", lambda x: pick(features.feature_vector(x.features), KEY + "complete", " ".join(features.VECTOR)), build("feat", "").rstrip() + VECTOR_SQL + f" SELECT station, minute, complete, {r6(' '.join(features.VECTOR))} FROM vec")
 _Q3 = ", ".join(f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) AS b_{c}" for c in features.VECTOR)
 _SCALE = (
-    _VECTOR + f", q3 AS (SELECT {_Q3} FROM vec WHERE complete), q9 AS (SELECT " + ", ".join(f"quantile_cont(abs({c} - m_{c}), 0.9) AS n_{c}" for c in features.VECTOR) + " FROM vec, q3 WHERE complete), scale AS ("
+    VECTOR_SQL + f", q3 AS (SELECT {_Q3} FROM vec WHERE complete), q9 AS (SELECT " + ", ".join(f"quantile_cont(abs({c} - m_{c}), 0.9) AS n_{c}" for c in features.VECTOR) + " FROM vec, q3 WHERE complete), scale AS ("
     + " UNION ALL ".join(f"SELECT '{c}' AS feature, m_{c} AS med, greatest(b_{c} - a_{c}, n_{c} * 0.5 + 1e-3) AS iqr FROM q3, q9" for c in features.VECTOR) + ")"
 )
 query("a3_feature_scale", lambda x: pick(profile.feature_scale(features.feature_vector(x.features)), "feature", "med iqr"), build("feat", "").rstrip() + _SCALE + f" SELECT feature, {r6('med iqr')} FROM scale")
@@ -123,11 +123,11 @@ table("w10_detect_runs", lambda x: x.alerts, RUN, "", "alerts", "alerts")
 table("w10_threshold_runs", lambda x: incidents.detect_runs(x.features, qc.threshold_mask(), need=1, win=1), RUN, "", "limits", "plainruns")
 table("w11_group_runs", lambda x: incidents.group_runs(x.panel, F.col("anom") != "", 10), "station start last", "", "panel", "(SELECT station, min(minute) AS start, max(minute) AS last FROM (SELECT station, minute, sum(fresh) OVER (PARTITION BY station ORDER BY minute) AS g FROM (SELECT station, minute, CASE WHEN coalesce(minute - lag(minute) OVER (PARTITION BY station ORDER BY minute) > 10, true) THEN 1 ELSE 0 END AS fresh FROM panel WHERE anom <> '')) GROUP BY station, g)")
 table("w12_weather_runs", lambda x: x.weather, "station start end", "", "weather", "weather")
-_EXT = """, ext_m AS (SELECT station, minute, coalesce(A_T, 0.0) AS a, lag(minute) OVER (PARTITION BY station ORDER BY minute) AS p FROM masked WHERE abs(A_T) >= 4 AND NOT in_fault AND station IN (SELECT station FROM edges)),
+EXTREMES = """, ext_m AS (SELECT station, minute, coalesce(A_T, 0.0) AS a, lag(minute) OVER (PARTITION BY station ORDER BY minute) AS p FROM masked WHERE abs(A_T) >= 4 AND NOT in_fault AND station IN (SELECT station FROM edges)),
 ext_s AS (SELECT *, sum(CASE WHEN coalesce(minute - p > 10, true) THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY minute) AS g FROM ext_m),
 ext_r AS (SELECT station, min(minute) AS start, max(minute) AS last FROM ext_s GROUP BY station, g HAVING max(minute) - min(minute) >= 30),
 ext AS (SELECT r.station, r.start, r.last, r.start + 30 AS detect, avg(coalesce(m.A_T, 0.0)) AS mean, r.last >= (SELECT max(minute) FROM masked) - 1 AS ongoing FROM ext_r r JOIN masked m ON m.station = r.station AND m.minute BETWEEN r.start AND r.last GROUP BY r.station, r.start, r.last)"""
-query("w13_extreme_runs", lambda x: pick(incidents.extreme_runs(x.masked, x.edges), "station start last detect kind ongoing", "mean"), build("masked", "").rstrip() + _EXT + " SELECT station, start, last, detect, CASE WHEN mean > 0 THEN 'Heatwave' ELSE 'Cold spell' END AS kind, ongoing, round(mean + 1.3e-8, 6) + 0.0 AS mean FROM ext")
+query("w13_extreme_runs", lambda x: pick(incidents.extreme_runs(x.masked, x.edges), "station start last detect kind ongoing", "mean"), build("masked", "").rstrip() + EXTREMES + " SELECT station, start, last, detect, CASE WHEN mean > 0 THEN 'Heatwave' ELSE 'Cold spell' END AS kind, ongoing, round(mean + 1.3e-8, 6) + 0.0 AS mean FROM ext")
 table("j14_fault_minutes", lambda x: x.masked, KEY + "in_fault", "", "masked", "masked")
 
 # scalar functions
