@@ -214,11 +214,10 @@ def token_items(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_c
     def run(batches):
         coder = SpanEncoder(model_file)
         for batch in batches:
-            texts, ids, cluster = batch.column(2).to_pylist(), [], []
-            for at in range(0, len(texts), 64):
-                part = texts[at : at + 64]
-                ids += coder.encode(part)
-                cluster += [xxhash.xxh64_hexdigest(b" ".join((x or "").encode().lower().split())) for x in part]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cluster, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "source", "cluster", "ids"])
+            for at in range(0, len(batch), 64):  # ids are many times their text while they are Python's
+                part = batch.slice(at, 64)
+                texts = part.column(2).to_pylist()
+                cluster = [xxhash.xxh64_hexdigest(b" ".join((x or "").encode().lower().split())) for x in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cluster, pa.string()), pa.array(coder.encode(texts), pa.list_(pa.int32()))], names=["doc_id", "source", "cluster", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, cluster string, ids array<int>")
