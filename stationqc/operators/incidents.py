@@ -282,6 +282,6 @@ def incidents(scored: DataFrame, edges: DataFrame, runs: DataFrame | None = None
     """All faults of ``scored`` rows (with prob, p_model, hard, instant, expected_series and deviation_native), described."""
     runs = detect_runs(scored, F.col("prob") >= THRESHOLD, F.col("instant")) if runs is None else runs
     near = edges.groupBy("station").agg(F.max("listed").alias("listed"), F.max("km").alias("far_km"))
-    ever = F.max(F.col("has_nb").cast("int")).over(Window.partitionBy("station")) > 0
-    rows = scored.join(near, "station", "left").withColumns({"ever_nb": ever, "has_edges": F.col("listed").isNotNull(), "listed": F.coalesce("listed", F.lit(0).cast("long"))})
+    ever = scored.groupBy("station").agg((F.max(F.col("has_nb").cast("int")) > 0).alias("ever_nb"))
+    rows = scored.join(near, "station", "left").join(ever, "station").withColumns({"has_edges": F.col("listed").isNotNull(), "listed": F.coalesce("listed", F.lit(0).cast("long"))})
     return describe(classify_fault(main_variable(incident_profile(runs, rows))))
