@@ -14,6 +14,10 @@ from ..constants import WARMUP
 from . import features, models, neighbours, profile, qc
 
 
+#: Tasks that fit the trees: their sample is bounded, and each round has several jobs.
+FIT_TASKS = 4
+
+
 def training_weights(labels: DataFrame, warmup: int = WARMUP) -> DataFrame:
     """``labels`` (station, minute, anom) plus weight: 0 in the warm-up, in the first third of a drift and in the 8 rows after any fault; else 1."""
     w = Window.partitionBy("station").orderBy("minute")
@@ -39,8 +43,10 @@ def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=features.FUSION, outputCol="fusion").transform(rows)
 
 
-def fit_stage(evidence: DataFrame, rounds: int = 180, depth: int = 5, seed: int = 0) -> GBTClassificationModel:
-    rows = _assembled(training_rows(evidence)).select("fusion", "label", "weight").persist()
+def fit_stage(evidence: DataFrame, rounds: int = 180, depth: int = 5, seed: int = 0, sample: int = 70_000) -> GBTClassificationModel:
+    """Boosted trees on at most ``sample`` labelled rows (station, minute, …), by a hash of their key: the same ones every time."""
+    chosen = evidence.orderBy(F.xxhash64("station", "minute", F.lit(seed)), "station", "minute").limit(sample)
+    rows = _assembled(training_rows(chosen)).select("fusion", "label", "weight").coalesce(FIT_TASKS).persist()
     try:
         return GBTClassifier(featuresCol="fusion", labelCol="label", weightCol="weight", maxDepth=depth, stepSize=0.08, maxIter=rounds, minInstancesPerNode=40, seed=seed).fit(rows)
     finally:

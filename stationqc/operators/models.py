@@ -134,14 +134,18 @@ def _raw_scores(vector: DataFrame, model: AnomalyModel) -> DataFrame:
     return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("s_if", "s_ae")})
 
 
+def score_reference(vector: DataFrame, model: AnomalyModel) -> DataFrame:
+    """One row: base, the median score of the forest over complete rows, and if_ref and ae_ref, the 99.9th percentiles of both scores; by sketches."""
+    sketch = lambda c, at: F.percentile_approx(c, F.lit(at), F.lit(10_000))
+    return _raw_scores(vector, model).agg(sketch("s_if", 0.5).alias("base"), sketch("s_if", 0.999).alias("if_ref"), sketch("s_ae", 0.999).alias("ae_ref"))
+
+
 def fit_anomaly(vector: DataFrame, sample: int = 70_000, trees: int = 120, epochs: int = 30, seed: int = 0) -> AnomalyModel:
     """Scale, both models and their reference percentiles from clean history (see :func:`..features.feature_vector`)."""
     scale = profile.read_scale(vector)
     rows = profile.robust_scale(sample_rows(vector, sample, seed), scale).select(*VECTOR).toPandas().to_numpy(float)
     model = AnomalyModel(scale, IsolationForest(trees, seed=seed).fit(rows), Autoencoder(epochs=epochs, seed=seed).fit(rows))
-    ref = _raw_scores(vector, model).agg(
-        F.percentile_approx("s_if", F.lit(0.5), 10000).alias("base"), F.percentile_approx("s_if", F.lit(0.999), 10000).alias("if_ref"), F.percentile_approx("s_ae", F.lit(0.999), 10000).alias("ae_ref")
-    ).first()
+    ref = score_reference(vector, model).first()
     model.if_base, model.if_ref, model.ae_ref = ref.base, ref.if_ref, ref.ae_ref
     return model
 

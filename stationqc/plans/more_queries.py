@@ -313,12 +313,18 @@ bu AS (SELECT * FROM u UNION ALL SELECT label, 0.0, weight * 0.35 FROM u), cu AS
 )
 _vector = lambda x: features.feature_vector(x.features)
 query("m1_sample_rows", lambda x: models.sample_rows(_vector(x)).select("station", "minute"), build("feat", "").rstrip() + VECTOR_SQL + " SELECT station, minute FROM vec WHERE complete ORDER BY md5(CAST(station AS VARCHAR) || '-' || CAST(minute AS VARCHAR) || '-0'), station, minute LIMIT 70000")
-query("m2_m3_anomaly_scores", lambda x: models.anomaly_scores(_vector(x), models.fit_anomaly(_vector(x), 20_000, 40, 10)).select("station", "minute", "ts_if", "ts_ae", "ts"))
+_anomaly = lambda x: models.fit_anomaly(_vector(x))
+query("m2_m3_anomaly_scores", lambda x: models.anomaly_scores(_vector(x), _anomaly(x)).select("station", "minute", "ts_if", "ts_ae", "ts"))
+query("m4_temporal_score", lambda x: models.anomaly_scores(_vector(x), _anomaly(x)).select("station", "minute", "ts"))
+query("a4_score_reference", lambda x: models.score_reference(_vector(x), _anomaly(x)))
 
 
-def _model(x: Layers, rounds: int = 5) -> fusion.QualityModel:
-    quiet = x.panel.withColumns({f"{v}_raw": F.when(F.col("anom") == "", F.col(f"{v}_raw")) for v in VARS})
-    return fusion.QualityModel.fit(quiet, x.stations, 20_000, 40, 10).calibrate(x.panel, rounds)
+def _quiet(x: Layers) -> DataFrame:
+    return x.panel.withColumns({f"{v}_raw": F.when(F.col("anom") == "", F.col(f"{v}_raw")) for v in VARS})
+
+
+def _model(x: Layers) -> fusion.QualityModel:
+    return fusion.QualityModel.fit(_quiet(x), x.stations).calibrate(x.panel)
 
 
 query("m5_m6_score", lambda x: _model(x).score(x.panel).select("station", "minute", "p_model", "hard", "instant", "prob"))

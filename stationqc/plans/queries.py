@@ -115,7 +115,6 @@ query(
 )
 table("p9_hard_and_instant", lambda x: x.scored, KEY + "hard instant", "p_model prob", "hard", "hard")
 query("p10_baseline_masks", lambda x: x.features.select("station", "minute", qc.threshold_mask().alias("threshold_mask"), qc.temporal_mask().alias("temporal_mask")), build("limits", "SELECT station, minute, bad AS threshold_mask, ts >= 1 AS temporal_mask FROM limits"))
-query("m4_temporal_score", lambda x: pick(x.features.withColumn("score", F.greatest(F.col("ts"), F.col("ph"))), KEY, "score"), build("feat", f"SELECT station, minute, round(greatest(ts, ph) + 1.3e-8, 6) + 0.0 AS score FROM feat"))
 
 # sessions
 RUN = "station onset detect end ongoing"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,9 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..constants import NOISE, RANGE, STEP, STUCK, VARS
 from ..sources.packets import FLAGS
 
-ALPHA, WARM, Z_LIMIT, DEW_LIMIT = 0.03, 30, 8.0, 6.0
-#: n, dew mean, then mean, variance, last and run of each variable.
+ALPHA, WARM, Z_LIMIT, DEW_LIMIT, LONGEST = 0.03, 30, 8.0, 6.0, 255
+#: Readings learned from, the mean dew point, and a row each of means, variances, last values and runs of T, P, RH.
 FRESH = (0.0, 0.0, *([0.0] * 12))
+_LOW, _HIGH = (np.array([RANGE[v][k] for v in VARS]) for k in (0, 1))
+_STEP, _STUCK, _NOISE = (np.array([of[v] for v in VARS], float) for of in (STEP, STUCK, NOISE))
 
 
 def _dew(t: float, rh: float) -> float:
@@ -23,40 +26,36 @@ def _dew(t: float, rh: float) -> float:
 
 
 def step(state: tuple, reading: tuple) -> tuple[tuple, int]:
-    """The state after ``reading`` (T, P, RH; None for none), and its flags."""
-    n, dew, rest = state[0], state[1], list(state[2:])
-    mean, var, last, run = rest[0:3], rest[3:6], rest[6:9], rest[9:12]
-    flags = 0
-    for i, v in enumerate(VARS):
-        x = reading[i]
-        if x is None or not math.isfinite(x) or x <= -90:
-            flags |= FLAGS["missing"]
-            continue
-        if not RANGE[v][0] <= x <= RANGE[v][1]:
-            flags |= FLAGS["range"]
-        if n and abs(x - last[i]) > STEP[v]:
-            flags |= FLAGS["step"]
-        run[i] = min(255, run[i] + 1) if n and x == last[i] and not (v == "RH" and x >= 98) else 0
-        if run[i] + 1 >= STUCK[v]:
-            flags |= FLAGS["stuck"]
-        if n >= WARM and abs(x - mean[i]) / math.sqrt(var[i] + NOISE[v] ** 2) > Z_LIMIT:
-            flags |= FLAGS["z_score"]
-    if not flags & (FLAGS["missing"] | FLAGS["range"]):
-        td = _dew(reading[0], reading[2])
-        if n >= WARM and abs(td - dew) > DEW_LIMIT:
-            flags |= FLAGS["dew_point"]
-        if not flags:
-            for i in range(3):
-                if not n:
-                    mean[i], var[i] = reading[i], 0.0
-                d = reading[i] - mean[i]
-                mean[i] += ALPHA * d
-                var[i] = (1 - ALPHA) * (var[i] + ALPHA * d * d)
-            dew = td if not n else dew + ALPHA * (td - dew)
-            n = min(65535.0, n + 1)
-    if not flags & FLAGS["missing"]:
-        last = list(reading)
-    return (n, dew, *mean, *var, *last, *run), flags
+    """The state after ``reading`` (T, P, RH; None for none), and its flags.
+
+    A check looks at the sensors that are there.  Means and variances are exponential, of rows without any flag; a missing
+    sensor keeps the last values of all three.
+    """
+    seen, dew = state[:2]
+    mean, var, last, run = np.array(state[2:], float).reshape(4, 3)
+    x = np.array([math.nan if r is None else r for r in reading], float)
+    there = np.isfinite(x) & (x > -90)
+    x = np.where(there, x, math.nan)
+    fog = np.array([False, False, x[2] >= 98])
+    run = np.where(there, np.where((seen > 0) & (x == last) & ~fog, np.minimum(LONGEST, run + 1), 0), run)
+    spread = np.abs(x - mean) / np.sqrt(var + _NOISE**2)
+    raised = {
+        "missing": ~there, "range": (x < _LOW) | (x > _HIGH), "step": (seen > 0) & (np.abs(x - last) > _STEP),
+        "stuck": there & (run + 1 >= _STUCK), "z_score": (seen >= WARM) & (spread > Z_LIMIT),
+    }
+    names = {k for k, hit in raised.items() if hit.any()}
+    if not names & {"missing", "range"}:
+        now = _dew(x[0], x[2])
+        if seen >= WARM and abs(now - dew) > DEW_LIMIT:
+            names.add("dew_point")
+        if not names:
+            mean, var, dew = (mean, var, dew) if seen else (x, np.zeros(3), now)
+            off = x - mean
+            mean, var, dew = mean + ALPHA * off, (1 - ALPHA) * (var + ALPHA * off**2), dew + ALPHA * (now - dew)
+            seen = min(65535.0, seen + 1)
+    if "missing" not in names:
+        last = x
+    return (seen, dew, *np.concatenate([mean, var, last, run]).tolist()), sum(FLAGS[k] for k in names)
 
 
 def _fold(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[int]]:
@@ -92,5 +91,3 @@ def edge_qc_stream(obs: DataFrame) -> DataFrame:
     return obs.select("station", "minute", "T_raw", "P_raw", "RH_raw").groupBy("station").applyInPandasWithState(
         run, f"station {kind}, minute long, flags int", ", ".join(f"{n} double" for n in names), "append", GroupStateTimeout.NoTimeout
     )
-
-

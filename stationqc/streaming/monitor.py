@@ -25,12 +25,21 @@ def final_minutes(packets: DataFrame, late: str = "10 minutes") -> DataFrame:
     return stamped.withWatermark("time", late).dropDuplicatesWithinWatermark(["station", "minute_start"]).drop("minute_start")
 
 
+EMITTED = "station string, onset long, detect long, end long, ongoing boolean, type string, updated boolean, at long"
+
+
 class Monitor:
-    """``score`` turns dense rows (station, minute, T_raw, P_raw, RH_raw) into rows with prob, instant and type_hint or without."""
+    """``score`` turns dense rows (station, minute, T_raw, P_raw, RH_raw) into rows with prob and instant.
+
+    State is bounded: ``window`` minutes of readings, and the alerts that a re-check may still ask for.  A batch of up to
+    ``catch_up`` new minutes is scored minute by minute, as if each had come alone.  One that brings more (a first batch
+    with history, or after a standstill) is scored once, over all of it.  Readings more than ``ahead`` minutes after all
+    others that are known come from a wrong clock, and those older than the window come too late: neither counts.
+    """
 
-    def __init__(self, spark: SparkSession, stations: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, window: int = 150, warmup: int = 90, recheck: tuple[int, ...] = (15, 30), classify: Callable[[DataFrame, DataFrame], DataFrame] | None = None):
-        self.spark, self.stations, self.score, self.folder = spark, stations, score, folder.rstrip("/")
-        self.window, self.warmup, self.recheck, self.classify = window, warmup, recheck, classify
+    def __init__(self, spark: SparkSession, stations: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, window: int = 150, warmup: int = 90, recheck: tuple[int, ...] = (15, 30), classify: Callable[[DataFrame, DataFrame], DataFrame] | None = None, catch_up: int = 5, ahead: int = 1440):
+        self.spark, self.stations, self.score, self.folder = spark, stations.select(F.col("station").cast("string").alias("station")), score, folder.rstrip("/")
+        self.window, self.warmup, self.recheck, self.classify, self.catch_up, self.ahead = window, warmup, recheck, classify, catch_up, ahead
 
     def _table(self, name: str, batch: int, schema: str) -> DataFrame:
         """What batch ``batch`` wrote; empty before the first."""
@@ -38,45 +47,59 @@ class Monitor:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/batch={batch}")
 
+    def _write(self, df: DataFrame, name: str, batch: int, schema: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+        return self._table(name, batch, schema)
+
     def alerts(self) -> DataFrame:
-        return self.spark.read.schema("station string, onset long, detect long, end long, ongoing boolean, type string, updated boolean, at long").parquet(f"{self.folder}/alerts/*")
+        """All alerts so far."""
+        return self.spark.read.schema(EMITTED).parquet(f"{self.folder}/alerts/*")
 
     def process(self, rows: DataFrame, batch_id: int) -> None:
-        """For ``writeStream.foreachBatch``.  ``rows``: station, time, T_raw, P_raw, RH_raw."""
+        """For ``writeStream.foreachBatch``.  ``rows``: station, time, T_raw, P_raw, RH_raw.  Batch ids count from 0 without gaps."""
         old = self._table("state", batch_id - 1, STATE)
         fresh = first_per_minute(rows.withColumn("ingest", F.monotonically_increasing_id())).select(F.col("station").cast("string").alias("station"), "minute", "T_raw", "P_raw", "RH_raw")
+        before = old.agg(F.max("minute").alias("m")).first().m
+        if before is not None:
+            fresh = fresh.where((F.col("minute") > before - self.window) & (F.col("minute") <= before + self.ahead))
         merged = old.unionByName(fresh.join(old.select("station", "minute"), ["station", "minute"], "left_anti"))
         bounds = merged.agg(F.max("minute").alias("last"), F.min("minute").alias("first")).first()
-        before = old.agg(F.max("minute").alias("m")).first().m
-        path = f"{self.folder}/state/batch={batch_id}"
-        if bounds.last is None:
-            merged.write.mode("overwrite").parquet(path)
+        kept = self._table("emitted", batch_id - 1, EMITTED)
+        if bounds.last is None or bounds.last == before:
+            self._write(merged, "state", batch_id, STATE)
+            self._write(kept, "emitted", batch_id, EMITTED)
             return
         # one batch may hold several minutes: the window of the oldest new one must still be there
-        begin = (before + 1) if before is not None else bounds.first
-        merged.where(F.col("minute") > min(begin, bounds.last) - self.window).write.mode("overwrite").parquet(path)
-        state = self.spark.read.schema(STATE).parquet(path)
-        for minute in range(begin, bounds.last + 1):
-            if minute - bounds.first + 1 >= self.warmup:
-                self._emit(state, minute, batch_id)
-
-    def _emit(self, state: DataFrame, minute: int, batch_id: int) -> None:
-        inside = state.where((F.col("minute") <= minute) & (F.col("minute") > minute - self.window))
-        scored = self.score(densify(inside, self.stations.select(F.col("station").cast("string").alias("station"))))
+        begin = bounds.first if before is None else before + 1
+        state = self._write(merged.where(F.col("minute") > begin - self.window), "state", batch_id, STATE)
+        begin = max(begin, bounds.first + self.warmup - 1)
+        minutes = range(begin, bounds.last + 1)
+        spans = [(begin, bounds.last)] if len(minutes) > self.catch_up else [(m, m) for m in minutes]
+        found = None
+        for first, last in spans:
+            new = self._found(state, kept if found is None else kept.unionByName(found), first, last)
+            new = self._write(new, f"parts-{last}", batch_id, EMITTED)
+            found = new if found is None else found.unionByName(new)
+        if found is None:
+            found = self._table("emitted", -1, EMITTED)
+        found = self._write(found, "alerts", batch_id, EMITTED)
+        self._write(kept.unionByName(found).where(F.col("detect") >= bounds.last - max(self.recheck, default=0)), "emitted", batch_id, EMITTED)
+
+    def _found(self, state: DataFrame, kept: DataFrame, first: int, last: int) -> DataFrame:
+        """Alerts that begin in the minutes ``first`` to ``last``, and earlier ones whose type a due re-check changes."""
+        inside = state.where((F.col("minute") <= last) & (F.col("minute") > first - self.window))
+        scored = self.score(densify(inside, self.stations))
         runs = incidents.detect_runs(scored, F.col("prob") >= THRESHOLD, F.col("instant"))
-        again = F.lit(minute) - F.col("detect")
-        due = runs.where((F.col("detect") == minute) | (again.isin(list(self.recheck)) & (F.col("end") >= minute)))
+        asked = F.filter(F.array(*[F.col("detect") + k for k in self.recheck]), lambda m: (m >= first) & (m <= last) & (F.col("end") >= m)) if self.recheck else F.array().cast("array<bigint>")
+        due = runs.withColumn("again", F.array_max(asked)).where(F.col("detect").between(first, last) | F.col("again").isNotNull())
         typed = self.classify(due, scored) if self.classify else due.withColumn("type", F.lit("?"))
-        found = typed.select("station", "onset", "detect", "end", "ongoing", "type").withColumns({"updated": F.col("detect") < minute, "at": F.lit(minute).cast("long")})
-        target = f"{self.folder}/alerts/at={minute}"
-        try:
-            seen = self.alerts().where(F.col("at") < minute).groupBy(F.col("station").alias("s"), F.col("detect").alias("d")).agg(F.max_by("type", "at").alias("last_type"))
-            found = found.join(seen, (F.col("station") == F.col("s")) & (F.col("detect") == F.col("d")), "left").where("NOT updated OR last_type IS NULL OR last_type <> type").drop("s", "d", "last_type")
-            found.write.mode("overwrite").parquet(target)
-        except Exception as error:  # no alert yet: there is no folder to read
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            found.write.mode("overwrite").parquet(target)
-
-    def start(self, stream: DataFrame, checkpoint: str):
-        return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).start()
+        new = F.col("detect").between(first, last)
+        said = typed.select("station", "onset", "detect", "end", "ongoing", "type", (~new).alias("updated"), F.when(new, F.col("detect")).otherwise(F.col("again")).alias("at"))
+        seen = kept.groupBy(F.col("station").alias("s"), F.col("detect").alias("d")).agg(F.max_by("type", "at").alias("last_type"))
+        met = said.join(seen, (F.col("station") == F.col("s")) & (F.col("detect") == F.col("d")), "left")
+        return met.where("NOT updated OR (last_type IS NOT NULL AND last_type <> type)").drop("s", "d", "last_type")
+
+    def start(self, stream: DataFrame, checkpoint: str, late: str = "10 minutes", **trigger):
+        """Runs on a stream of readings; repeated ones and those later than ``late`` don't count."""
+        writer = final_minutes(stream, late).writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+        return (writer.trigger(**trigger) if trigger else writer).start()
