@@ -107,7 +107,7 @@ def items_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.size(words(text)) + 1).alias("n_tokens"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(plain).alias("cluster"))
 
 
-def sequences(tokens: DataFrame, capacity: int = 4096, max_per_source: int = 4, shard_rows: int = 8192) -> DataFrame:
+def sequences(tokens: DataFrame, capacity: int = 4096, max_per_source: int = 4, shard_rows: int = 4096) -> DataFrame:
     """Filled bins from ``tokens`` (doc_id, ids, source, cluster): bin_id, n_tokens, ids, doc_ids, pieces, offsets.
 
     ``ids`` are the token ids of the whole bin; document ``doc_ids[k]`` begins at ``offsets[k]`` with its piece
