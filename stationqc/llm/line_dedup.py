@@ -63,9 +63,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = without(docs, "n_lines", "n_removed_lines", "n_removed_chunks")
     body = F.col(f"`{text_col}`").cast("string")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), body.alias("text"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("key"))
+    own = [F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("key")]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own)  # one copy of the text
     text = lambda c: F.array_join(F.slice("lines", c["first"] + 1, c["n"]), "\n")
-    parts = chunked(keyed, window, divisor, passage_words)
+    parts = chunked(docs.select(*own, body.alias("text")), window, divisor, passage_words)
     found = parts.select("id", "key", F.explode(F.transform("found", lambda c: F.struct(c["chunk"].alias("chunk"), c["first"].alias("first"), c["n"].alias("n"), text(c).alias("body")))).alias("c")).select("id", "key", "c.*")
 
     repeated = found.groupBy(F.xxhash64("body").alias("h")).agg(F.count("*").alias("times")).where("times > 1").select("h")
@@ -93,8 +94,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lambda i: let(F.coalesce(F.get("gone", i - 1)["first"] + F.get("gone", i - 1)["n"], F.lit(0)), lambda a: F.slice("split", a + 1, F.coalesce(F.get("gone", i)["first"], F.size("split")) - a)),
         )
     )
-    whole = joined.withColumn("split", F.split("text", "\n"))
-    cleaned = F.when(F.col("gone").isNull(), F.col("row").getField(text_col)).otherwise(F.array_join(stay, "\n"))
+    given = F.col("row").getField(text_col)
+    whole = joined.withColumn("split", F.split(given.cast("string"), "\n"))
+    cleaned = F.when(F.col("gone").isNull(), given).otherwise(F.array_join(stay, "\n"))
     return whole.select(
         *[cleaned.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns],
         F.when(F.col("split").isNull(), 0).otherwise(F.size("split")).cast("long").alias("n_lines"),
