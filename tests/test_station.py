@@ -130,7 +130,7 @@ def test_densify_and_first_per_minute(spark):
 
 def test_alias_error():
     try:
-        tables.resolve(["foo"], ("time", "timestamp"))
+        tables.known_columns(["foo"], {"time": ("time", "timestamp")})
     except ValueError as e:
         assert "timestamp" in str(e)
     else:
