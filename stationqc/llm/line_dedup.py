@@ -2,9 +2,11 @@
 
 A rolling hash over the hashes of ``window`` successive lines alone decides where a chunk ends, so boundaries depend on
 nearby content and move with it when lines are put in before.  Chunks of two lines or more are compared across all
-documents: first hashes (partial counts, then one shuffle of numbers), then, for those found twice, all bytes.  A single
-line of more than ``passage_words`` words is a passage and is compared likewise, whatever chunk it lies in.  The first
-occurrence stays, by document id and place.
+documents.  So are passages: from each line on, and back from each line, the shortest stretch of lines that holds more than
+``passage_words`` words; every run of whole lines with more words than that is made up of such stretches, so none that
+repeats stays because of where boundaries fall.  First the hashes of all stretches are compared (partial counts, then one
+shuffle of numbers), then the digests of those found twice, then the bytes of their lines, each distinct line once.  The
+first occurrence stays, by document id and place.
 """
 
 from __future__ import annotations
@@ -14,47 +16,77 @@ from pyspark.sql import functions as F
 
 from .common import in_slots, let, slot_bitmap, stored, without
 
+#: Lines that are tried before the most that a passage can have: nearly all passages are that short.
+FEW = 4
 
-def line_hash(line):
-    """Sixty bits of the line's MD5, white space at its ends aside: any engine can compute it."""
-    return F.conv(F.substring(F.md5(F.trim(line).cast("binary")), 1, 15), 16, 10).cast("long")
 
+def line_digest(line):
+    """MD5 of the line; lines of one digest are compared byte by byte later."""
+    return F.md5(line.cast("binary"))
 
-def chunked(keyed: DataFrame, window: int, divisor: int, passage_words: int) -> DataFrame:
-    """``keyed`` (id, key, text) to id, key, lines and found: array of (chunk, first, n), counted from 0, of what may be removed.
 
-    ``chunk`` is the first line of the chunk that a passage lies in.  Chunks without a word are left out.
+def stretches(keyed: DataFrame, window: int, divisor: int, passage_words: int) -> DataFrame:
+    """``keyed`` (id, key, text) to id, key and found: array of (first, n, sha, lines), counted from 0, of what may be removed.
+
+    These are chunks of two lines or more with a word, and passages from one line with words to another.
     """
     lines = keyed.select("id", "key", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    facts = F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
+    facts = F.transform("lines", lambda x: F.struct(line_digest(x).alias("d"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
+    stretch = lambda first, n: F.struct(first.alias("first"), n.alias("n"))
+
+    def chunks(f):
+        numbers = F.transform(f, lambda x: F.conv(F.substring(x["d"], 1, 15), 16, 10).cast("long") % 1000003)
+
+        def ends(h):
+            def stop(i):
+                rolled = F.get(h, i)
+                for k in range(1, window):
+                    rolled = rolled + (31**k) * F.coalesce(F.get(h, i - k), F.lit(0).cast("long"))
+                return (F.pmod(rolled, F.lit(divisor)) == 0) | (i == F.size(h) - 1)
+
+            return F.filter(F.sequence(F.lit(0), F.size(h) - 1), stop)
+
+        def between(s):
+            return F.transform(s, lambda e, k: let(F.coalesce(F.get(s, k - 1) + 1, F.lit(0)), lambda a: stretch(a, e - a + 1)))
+
+        whole = let(let(numbers, ends), between)
+        return F.filter(whole, lambda c: (c["n"] >= 2) & F.exists(F.slice(f, c["first"] + 1, c["n"]), lambda x: x["w"] > 0))
+
+    def passages(f):
+        def of(q):
+            def lines_of(part):
+                """How many lines of ``part`` hold enough words; zero if all don't."""
+                start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+                more = lambda s, x: F.when(s["words"] > passage_words, s).otherwise(F.struct((s["words"] + x["w"]).alias("words"), (s["n"] + 1).alias("n")))
+                return F.aggregate(part, start, more, lambda s: F.when(s["words"] > passage_words, s["n"]).otherwise(F.lit(0)))
 
-    def ends(f):
-        def stop(i):
-            near = [F.coalesce(F.get(f, i - k)["h"], F.lit(0).cast("long")) % 1000003 for k in range(window)]
-            rolled = near[0]
-            for k, h in enumerate(near[1:], 1):
-                rolled = rolled + (31**k) * h
-            return (F.pmod(rolled, F.lit(divisor)) == 0) | (i == F.size(f) - 1)
+            onward = lambda k, most: lines_of(F.slice(q, k + 1, F.lit(most)))
+            back = lambda k, most: lines_of(F.reverse(F.slice(q, F.greatest(k - most + 1, F.lit(0)) + 1, F.least(k + 1, F.lit(most)))))
+            size = lambda way, k: let(way(k, FEW), lambda n: F.when(n > 0, n).otherwise(way(k, passage_words + 1)))
+            fore = F.transform(q, lambda x, k: let(size(onward, k), lambda n: stretch(x["i"], F.when(n > 0, F.get(q, k + n - 1)["i"] - x["i"] + 1).otherwise(F.lit(0)))))
+            aft = F.transform(q, lambda x, k: let(size(back, k), lambda n: let(F.when(n > 0, F.get(q, k - n + 1)["i"]).otherwise(x["i"] + 1), lambda a: stretch(a, x["i"] - a + 1))))
+            return F.filter(F.concat(fore, aft), lambda c: c["n"] > 0)
 
-        return F.filter(F.sequence(F.lit(0), F.size(f) - 1), stop)
+        return let(F.filter(F.transform(f, lambda x, i: F.struct(i.alias("i"), x["w"].alias("w"))), lambda x: x["w"] > 0), of)
 
-    def of_chunk(f, a, n):
-        inside = F.slice(f, a + 1, n)
-        long = F.filter(F.transform(inside, lambda x, k: F.struct(a.alias("chunk"), (a + k).alias("first"), F.when(x["w"] > passage_words, F.lit(1)).otherwise(F.lit(0)).alias("n"))), lambda c: c["n"] > 0)
-        whole = F.array(F.struct(a.alias("chunk"), a.alias("first"), n.alias("n")))
-        return F.concat(F.when((n >= 2) & F.exists(inside, lambda x: x["w"] > 0), whole).otherwise(F.slice(whole, 1, 0)), long)
+    def named(f):
+        def name(d):
+            inside = lambda c: F.array_join(F.slice(d, c["first"] + 1, c["n"]), "")
+            both = F.array_distinct(F.concat(chunks(f), passages(f)))
+            return F.transform(both, lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.unhex(F.sha2(inside(c).cast("binary"), 256)).alias("sha"), F.slice("lines", c["first"] + 1, c["n"]).alias("lines")))
 
-    def candidates(f):
-        return let(ends(f), lambda s: F.flatten(F.transform(s, lambda e, k: let(F.coalesce(F.get(s, k - 1) + 1, F.lit(0)), lambda a: of_chunk(f, a, e - a + 1)))))
+        return let(F.transform(f, lambda x: x["d"]), name)
 
-    return lines.select("id", "key", "lines", let(facts, candidates).alias("found"))
+    return lines.select("id", "key", let(facts, named).alias("found"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, passage_words: int = 50) -> DataFrame:
     """``docs`` with repeated chunks and passages taken out of the text, plus n_lines, n_removed_lines and n_removed_chunks (long).
 
     A null text stays null and an empty one empty; both have one line, or none, and lose nothing.  A chunk without a word
-    is never removed.  Within a document, too, only the first occurrence stays.  Ids that are null come last; rows that
+    is never removed.  Within a document, too, only the first occurrence stays.  Chunks and passages may overlap; a line goes
+    if any of them that holds it goes, and at least one occurrence of each line stays.  n_removed_chunks counts the
+    stretches of neighbouring lines that go.  Ids that are null come last; rows that
     repeat an id count as one document by its distinct texts, in the order of those texts.  Documents all of whose lines
     go keep an empty text.  Lines and texts of any length are compared whole, and an empty table stays empty.  Input
     columns named like the counts give way; all others, whatever their names, pass through.  A chunk that a third of all
@@ -65,24 +97,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     body = F.col(f"`{text_col}`").cast("string")
     own = [F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("key")]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own)  # one copy of the text
-    text = lambda c: F.array_join(F.slice("lines", c["first"] + 1, c["n"]), "\n")
-    parts = chunked(docs.select(*own, body.alias("text")), window, divisor, passage_words)
-    found = parts.select("id", "key", F.explode(F.transform("found", lambda c: F.struct(c["chunk"].alias("chunk"), c["first"].alias("first"), c["n"].alias("n"), text(c).alias("body")))).alias("c")).select("id", "key", "c.*")
+    parts = stretches(docs.select(*own, body.alias("text")), window, divisor, passage_words)
+    found = parts.select("id", "key", F.explode("found").alias("c")).select("id", "key", "c.*").withColumn("h", F.xxhash64("sha"))
 
-    repeated = found.groupBy(F.xxhash64("body").alias("h")).agg(F.count("*").alias("times")).where("times > 1").select("h")
+    repeated = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     slots = stored(slot_bitmap(repeated), "repeated")
-    # Only chunks whose slot has a repeated hash are shuffled.
-    suspects = stored(in_slots(found.withColumn("h", F.xxhash64("body")), F.col("h"), slots, "maybe").where("maybe").drop("maybe"), "chunks")
-    # The group's key is the chunk's text: equality is that of all bytes.  Copies are combined before the shuffle.
+    # Only what has a repeated hash is shuffled.
+    maybe = in_slots(found, F.col("h"), slots, "maybe").where("maybe").drop("maybe")
+    suspects = stored(maybe.drop("lines"), "chunks")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"), F.col("first").alias("first"))
-    digest = F.sha2(F.col("body").cast("binary"), 256).alias("sha")
-    firsts = suspects.groupBy("h", "body").agg(F.min(place).alias("p"), F.count("*").alias("times")).where("times > 1").select("h", digest, "p")
-    slim = suspects.select("id", "key", "chunk", "first", "n", "h", digest)
-    gone = slim.join(firsts, ["h", "sha"]).where(~(F.col("p.id").eqNullSafe(F.col("id")) & (F.col("p.key") == F.col("key")) & (F.col("p.first") == F.col("first"))))
-    # a chunk that goes takes its passages along
-    each = gone.groupBy("id", "key", "chunk").agg(F.collect_set(F.struct("first", "n")).alias("g"), F.max("n").alias("top"))
-    each = each.withColumn("g", F.filter("g", lambda x: (x["n"] > 1) | (F.col("top") == 1)))
-    removed = stored(each.groupBy("id", "key").agg(F.array_sort(F.flatten(F.collect_list("g"))).alias("gone")), "removed").toDF("of_id", "of_key", "gone")
+    firsts = suspects.groupBy("h", "sha").agg(F.min(place).alias("p"), F.count("*").alias("times")).where("times > 1").select("h", "sha", "p")
+    # Byte comparison: what holds a line whose digest other bytes have, too, is left alone.  Copies are combined before the shuffle.
+    held = maybe.select("h", "sha", F.explode("lines").alias("line")).withColumn("d", line_digest(F.col("line")))
+    unlike = stored(held.groupBy("d", "line").agg(F.count("*").alias("times")).groupBy("d").count().where("count > 1").select("d"), "unlike")
+    if not unlike.isEmpty():
+        firsts = firsts.join(stored(held.join(unlike, "d", "left_semi").select("h", "sha").distinct(), "unequal"), ["h", "sha"], "left_anti")
+    gone = suspects.join(firsts, ["h", "sha"]).where(~(F.col("p.id").eqNullSafe(F.col("id")) & (F.col("p.key") == F.col("key")) & (F.col("p.first") == F.col("first"))))
+    at = gone.select("id", "key", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i")).groupBy("id", "key").agg(F.array_sort(F.collect_set("i")).alias("at"))
+    starts = F.filter("at", lambda x, k: ~F.coalesce(F.get("at", k - 1) == x - 1, F.lit(False)))
+    stops = F.filter("at", lambda x, k: ~F.coalesce(F.get("at", k + 1) == x + 1, F.lit(False)))
+    each = at.select("id", "key", F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("n"))).alias("gone"))
+    removed = stored(each, "removed").toDF("of_id", "of_key", "gone")
 
     marked = in_slots(keyed, F.xxhash64("id", "key"), stored(slot_bitmap(removed.select(F.xxhash64("of_id", "of_key").alias("h"))), "affected"), "maybe")
     met = marked.where("maybe").join(removed, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left").drop("of_id", "of_key")

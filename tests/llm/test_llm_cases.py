@@ -235,3 +235,39 @@ def test_chat_nulls_ties_repeats_and_long_turns(spark):
     assert got == {None: [("user", "of no conversation")], 1: [("", ""), ("assistant", "tie"), ("user", "b"), ("user", "last")], 2: [("assistant", "again")] * 2, 3: [("user", "w " * 30_000), ("assistant", "x" * 100_000)]}
     ends = {r.conv_id: r for r in chat_format.digests(chat_format.windows(df)).collect()}
     assert ends[2].loss_chars == 10 and ends[3].loss_chars == 100_000 and ends[1].n_turns == 4
+
+
+def _repeated_passages(texts: list[str | None], most: int = 50) -> int:
+    """Stretches of whole lines with more than ``most`` words, shortest from each line on, that an earlier text or place has too."""
+    seen, again = set(), 0
+    for text in texts:
+        lines = (text or "").split("\n")
+        for i in range(len(lines)):
+            words = 0
+            for j in range(i, len(lines)):
+                words += len(lines[j].split())
+                if words > most:
+                    again += (stretch := "\n".join(lines[i : j + 1])) in seen
+                    seen.add(stretch)
+                    break
+    return again
+
+
+def test_no_passage_of_several_lines_stays_twice(spark):
+    rng = random.Random(5)
+    own = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n))
+    passages = ["\n".join(own(k) for k in sizes) for sizes in ([26, 26], [20, 20, 20], [5] * 11, [1, 60, 3], [17, 17, 17, 17])]
+    passages.append("\n".join([own(30), "", "   ", own(30)]))
+    texts = ["\n".join([own(rng.randrange(1, 30)), rng.choice(passages), own(rng.randrange(1, 30)), rng.choice(passages)]) for _ in range(60)] + ["\n".join(own(1) for _ in range(3000))] * 2
+    got = [r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert _repeated_passages(texts) > 100 and _repeated_passages(got) == 0
+    assert {x for t in texts for x in t.split("\n")} == {x for t in got for x in t.split("\n")} | {""}  # one of each line stays
+    assert all(t.split("\n")[0] == g.split("\n")[0] for t, g in zip(texts[:60], got))  # lines of their own stay
+
+
+def test_lines_of_one_digest_are_told_apart_by_their_bytes(spark, monkeypatch):
+    twice = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(0, twice), (1, twice + " other"), (2, twice)], "doc_id long, text string")
+    assert [r.n_removed_lines for r in line_dedup.dedup_lines(rows).orderBy("doc_id").collect()] == [0, 0, 1]
+    monkeypatch.setattr(line_dedup, "line_digest", lambda line: F.substring(F.md5(line.cast("binary")), 1, 0))
+    assert [r.n_removed_lines for r in line_dedup.dedup_lines(rows).orderBy("doc_id").collect()] == [0, 0, 0]
