@@ -25,13 +25,13 @@ def line_digest(line):
     return F.md5(line.cast("binary"))
 
 
-def stretches(keyed: DataFrame, window: int, divisor: int, passage_words: int) -> DataFrame:
-    """``keyed`` (id, key, text) to id, key and found: array of (first, n, sha, lines), counted from 0, of what may be removed.
+def stretches(keyed: DataFrame, window: int, divisor: int, passage_words: int, with_lines: bool) -> DataFrame:
+    """``keyed`` (id, key, text) to id, key and found: array of (first, n, sha, and lines if asked for), counted from 0, of what may be removed.
 
     These are chunks of two lines or more with a word, and passages from one line with words to another.
     """
     lines = keyed.select("id", "key", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    facts = F.transform("lines", lambda x: F.struct(line_digest(x).alias("d"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
+    facts = F.transform("lines", lambda x: F.struct(line_digest(x).alias("d"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("w"), *([x.alias("t")] if with_lines else [])))
     stretch = lambda first, n: F.struct(first.alias("first"), n.alias("n"))
 
     def chunks(f):
@@ -70,12 +70,16 @@ def stretches(keyed: DataFrame, window: int, divisor: int, passage_words: int) -
         return let(F.filter(F.transform(f, lambda x, i: F.struct(i.alias("i"), x["w"].alias("w"))), lambda x: x["w"] > 0), of)
 
     def named(f):
-        def name(d):
+        def name(d, texts=None):
             inside = lambda c: F.array_join(F.slice(d, c["first"] + 1, c["n"]), "")
-            both = F.array_distinct(F.concat(chunks(f), passages(f)))
-            return F.transform(both, lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.unhex(F.sha2(inside(c).cast("binary"), 256)).alias("sha"), F.slice("lines", c["first"] + 1, c["n"]).alias("lines")))
+            # as whole numbers: only those are told apart by a hash set, structs by comparing each with each
+            codes = F.array_distinct(F.transform(F.concat(chunks(f), passages(f)), lambda c: F.shiftleft(c["first"].cast("long"), 32) + c["n"]))
+            both = F.transform(codes, lambda x: stretch(F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")))
+            body = lambda c: [F.slice(texts, c["first"] + 1, c["n"]).alias("lines")] if with_lines else []
+            return F.transform(both, lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.unhex(F.sha2(inside(c).cast("binary"), 256)).alias("sha"), *body(c)))
 
-        return let(F.transform(f, lambda x: x["d"]), name)
+        digests = F.transform(f, lambda x: x["d"])
+        return let(digests, lambda d: let(F.transform(f, lambda x: x["t"]), lambda t: name(d, t))) if with_lines else let(digests, lambda d: name(d))
 
     return lines.select("id", "key", let(facts, named).alias("found"))
 
@@ -97,22 +101,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     body = F.col(f"`{text_col}`").cast("string")
     own = [F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("key")]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own)  # one copy of the text
-    parts = stretches(docs.select(*own, body.alias("text")), window, divisor, passage_words)
-    found = parts.select("id", "key", F.explode("found").alias("c")).select("id", "key", "c.*").withColumn("h", F.xxhash64("sha"))
 
-    repeated = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    def found(with_lines):
+        parts = stretches(docs.select(*own, body.alias("text")), window, divisor, passage_words, with_lines)
+        return parts.select("id", "key", F.explode("found").alias("c")).select("id", "key", "c.*").withColumn("h", F.xxhash64("sha"))
+
+    repeated = found(False).groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     slots = stored(slot_bitmap(repeated), "repeated")
     # Only what has a repeated hash is shuffled.
-    maybe = in_slots(found, F.col("h"), slots, "maybe").where("maybe").drop("maybe")
-    suspects = stored(maybe.drop("lines"), "chunks")
+    suspects = stored(in_slots(found(True), F.col("h"), slots, "maybe").where("maybe").drop("maybe"), "chunks")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"), F.col("first").alias("first"))
     firsts = suspects.groupBy("h", "sha").agg(F.min(place).alias("p"), F.count("*").alias("times")).where("times > 1").select("h", "sha", "p")
     # Byte comparison: what holds a line whose digest other bytes have, too, is left alone.  Copies are combined before the shuffle.
-    held = maybe.select("h", "sha", F.explode("lines").alias("line")).withColumn("d", line_digest(F.col("line")))
+    held = suspects.select("h", "sha", F.explode("lines").alias("line")).withColumn("d", line_digest(F.col("line")))
     unlike = stored(held.groupBy("d", "line").agg(F.count("*").alias("times")).groupBy("d").count().where("count > 1").select("d"), "unlike")
     if not unlike.isEmpty():
         firsts = firsts.join(stored(held.join(unlike, "d", "left_semi").select("h", "sha").distinct(), "unequal"), ["h", "sha"], "left_anti")
-    gone = suspects.join(firsts, ["h", "sha"]).where(~(F.col("p.id").eqNullSafe(F.col("id")) & (F.col("p.key") == F.col("key")) & (F.col("p.first") == F.col("first"))))
+    gone = suspects.drop("lines").join(firsts, ["h", "sha"]).where(~(F.col("p.id").eqNullSafe(F.col("id")) & (F.col("p.key") == F.col("key")) & (F.col("p.first") == F.col("first"))))
     at = gone.select("id", "key", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i")).groupBy("id", "key").agg(F.array_sort(F.collect_set("i")).alias("at"))
     starts = F.filter("at", lambda x, k: ~F.coalesce(F.get("at", k - 1) == x - 1, F.lit(False)))
     stops = F.filter("at", lambda x, k: ~F.coalesce(F.get("at", k + 1) == x + 1, F.lit(False)))
