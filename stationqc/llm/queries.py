@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, language_id, language_model, line_dedup, packing, quality_rules, sentencepieces, simhash
+from . import chat_format, collocations, exact_dedup, html_extract, language_id, language_model, line_dedup, packing, quality_rules, sentencepieces, simhash, top_search, whitening
 from .common import stored
 
 
@@ -75,6 +75,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_top_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(stored(quality_rules.ledger(table(spark, sf_dir, "documents").select("text")).drop("text"), "ledger"))
 
@@ -90,6 +102,9 @@ QUERIES = {
     "op8_sentencepieces": op8_sentencepieces,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_top_search": op12_top_search,
+    "op13_collocations": op13_collocations,
     "page_language_id": page_language_id,
     "quality_ablation": quality_ablation,
 }
@@ -144,4 +159,26 @@ c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) ||
   coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY pos), '') AS loss, sum(chars) AS chars FROM s GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(c.chars + coalesce(again.chars, 0) AS BIGINT) AS formatted_chars FROM c LEFT JOIN again USING (conv_id)""",
+    "op12_top_search": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, c -> floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5""",
+    "op13_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) AS z(size) WHERE len(ws) >= size),
+f AS (SELECT lang, size, g, count(*) AS a FROM (SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS g FROM s) GROUP BY lang, size, g HAVING count(*) >= 30),
+c AS (SELECT lang, size, g, a, string_split(g, ' ') AS ws FROM f WHERE size > 1),
+k AS (SELECT c.*, unnest(range(1, size)) AS k FROM c),
+m AS (SELECT k.lang, k.g, k.k, k.a, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * k.a) // (l.a + r.a) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.size = k.k AND l.g = array_to_string(k.ws[1 : k.k], ' ')
+  JOIN f r ON r.lang = k.lang AND r.size = k.size - k.k AND r.g = array_to_string(k.ws[k.k + 1 : k.size], ' ')),
+b AS (SELECT lang, g, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM m) WHERE o = 1),
+x AS (SELECT lang, a, ws, size, m, unnest(range(1, size - m + 2)) AS i FROM c CROSS JOIN (VALUES (2), (3)) AS z(m) WHERE m < size),
+y AS (SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS g, max(a) AS longer FROM x GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, encode(b.g)) AS rank FROM b LEFT JOIN y ON y.lang = b.lang AND y.g = b.g WHERE y.longer IS NULL OR 100 * y.longer < 80 * b.a)
+SELECT o.lang, rank, g AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN total ON total.lang = o.lang WHERE rank <= 2000""",
 }
