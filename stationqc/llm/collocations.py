@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, slot_bitmap, stored
 
 #: Bytes of text of a chunk.
-CHUNK = 1 << 23
+CHUNK = 1 << 22
 #: Numbers along the side of a tile, and tiles along the side of the square in which tiles may be dense: the 8,192 most frequent.
 SIDE_BITS, GRID = 9, 16
 #: Dense tiles (1 MB) and coordinates (24 bytes) that a task holds.
-DENSE, HELD = 96, 3_000_000
+DENSE, HELD = 32, 1_000_000
 #: Bits of the bitmap that stands for grams beyond the head: 16 MB.
 TAIL_BITS = 27
 #: Piece separators become full stops, tabs spaces.
