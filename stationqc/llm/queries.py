@@ -121,22 +121,16 @@ SELECT rule, CAST(sum(CASE WHEN (fail_bits & bit) <> 0 THEN 1 ELSE 0 END) AS BIG
   CAST(sum(CASE WHEN (fail_bits & {_STRICT}) = bit THEN 1 ELSE 0 END) AS BIGINT) AS n_regained
 FROM ledger CROSS JOIN rules GROUP BY rule""",
     "op6_line_dedup": r"""
-WITH t AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, text, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS t, len(ls) AS nl FROM t),
-f AS (SELECT *, CAST('0x' || substr(md5(t), 1, 15) AS BIGINT) % 1000003 AS h, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w FROM l),
-e AS (SELECT *, CASE WHEN (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 2 = 0 OR i = nl - 1 THEN 1 ELSE 0 END AS stop FROM f),
-k AS (SELECT *, sum(stop) OVER (PARTITION BY doc_id ORDER BY i) - stop AS c FROM e),
-v AS (SELECT doc_id, i, w, row_number() OVER o AS p, sum(w) OVER o AS upto FROM f WHERE w > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-m AS (SELECT a.doc_id, a.i AS first, z.i AS last FROM (SELECT *, unnest(range(51)) AS more FROM v) a JOIN v z ON a.doc_id = z.doc_id AND z.p = a.p + a.more WHERE z.upto - a.upto + a.w > 50),
-b AS (SELECT doc_id, min(i) AS first, count(*) AS n FROM k GROUP BY doc_id, c HAVING count(*) >= 2 AND sum(w) > 0
-  UNION SELECT doc_id, first, min(last) - first + 1 FROM m GROUP BY doc_id, first
-  UNION SELECT doc_id, max(first), last - max(first) + 1 FROM m GROUP BY doc_id, last),
-g AS (SELECT b.*, row_number() OVER (PARTITION BY ls[first + 1 : first + n] ORDER BY doc_id, first) AS r FROM b JOIN t USING (doc_id)),
-o AS (SELECT DISTINCT doc_id, first + unnest(range(n)) AS i FROM g WHERE r > 1),
+WITH l AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+w AS (SELECT doc_id, i, t, lead(i) OVER o AS j, lead(t) OVER o AS u FROM l WHERE regexp_matches(t, '[^\x20\x09-\x0D]') WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT doc_id, i AS first, j AS last, t || chr(10) || u AS s FROM w WHERE j IS NOT NULL
+  UNION ALL SELECT doc_id, i, i, t FROM w WHERE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) > 50),
+g AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, first) AS r FROM b),
+o AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM g WHERE r > 1),
 q AS (SELECT doc_id, count(*) AS n_removed_chunks FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prior FROM o) WHERE prior IS NULL OR prior <> i - 1 GROUP BY doc_id),
-s AS (SELECT k.doc_id, min(k.text) AS old, min(k.nl) AS n_lines, string_agg(CASE WHEN o.i IS NULL THEN k.t END, chr(10) ORDER BY k.i) AS new,
-  count(o.i) AS n_removed_lines FROM k LEFT JOIN o ON k.doc_id = o.doc_id AND k.i = o.i GROUP BY k.doc_id)
-SELECT s.doc_id, CASE WHEN n_removed_lines = 0 THEN old ELSE coalesce(new, '') END AS text, CAST(n_lines AS BIGINT) AS n_lines, n_removed_lines, coalesce(q.n_removed_chunks, 0) AS n_removed_chunks
+s AS (SELECT l.doc_id, min(l.text) AS old, count(*) AS n_lines, string_agg(CASE WHEN o.i IS NULL THEN l.t END, chr(10) ORDER BY l.i) AS new,
+  count(o.i) AS n_removed_lines FROM l LEFT JOIN o ON l.doc_id = o.doc_id AND l.i = o.i GROUP BY l.doc_id)
+SELECT s.doc_id, CASE WHEN n_removed_lines = 0 THEN old ELSE coalesce(new, '') END AS text, CAST(CASE WHEN old IS NULL THEN 0 ELSE n_lines END AS BIGINT) AS n_lines, n_removed_lines, coalesce(q.n_removed_chunks, 0) AS n_removed_chunks
 FROM s LEFT JOIN q ON q.doc_id = s.doc_id""",
     "op10_exact_dedup": r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)

@@ -271,3 +271,26 @@ def test_lines_of_one_digest_are_told_apart_by_their_bytes(spark, monkeypatch):
     assert [r.n_removed_lines for r in line_dedup.dedup_lines(rows).orderBy("doc_id").collect()] == [0, 0, 1]
     monkeypatch.setattr(line_dedup, "line_digest", lambda line: F.substring(F.md5(line.cast("binary")), 1, 0))
     assert [r.n_removed_lines for r in line_dedup.dedup_lines(rows).orderBy("doc_id").collect()] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("slots", [1 << 24, 0])
+def test_every_repeated_run_of_lines_goes(spark, monkeypatch, slots):
+    """Against a plain version: pairs of neighbouring lines with words, and long lines, beyond their first occurrence; by bitmap and by join."""
+    monkeypatch.setattr(line_dedup, "MOST_SLOTS", slots)
+    rng = random.Random(11)
+    pool = [f"line {i}" for i in range(40)] + ["", " \t", "w " * 51 + "end", "x " * 50]
+    texts = ["\n".join(rng.choice(pool) if rng.random() < 0.5 else f"own {rng.random()}" for _ in range(rng.randint(0, 25))) for _ in range(60)] + [None, "", "\n", "same\nsame\nsame\nsame", "a b\nc d\n1", "2\na b\nc d", "3\na b\n\nc d\n4"]
+    first, gone = {}, [set() for _ in texts]
+    for run in (True, False):
+        for d, t in enumerate(texts):
+            kept = [(i, x) for i, x in enumerate((t or "").split("\n")) if x.split()]
+            found = [(i, j, (x, y)) for (i, x), (j, y) in zip(kept, kept[1:])] + [(i, i, (x,)) for i, x in kept if len(x.split()) > 50]
+            for i, j, s in found:
+                if run:
+                    first[s] = min(first.get(s, (d, i)), (d, i))
+                elif first[s] != (d, i):
+                    gone[d] |= set(range(i, j + 1))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for d, t in enumerate(texts):
+        want = t if not gone[d] else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
+        assert got[d].text == want and got[d].n_removed_lines == len(gone[d]) and got[d].n_removed_chunks == sum(i - 1 not in gone[d] for i in gone[d])
