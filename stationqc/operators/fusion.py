@@ -1,21 +1,15 @@
-"""The learned weighing of all evidence, in two stages, with MLlib's boosted trees; and the scorer that strings it together."""
+"""The learned weighing of all evidence, in two stages of boosted trees; and the scorer that strings it together."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import WARMUP
-from . import features, models, neighbours, profile, qc
-
-
-#: Tasks that fit the trees: their sample is bounded, and each round has several jobs.
-FIT_TASKS = 4
+from ..sources.scratch import delete, scratch_path
+from . import boosting, features, models, neighbours, profile, qc
 
 
 def training_weights(labels: DataFrame, warmup: int = WARMUP) -> DataFrame:
@@ -31,32 +25,38 @@ def training_weights(labels: DataFrame, warmup: int = WARMUP) -> DataFrame:
     return rows.withColumn("weight", weight).drop("fresh", "island", "at", "n", "row", "before")
 
 
-def training_rows(evidence: DataFrame) -> DataFrame:
-    """FUSION columns, label and weight: every row as it is, and again with its neighbours hidden at 0.35 of the weight; faults count three times."""
+def training_rows(evidence: DataFrame, seed: int = 0) -> DataFrame:
+    """FUSION columns, label, weight and held: every row of some weight as it is, and again with its neighbours hidden at 0.35 of the weight; faults count three times.
+
+    A tenth of the rows, by a hash of their key, is held out of training and tells when to stop; both forms of a row go the same way.
+    """
+    seen = evidence.where("weight > 0")
     y = (F.col("anom") != "").cast("double")
-    shown = features.fusion_features(evidence).select(*features.FUSION, y.alias("label"), "weight")
-    hidden = features.fusion_features(evidence, isolate=True).select(*features.FUSION, y.alias("label"), (F.col("weight") * 0.35).alias("weight"))
-    return shown.unionByName(hidden).where("weight > 0").withColumn("weight", F.when(F.col("label") == 1, F.col("weight") * 3).otherwise(F.col("weight")))
+    held = F.pmod(F.xxhash64("station", "minute", F.lit(seed)), F.lit(10)) == 0
+    shown = features.fusion_features(seen).select(*features.FUSION, y.alias("label"), "weight", held.alias("held"))
+    hidden = features.fusion_features(seen, isolate=True).select(*features.FUSION, y.alias("label"), (F.col("weight") * 0.35).alias("weight"), held.alias("held"))
+    return shown.unionByName(hidden).withColumn("weight", F.when(F.col("label") == 1, F.col("weight") * 3).otherwise(F.col("weight")))
 
 
-def _assembled(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=features.FUSION, outputCol="fusion").transform(rows)
+def fit_stage(evidence: DataFrame, rounds: int = 180, depth: int = 5, seed: int = 0) -> boosting.BoostedTrees:
+    """Boosted trees on all labelled rows of some weight (station, minute, …): steps of 0.08, an L2 of 1.0, 40 rows a leaf at least."""
+    rows, path = _written(training_rows(evidence, seed), "training")
+    model = boosting.fit(rows, features.FUSION, rounds=rounds, depth=depth)
+    delete(evidence.sparkSession, path)
+    return model
 
 
-def fit_stage(evidence: DataFrame, rounds: int = 180, depth: int = 5, seed: int = 0, sample: int = 70_000) -> GBTClassificationModel:
-    """Boosted trees on at most ``sample`` labelled rows (station, minute, …), by a hash of their key: the same ones every time."""
-    chosen = evidence.orderBy(F.xxhash64("station", "minute", F.lit(seed)), "station", "minute").limit(sample)
-    rows = _assembled(training_rows(chosen)).select("fusion", "label", "weight").coalesce(FIT_TASKS).persist()
-    try:
-        return GBTClassifier(featuresCol="fusion", labelCol="label", weightCol="weight", maxDepth=depth, stepSize=0.08, maxIter=rounds, minInstancesPerNode=40, seed=seed).fit(rows)
-    finally:
-        rows.unpersist()
+def _written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` as Parquet in the scratch folder: computed once, and read by columns."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def probability(evidence: DataFrame, model: GBTClassificationModel) -> DataFrame:
+def probability(evidence: DataFrame, model: boosting.BoostedTrees) -> DataFrame:
     """``evidence`` plus p_model."""
-    scored = model.transform(_assembled(features.fusion_features(evidence)))
-    return scored.withColumn("p_model", F.get(vector_to_array("probability"), F.lit(1))).drop("fusion", "rawPrediction", "probability", "prediction", *features.FUSION)
+    scored = features.fusion_features(evidence)
+    return scored.withColumn("p_model", model.probability(*[F.col(c) for c in features.FUSION])).drop(*features.FUSION)
 
 
 @dataclass
@@ -67,28 +67,30 @@ class QualityModel:
     climate: DataFrame
     spatial: DataFrame
     anomaly: models.AnomalyModel
-    first: GBTClassificationModel | None = None
-    second: GBTClassificationModel | None = None
+    first: boosting.BoostedTrees | None = None
+    second: boosting.BoostedTrees | None = None
 
     @classmethod
-    def fit(cls, history: DataFrame, stations: DataFrame, sample: int = 70_000, trees: int = 120, epochs: int = 30, least: int = 500) -> QualityModel:
+    def fit(cls, history: DataFrame, stations: DataFrame, sample: int = 70_000, trees: int = 120, epochs: int = 80, least: int = 500) -> QualityModel:
         """From clean, dense history: station, minute, T_raw, P_raw, RH_raw."""
         checked = qc.checked(history)
-        climate = profile.climate_profile(checked).persist()
-        featured = features.features(checked, climate).persist()
-        edges = neighbours.build_neighbours(stations).persist()
+        climate, _ = _written(profile.climate_profile(checked), "climate")
+        featured, path = _written(features.features(checked, climate), "features")
+        edges, _ = _written(neighbours.build_neighbours(stations), "edges")
         resid = neighbours.residuals(neighbours.neighbour_support(neighbours.anomalies(featured.withColumn("ts", F.lit(0.0))), edges))
-        spatial = profile.spatial_profile(resid, least).persist()
+        spatial, _ = _written(profile.spatial_profile(resid, least), "spatial")
         model = cls(edges, climate, spatial, models.fit_anomaly(features.feature_vector(featured), sample, trees, epochs))
-        spatial.count()
-        featured.unpersist()
+        delete(history.sparkSession, path)
         return model
 
     def evidence(self, obs: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        """Evidence of the first pass.  An empty ``edges`` shows what is lost without neighbours."""
-        featured = features.features(qc.checked(obs), self.climate)
+        """Evidence of the first pass.  An empty ``edges`` shows what is lost without neighbours.
+
+        Steps that later ones read more than once are written to the scratch folder, here and in :meth:`second_pass`; they stay as long as it does.
+        """
+        featured, _ = _written(features.features(qc.checked(obs), self.climate), "features")
         ts = models.anomaly_scores(features.feature_vector(featured), self.anomaly)
-        rows = neighbours.anomalies(featured.join(ts, ["station", "minute"]))
+        rows, _ = _written(neighbours.anomalies(featured.join(ts, ["station", "minute"])), "anomalies")  # read from both sides of the neighbours
         return self._spatial(rows, self.edges if edges is None else edges)
 
     def _spatial(self, rows: DataFrame, edges: DataFrame, hidden=None) -> DataFrame:
@@ -99,15 +101,16 @@ class QualityModel:
         p = F.when(qc.hard(), F.greatest("p_model", F.lit(0.99))).otherwise(F.col("p_model"))
         marked = evidence.withColumn("excluded", features.recently(p >= 0.5))
         spatial = [c for c in marked.columns if c.split("_")[0] in ("med", "medI", "spread", "res", "resI", "offt", "sig", "sigI", "zL", "zI")] + ["nn", "has_nb", "nb_ts", "p_model"]
-        return self._spatial(marked.drop(*spatial), self.edges if edges is None else edges, F.col("excluded"))
+        rows, _ = _written(marked.drop(*spatial), "marked")
+        return self._spatial(rows, self.edges if edges is None else edges, F.col("excluded"))
 
     def calibrate(self, obs: DataFrame, rounds: int = 180, warmup: int = WARMUP) -> QualityModel:
         """Both stages from observations with labelled faults (anom)."""
         rows = training_weights(obs.select("station", "minute", "anom"), warmup)
-        seen = self.evidence(obs).join(rows.select("station", "minute", "weight"), ["station", "minute"]).persist()
+        seen, path = _written(self.evidence(obs).join(rows.select("station", "minute", "weight"), ["station", "minute"]), "evidence")
         self.first = fit_stage(seen, rounds)
         self.second = fit_stage(self.second_pass(probability(seen, self.first)), rounds)
-        seen.unpersist()
+        delete(obs.sparkSession, path)
         return self
 
     def reuse_fusion(self, other: QualityModel) -> QualityModel:
@@ -116,6 +119,6 @@ class QualityModel:
 
     def score(self, obs: DataFrame, edges: DataFrame | None = None) -> DataFrame:
         """All evidence with p_model, hard, instant and prob, the expected series and the deviations."""
-        seen = probability(self.evidence(obs, edges), self.first)
+        seen, _ = _written(probability(self.evidence(obs, edges), self.first), "evidence")
         done = qc.hard_and_instant(probability(self.second_pass(seen, edges), self.second))
         return neighbours.deviation_native(neighbours.expected_series(done))

@@ -70,9 +70,11 @@ class IsolationForest:
 @dataclass
 class Autoencoder:
     sizes: tuple[int, ...] = (14, 5, 14)
-    epochs: int = 30
+    epochs: int = 80
     seed: int = 0
+    patience: int = 6
     layers: list[list[np.ndarray]] = field(default_factory=list)
+    losses: list[float] = field(default_factory=list)
 
     def _forward(self, x: np.ndarray) -> list[np.ndarray]:
         out = [x]
@@ -82,7 +84,11 @@ class Autoencoder:
         return out
 
     def fit(self, x: np.ndarray, batch: int = 256, rate: float = 2e-3) -> Autoencoder:
+        """At most ``epochs`` passes; a tenth of the rows is held out, and after ``patience`` passes without a loss there that is lower by 1e-4 of it, training stops.  The best weights stay."""
         rng, x = np.random.default_rng(self.seed), np.clip(x, -10, 10)
+        shuffled = x[rng.permutation(len(x))]
+        held, x = shuffled[: len(x) // 10], shuffled[len(x) // 10 :]
+        best, idle = None, 0
         widths = [x.shape[1], *self.sizes, x.shape[1]]
         self.layers = [[rng.normal(0, np.sqrt(1 / a), (a, b)), np.zeros(b)] for a, b in zip(widths, widths[1:])]
         moments = [[[np.zeros_like(p), np.zeros_like(p)] for p in layer] for layer in self.layers]
@@ -99,6 +105,16 @@ class Autoencoder:
                         m[0] = 0.9 * m[0] + 0.1 * g
                         m[1] = 0.999 * m[1] + 0.001 * g * g
                         p -= rate * m[0] / (1 - 0.9**step) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
+            if not len(held):
+                continue
+            self.losses.append(float(((self._forward(held)[-1] - held) ** 2).mean()))
+            idle = 0 if best is None or self.losses[-1] < best[0] * (1 - 1e-4) else idle + 1
+            if best is None or self.losses[-1] < best[0]:
+                best = (self.losses[-1], [[p.copy() for p in layer] for layer in self.layers])
+            if idle >= self.patience:
+                break
+        if best:
+            self.layers = best[1]
         return self
 
     def error(self, x: np.ndarray) -> np.ndarray:
@@ -140,7 +156,7 @@ def score_reference(vector: DataFrame, model: AnomalyModel) -> DataFrame:
     return _raw_scores(vector, model).agg(sketch("s_if", 0.5).alias("base"), sketch("s_if", 0.999).alias("if_ref"), sketch("s_ae", 0.999).alias("ae_ref"))
 
 
-def fit_anomaly(vector: DataFrame, sample: int = 70_000, trees: int = 120, epochs: int = 30, seed: int = 0) -> AnomalyModel:
+def fit_anomaly(vector: DataFrame, sample: int = 70_000, trees: int = 120, epochs: int = 80, seed: int = 0) -> AnomalyModel:
     """Scale, both models and their reference percentiles from clean history (see :func:`..features.feature_vector`)."""
     scale = profile.read_scale(vector)
     rows = profile.robust_scale(sample_rows(vector, sample, seed), scale).select(*VECTOR).toPandas().to_numpy(float)

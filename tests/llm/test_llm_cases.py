@@ -267,10 +267,10 @@ def test_no_passage_of_several_lines_stays_twice(spark):
 
 def test_lines_of_one_digest_are_told_apart_by_their_bytes(spark, monkeypatch):
     twice = " ".join(f"w{i}" for i in range(60))
-    rows = spark.createDataFrame([(0, twice), (1, twice + " other"), (2, twice)], "doc_id long, text string")
-    assert [r.n_removed_lines for r in line_dedup.dedup_lines(rows).orderBy("doc_id").collect()] == [0, 0, 1]
+    rows = spark.createDataFrame([(0, twice), (1, twice + " other"), (2, twice), (3, twice + " other"), (4, twice + " once")], "doc_id long, text string")
+    assert [r.n_removed_lines for r in line_dedup.dedup_lines(rows).orderBy("doc_id").collect()] == [0, 0, 1, 1, 0]
     monkeypatch.setattr(line_dedup, "line_digest", lambda line: F.substring(F.md5(line.cast("binary")), 1, 0))
-    assert [r.n_removed_lines for r in line_dedup.dedup_lines(rows).orderBy("doc_id").collect()] == [0, 0, 0]
+    assert [r.n_removed_lines for r in line_dedup.dedup_lines(rows).orderBy("doc_id").collect()] == [0, 0, 0, 0, 0]
 
 
 @pytest.mark.parametrize("slots", [1 << 24, 0])
