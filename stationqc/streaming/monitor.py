@@ -3,17 +3,21 @@
 A station's verdict needs its neighbours, so state by station is not enough: the last minutes of all stations are a table,
 written anew for each micro-batch under its id.  A batch that is run again reads the table of the batch before and writes
 the same rows to the same place, so a replay changes nothing.
+
+The time is what stations agree on, not the newest reading: one wrong clock moves nothing, and after a standstill of any
+length the stations that come back move it on.  A reading ahead of the time waits until others reach it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import THRESHOLD
 from ..operators import incidents
+from ..sources.scratch import delete
 from ..sources.tables import densify, first_per_minute
 
 STATE = "station string, minute long, T_raw double, P_raw double, RH_raw double"
@@ -25,21 +29,26 @@ def final_minutes(packets: DataFrame, late: str = "10 minutes") -> DataFrame:
     return stamped.withWatermark("time", late).dropDuplicatesWithinWatermark(["station", "minute_start"]).drop("minute_start")
 
 
+CLOCK = "minute long"
 EMITTED = "station string, onset long, detect long, end long, ongoing boolean, type string, updated boolean, at long"
 
 
 class Monitor:
     """``score`` turns dense rows (station, minute, T_raw, P_raw, RH_raw) into rows with prob and instant.
 
-    State is bounded: ``window`` minutes of readings, and the alerts that a re-check may still ask for.  A batch of up to
-    ``catch_up`` new minutes is scored minute by minute, as if each had come alone.  One that brings more (a first batch
-    with history, or after a standstill) is scored once, over all of it.  Readings more than ``ahead`` minutes after all
-    others that are known come from a wrong clock, and those older than the window come too late: neither counts.
+    State is bounded: ``window`` minutes of readings, those that wait (as many minutes a station at most), and the alerts that a
+    re-check may still ask for.  A batch of up to ``catch_up`` new minutes is scored minute by minute, as if each had come
+    alone.  One that brings more (a first batch with history, or after a standstill) is scored in passes of ``span`` minutes.
+
+    The time moves on to a minute that a quarter of the stations that have something new have reached (that is, which have a
+    reading there or up to ``ahead`` minutes later); over more than ``ahead`` minutes it takes two stations at least, or where
+    one station alone speaks, ``alone`` minutes of its own.  Readings more than ``ahead`` minutes after the time wait; those
+    older than the window before it come too late and don't count.
     """
 
-    def __init__(self, spark: SparkSession, stations: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, window: int = 150, warmup: int = 90, recheck: tuple[int, ...] = (15, 30), classify: Callable[[DataFrame, DataFrame], DataFrame] | None = None, catch_up: int = 5, ahead: int = 1440):
+    def __init__(self, spark: SparkSession, stations: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, window: int = 150, warmup: int = 90, recheck: tuple[int, ...] = (15, 30), classify: Callable[[DataFrame, DataFrame], DataFrame] | None = None, catch_up: int = 5, ahead: int = 10, alone: int = 30, span: int = 1440, compact: int = 50):
         self.spark, self.stations, self.score, self.folder = spark, stations.select(F.col("station").cast("string").alias("station")), score, folder.rstrip("/")
-        self.window, self.warmup, self.recheck, self.classify, self.catch_up, self.ahead = window, warmup, recheck, classify, catch_up, ahead
+        self.window, self.warmup, self.recheck, self.classify, self.catch_up, self.ahead, self.alone, self.span, self.compact = window, warmup, recheck, classify, catch_up, ahead, alone, span, compact
 
     def _table(self, name: str, batch: int, schema: str) -> DataFrame:
         """What batch ``batch`` wrote; empty before the first."""
@@ -53,37 +62,87 @@ class Monitor:
 
     def alerts(self) -> DataFrame:
         """All alerts so far."""
-        return self.spark.read.schema(EMITTED).parquet(f"{self.folder}/alerts/*")
+        return self.spark.read.schema(EMITTED).parquet(f"{self.folder}/alerts/*").distinct()
+
+    def _agreed(self, new: DataFrame, before: int | None) -> int | None:
+        """The latest minute that enough stations have reached; ``new``: station and minute of what came or waits."""
+        seen = new.select("station", "minute").distinct()
+        near = F.lit(False)
+        if before is not None:
+            seen, near = seen.where(F.col("minute") > before), F.col("minute") <= before + self.ahead
+        seen = seen.withColumn("near", near)
+        voices = seen.agg(F.count_distinct("station").alias("all"), F.count_distinct(F.when(F.col("near"), F.col("station"))).alias("near"), F.count_distinct("minute").alias("minutes")).first()
+        if not voices["all"]:
+            return before
+        lone = voices["all"] == 1
+        # a station has reached a minute if it has a reading there or up to ``ahead`` minutes later; alone, the minutes before count
+        who, low, high = ("minute", 0, self.alone - 1) if lone else ("station", -self.ahead, 0)
+        reached = seen.select(F.col(who).alias("who"), F.explode(F.sequence(F.col("minute") + low, F.col("minute") + high)).alias("at"), F.col("minute").alias("m"))
+        held = reached.groupBy("at").agg(F.count_distinct("who").alias("n"), F.max((F.col("at") == F.col("m")).cast("int")).alias("real"))
+        quarter = lambda n: -(-n // 4)
+        if lone:
+            far = max(1, min(self.alone, voices["minutes"]) // 2) if before is None else self.alone
+        else:
+            far = max(2, quarter(voices["all"]))
+        enough = F.lit(far) if before is None else F.when(F.col("at") <= before + self.ahead, 1 if lone else max(1, quarter(voices["near"]))).otherwise(far)
+        found = held.where((F.col("real") == 1) & (F.col("n") >= enough)).agg(F.max("at").alias("m")).first().m
+        return before if found is None else found if before is None else max(before, found)
+
+    def _spans(self, state: DataFrame, begin: int, now: int) -> list[tuple[int, int]]:
+        """The passes over ``begin`` to ``now`` that have readings in reach; nothing is said of times when all were silent."""
+        ends = F.array(F.col("minute"), F.col("minute") + self.window - 1)
+        at = state.where(F.col("minute") <= now).select(F.explode(F.transform(ends, lambda m: F.floor((m - begin) / self.span))).alias("k")).distinct()
+        return [(m, min(m + self.span - 1, now)) for m in sorted(begin + self.span * r.k for r in at.collect() if r.k >= 0) if m <= now]
+
+    def _forget(self, batch_id: int) -> None:
+        """Folders of batches that no replay reads go; alerts of many batches become one folder."""
+        if batch_id < 2:
+            return
+        for name in ("state", "waiting", "clock", "emitted"):
+            delete(self.spark, f"{self.folder}/{name}/batch={batch_id - 2}")
+        delete(self.spark, f"{self.folder}/arrived/batch={batch_id - 1}")
+        delete(self.spark, f"{self.folder}/parts/of={batch_id - 1}")
+        if self.compact and batch_id % self.compact == 0:
+            upto = range(max(0, batch_id - self.compact - 1), batch_id - 1)
+            folders = [f"{self.folder}/alerts/batch={i}" for i in upto]
+            self.spark.read.schema(EMITTED).option("ignoreMissingFiles", "true").parquet(*folders).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/alerts/upto={batch_id - 2}")
+            for path in folders:
+                delete(self.spark, path)
 
     def process(self, rows: DataFrame, batch_id: int) -> None:
         """For ``writeStream.foreachBatch``.  ``rows``: station, time, T_raw, P_raw, RH_raw.  Batch ids count from 0 without gaps."""
-        old = self._table("state", batch_id - 1, STATE)
-        fresh = first_per_minute(rows.withColumn("ingest", F.monotonically_increasing_id())).select(F.col("station").cast("string").alias("station"), "minute", "T_raw", "P_raw", "RH_raw")
-        before = old.agg(F.max("minute").alias("m")).first().m
+        old, waited, kept = self._table("state", batch_id - 1, STATE), self._table("waiting", batch_id - 1, STATE), self._table("emitted", batch_id - 1, EMITTED)
+        clock = self._table("clock", batch_id - 1, CLOCK).first()
+        before = clock.minute if clock else None
+        arrived = first_per_minute(rows.withColumn("ingest", F.monotonically_increasing_id())).select(F.col("station").cast("string").alias("station"), "minute", "T_raw", "P_raw", "RH_raw")
+        # The micro-batch is read once; what waited came first.
+        arrived = self._write(arrived, "arrived", batch_id, STATE)
+        new = waited.unionByName(arrived.join(waited.select("station", "minute"), ["station", "minute"], "left_anti"))
+        now = self._agreed(new, before)
+        limit = self.ahead + (now if now is not None else -(1 << 60))
+        newest = Window.partitionBy("station").orderBy(F.desc("minute"))
+        waiting = new.where(F.col("minute") > limit).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= self.window).drop("n")
+        self._write(waiting, "waiting", batch_id, STATE)
+        fresh = new.where(F.col("minute") <= limit)
         if before is not None:
-            fresh = fresh.where((F.col("minute") > before - self.window) & (F.col("minute") <= before + self.ahead))
+            fresh = fresh.where(F.col("minute") > before - self.window)
         merged = old.unionByName(fresh.join(old.select("station", "minute"), ["station", "minute"], "left_anti"))
-        bounds = merged.agg(F.max("minute").alias("last"), F.min("minute").alias("first")).first()
-        kept = self._table("emitted", batch_id - 1, EMITTED)
-        if bounds.last is None or bounds.last == before:
-            self._write(merged, "state", batch_id, STATE)
-            self._write(kept, "emitted", batch_id, EMITTED)
-            return
+        first = merged.where(F.col("minute") <= limit - self.ahead).agg(F.min("minute").alias("m")).first().m if now is not None else None
         # one batch may hold several minutes: the window of the oldest new one must still be there
-        begin = bounds.first if before is None else before + 1
-        state = self._write(merged.where(F.col("minute") > begin - self.window), "state", batch_id, STATE)
-        begin = max(begin, bounds.first + self.warmup - 1)
-        minutes = range(begin, bounds.last + 1)
-        spans = [(begin, bounds.last)] if len(minutes) > self.catch_up else [(m, m) for m in minutes]
-        found = None
-        for first, last in spans:
-            new = self._found(state, kept if found is None else kept.unionByName(found), first, last)
-            new = self._write(new, f"parts-{last}", batch_id, EMITTED)
-            found = new if found is None else found.unionByName(new)
-        if found is None:
-            found = self._table("emitted", -1, EMITTED)
+        begin = None if first is None else first if before is None else before + 1
+        state = self._write(merged if begin is None else merged.where(F.col("minute") > begin - self.window), "state", batch_id, STATE)
+        self._write(self.spark.createDataFrame([(now,)] if now is not None else [], CLOCK), "clock", batch_id, CLOCK)
+        found = self._table("emitted", -1, EMITTED)
+        if begin is not None and now != before:
+            begin = max(begin, first + self.warmup - 1)
+            spans = [(m, m) for m in range(begin, now + 1)] if now - begin < self.catch_up else self._spans(state, begin, now)
+            for start, last in spans:
+                new = self._found(state, kept.unionByName(found), start, last)
+                found = found.unionByName(self._write(new, f"parts/of={batch_id}/minute={last}", 0, EMITTED))
         found = self._write(found, "alerts", batch_id, EMITTED)
-        self._write(kept.unionByName(found).where(F.col("detect") >= bounds.last - max(self.recheck, default=0)), "emitted", batch_id, EMITTED)
+        earliest = -(1 << 60) if now is None else now - max(self.recheck, default=0)
+        self._write(kept.unionByName(found).where(F.col("detect") >= earliest), "emitted", batch_id, EMITTED)
+        self._forget(batch_id)
 
     def _found(self, state: DataFrame, kept: DataFrame, first: int, last: int) -> DataFrame:
         """Alerts that begin in the minutes ``first`` to ``last``, and earlier ones whose type a due re-check changes."""

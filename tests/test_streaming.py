@@ -60,9 +60,55 @@ def test_many_minutes_at_once_wrong_clocks_and_late_rows(spark, stations, tmp_pa
     live.process(packets(spark, range(112, 118)), 3)
     assert fresh(live) == expected(spark, stations, 118)
     held = spark.read.parquet(str(tmp_path / "live/state/batch=3")).agg(F.min("minute"), F.max("minute")).first()
+    assert spark.read.parquet(str(tmp_path / "live/waiting/batch=3")).select("minute").distinct().count() == 1  # the wrong clock's
     assert held[1] == ZERO + 117 and held[0] > ZERO + 112 - 151
 
 
+def test_a_standstill_of_two_days_loses_nothing(spark, stations, tmp_path):
+    live = Monitor(spark, stations, score, str(tmp_path / "live"), catch_up=0)
+    back = 100 + 2 * 1440
+    bad = {(s, m) for s in "ab" for m in range(back + 100, back + 112)}
+    for i, b in enumerate([range(0, 100), range(back, back + 60), range(back + 60, back + 120), range(back + 120, back + 124)]):
+        live.process(packets(spark, b, bad=bad), i)
+    assert len(fresh(live)) == 2 and {s for s, _ in fresh(live)} == {"a", "b"} and all(back + 100 <= d - ZERO <= back + 106 for _, d in fresh(live))
+
+
+def test_a_station_that_comes_back_alone_waits_for_others(spark, stations, tmp_path):
+    live = Monitor(spark, stations, score, str(tmp_path / "live"), catch_up=0)
+    one = lambda s, minutes: packets(spark, minutes).where(F.col("station") == s)
+    live.process(packets(spark, range(0, 100)), 0)
+    live.process(one("a", range(5000, 5004)), 1)
+    clock = lambda i: spark.read.parquet(str(tmp_path / f"live/clock/batch={i}")).first().minute - ZERO
+    assert clock(1) == 99
+    live.process(one("b", range(5000, 5004)), 2)
+    assert clock(2) == 5003
+    held = spark.read.parquet(str(tmp_path / "live/state/batch=2")).where(F.col("minute") >= ZERO + 5000).count()
+    assert held == 8  # what waited is there
+    alone = Monitor(spark, stations, score, str(tmp_path / "alone"), catch_up=0)
+    alone.process(packets(spark, range(0, 100)), 0)
+    alone.process(one("a", range(5000, 5029)), 1)
+    alone.process(one("a", range(5029, 5040)), 2)
+    assert spark.read.parquet(str(tmp_path / "alone/clock/batch=2")).first().minute == ZERO + 5039
+
+
+def test_a_wrong_clock_in_the_first_batch_and_later(spark, stations, tmp_path):
+    live = Monitor(spark, stations, score, str(tmp_path / "live"), catch_up=0)
+    wrong = packets(spark, [3_000_000]).where("station = 'b'")
+    live.process(packets(spark, range(0, 108)).unionByName(wrong), 0)
+    live.process(packets(spark, range(108, 112)).unionByName(packets(spark, [3_000_001]).where("station = 'b'")), 1)
+    live.process(packets(spark, range(112, 118)), 2)
+    assert len(fresh(live)) == 2 and fresh(live) == expected(spark, stations, 118)
+
+
+def test_folders_of_old_batches_go_and_alerts_are_gathered(spark, stations, tmp_path):
+    live = Monitor(spark, stations, score, str(tmp_path / "live"), catch_up=0, compact=4)
+    for i, b in enumerate([range(0, 95), *[range(95 + 5 * k, 100 + 5 * k) for k in range(5)]]):
+        live.process(packets(spark, b), i)
+    assert fresh(live) == expected(spark, stations, 120)
+    names = lambda of: sorted(p.name for p in (tmp_path / "live" / of).iterdir())
+    assert names("state") == names("clock") == names("waiting") == ["batch=4", "batch=5"] and len(names("alerts")) == 4 and names("parts") == ["of=5"]
+
+
 def test_types_are_looked_at_again_after_15_and_30_minutes(spark, stations, tmp_path):
     bad = {("a", m) for m in range(100, 140)}
 
