@@ -41,14 +41,14 @@ class Monitor:
     alone.  One that brings more (a first batch with history, or after a standstill) is scored in passes of ``span`` minutes.
 
     The time moves on to a minute that a quarter of the stations that have something new have reached (that is, which have a
-    reading there or up to ``ahead`` minutes later); over more than ``ahead`` minutes it takes two stations at least, or where
-    one station alone speaks, ``alone`` minutes of its own.  Readings more than ``ahead`` minutes after the time wait; those
+    reading there or up to ``ahead`` minutes later); over more than ``ahead`` minutes it takes two stations at least, more
+    than go on as before, and readings of ``steady`` minutes, or where one station alone speaks, ``alone`` minutes of its own.  Readings more than ``ahead`` minutes after the time wait; those
     older than the window before it come too late and don't count.
     """
 
-    def __init__(self, spark: SparkSession, stations: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, window: int = 150, warmup: int = 90, recheck: tuple[int, ...] = (15, 30), classify: Callable[[DataFrame, DataFrame], DataFrame] | None = None, catch_up: int = 5, ahead: int = 10, alone: int = 30, span: int = 1440, compact: int = 50):
+    def __init__(self, spark: SparkSession, stations: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, window: int = 150, warmup: int = 90, recheck: tuple[int, ...] = (15, 30), classify: Callable[[DataFrame, DataFrame], DataFrame] | None = None, catch_up: int = 5, ahead: int = 10, alone: int = 30, steady: int = 3, span: int = 1440, compact: int = 50):
         self.spark, self.stations, self.score, self.folder = spark, stations.select(F.col("station").cast("string").alias("station")), score, folder.rstrip("/")
-        self.window, self.warmup, self.recheck, self.classify, self.catch_up, self.ahead, self.alone, self.span, self.compact = window, warmup, recheck, classify, catch_up, ahead, alone, span, compact
+        self.window, self.warmup, self.recheck, self.classify, self.catch_up, self.ahead, self.alone, self.steady, self.span, self.compact = window, warmup, recheck, classify, catch_up, ahead, alone, steady, span, compact
 
     def _table(self, name: str, batch: int, schema: str) -> DataFrame:
         """What batch ``batch`` wrote; empty before the first."""
@@ -71,7 +71,7 @@ class Monitor:
         if before is not None:
             seen, near = seen.where(F.col("minute") > before), F.col("minute") <= before + self.ahead
         seen = seen.withColumn("near", near)
-        voices = seen.agg(F.count_distinct("station").alias("all"), F.count_distinct(F.when(F.col("near"), F.col("station"))).alias("near"), F.count_distinct("minute").alias("minutes")).first()
+        voices = seen.agg(F.count_distinct("station").alias("all"), F.count_distinct(F.when(F.col("near"), F.col("station"))).alias("near"), F.count_distinct("minute").alias("minutes"), F.count_distinct(F.when(~F.col("near"), F.col("minute"))).alias("far")).first()
         if not voices["all"]:
             return before
         lone = voices["all"] == 1
@@ -83,7 +83,9 @@ class Monitor:
         if lone:
             far = max(1, min(self.alone, voices["minutes"]) // 2) if before is None else self.alone
         else:
-            far = max(2, quarter(voices["all"]))
+            far = max(2, quarter(voices["all"]), voices["near"] + 1)  # who goes on as before outvotes as many that leap
+        if before is not None and voices["far"] < self.steady:
+            far = 1 << 30
         enough = F.lit(far) if before is None else F.when(F.col("at") <= before + self.ahead, 1 if lone else max(1, quarter(voices["near"]))).otherwise(far)
         found = held.where((F.col("real") == 1) & (F.col("n") >= enough)).agg(F.max("at").alias("m")).first().m
         return before if found is None else found if before is None else max(before, found)
