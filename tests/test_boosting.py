@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from stationqc.operators import boosting
+from stationqc.operators import boosting, models
 
 NAMES = ["a", "b", "c"]
 
@@ -72,3 +72,14 @@ def test_it_stops_when_held_rows_gain_no_more_and_takes_odd_tables(spark):
     assert boosting.fit(df.limit(0), NAMES).trees == []
     same = boosting.fit(df.where("label = 1"), NAMES, rounds=3)
     assert (same.raw(same.codes(x)) > 10).all()
+
+
+def test_the_autoencoder_stops_when_held_rows_gain_no_more_and_keeps_its_best():
+    x = np.random.default_rng(4).normal(size=(600, 6))
+    x[:, 3:] = x[:, :3] * 2
+    short = models.Autoencoder(epochs=5, patience=6).fit(x)
+    assert len(short.losses) == 5
+    long = models.Autoencoder(epochs=80, patience=1).fit(x, rate=0.05)
+    assert len(long.losses) < 80 and long.losses[-1] > min(long.losses) * (1 - 1e-4)
+    held = np.clip(x, -10, 10)[np.random.default_rng(0).permutation(len(x))][:60]
+    assert abs(((long._forward(held)[-1] - held) ** 2).mean() - min(long.losses)) < 1e-9
