@@ -359,15 +359,21 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
     rng = random.Random(9)
     good = [" ".join(rng.choice(["the", "cat", "sat", "on", "mat", "and", "dog", "ran", "far", "away", "home", "tree"]) + rng.choice(["", "s", "ed"]) for _ in range(120)) for _ in range(30)]
-    texts = [*good, *good[:5], "short", None, "12 34", "word " * 80]
+    near = [t + " and so on" for t in good[:6]] + ["again " + t for t in good[4:8]]  # four of five-word shingles are shared, and more
+    half = [" ".join(good[k].split()[:60] + good[k + 1].split()[60:]) for k in range(10, 14)]
+    texts = [*good, *good[:5], *near, *half, "short", None, "12 34", "word " * 80]
     docs(spark, texts).selectExpr("*", "coalesce(length(text), 0) AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    fps, keep = [], []
-    for i, t in enumerate(good):
-        f = plain_fingerprint(t)
-        if all(bin(f ^ x).count("1") > 2 for x in fps):
-            keep.append(i)
-        fps.append(f)
+    body = [*good, *good[:5], *near, *half]
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in body)]
+    first = list(range(len(body)))  # the smallest document that links of 0.8 or more lead to
+    for _ in body:
+        for i, a in enumerate(shingles):
+            for j, b in enumerate(shingles[:i]):
+                if len(a & b) >= 0.8 * len(a | b):
+                    first[i] = first[j] = min(first[i], first[j])
+    keep = [i for i, f in enumerate(first) if i == f]
+    assert len(keep) == len(good) + len(half)
     from sentencepiece import SentencePieceProcessor
 
     P = pytest.importorskip("public_tokenizers")
@@ -375,6 +381,6 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in rows:
         for d, a, b in zip(r.doc_ids, r.offsets, [*r.offsets[1:], r.n_tokens]):
             got[d] = r.ids[a:b]
-    assert got == {i: sp.encode(good[i], add_eos=True) for i in keep}
+    assert got == {i: sp.encode(body[i], add_eos=True) for i in keep}
 
 
