@@ -154,8 +154,8 @@ c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) ||
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(c.chars + coalesce(again.chars, 0) AS BIGINT) AS formatted_chars FROM c LEFT JOIN again USING (conv_id)""",
     "op12_top_search": r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, c -> floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+WITH v AS (SELECT vec_id, [floor(256 * CAST(c AS DOUBLE)) for c in embedding] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5""",
     "op13_collocations": r"""
