@@ -14,7 +14,7 @@ from ..streaming.edge import edge_qc
 from . import incident_sql as inc
 from .layers import Layers
 from .oracle import build, each, r6, runs
-from .queries import EXTREMES, KEY, VECTOR_SQL, of, pick, query
+from .queries import EXTREMES, KEY, SQL, VECTOR_SQL, of, pick, query
 
 # ------------------------------------------------------------------ sources and sinks
 
@@ -205,6 +205,7 @@ query("u4_false_alarms", lambda x: evaluate.false_alarms(_truth(x), _alerts(x)).
 query("j13_events_hit", lambda x: evaluate.events_hit(_events(x), _alerts(x)).select("city", "start", "end"), _EVAL + f', {_EVENTS} SELECT city, start, stop AS "end" FROM wxe WHERE start >= 300 AND EXISTS (SELECT 1 FROM al WHERE al.city = wxe.city AND al.onset < wxe.stop AND al.a_end > wxe.start)')
 query("a15_recall_by_type", lambda x: pick(evaluate.recall_by_type(_truth(x), _alerts(x)), "type n", "recall"), _EVAL + " SELECT t.type, count(*) AS n, round(avg(CASE WHEN m.truth IS NULL THEN 0.0 ELSE 1.0 END) + 1.3e-8, 6) + 0.0 AS recall FROM truth t LEFT JOIN mt m ON m.truth = t.truth GROUP BY t.type")
 query("a15_confusion", lambda x: evaluate.confusion(_truth(x), _alerts(x)), _EVAL + " SELECT type || '->' || found AS pair, count(*) AS n FROM mt WHERE type <> found GROUP BY 1")
+query("s7_write_report", lambda x: tables.write_report(pick(evaluate.recall_by_type(_truth(x), _alerts(x)), "type n", "recall"), scratch_path(x.spark, "report")), SQL["a15_recall_by_type"])
 _A14 = "recall precision f1 false_per_station_day kept_rate median_latency p90_latency cause_right"
 query(
     "a14_detection_metrics", lambda x: pick(evaluate.detection_metrics(_truth(x), _alerts(x), _events(x), x.stations, 4.0), "injected detected alerts false_alarms events flagged", _A14),
