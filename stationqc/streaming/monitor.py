@@ -86,9 +86,15 @@ class Monitor:
             far = max(2, quarter(voices["all"]), voices["near"] + 1)  # who goes on as before outvotes as many that leap
         if before is not None and voices["far"] < self.steady:
             far = 1 << 30
-        enough = F.lit(far) if before is None else F.when(F.col("at") <= before + self.ahead, 1 if lone else max(1, quarter(voices["near"]))).otherwise(far)
-        found = held.where((F.col("real") == 1) & (F.col("n") >= enough)).agg(F.max("at").alias("m")).first().m
-        return before if found is None else found if before is None else max(before, found)
+        real = held.where("real = 1")
+        leap = real.where(F.col("n") >= far).agg(F.max("at").alias("m")).first().m
+        if before is None:
+            return leap
+        # going on as before: from minute to minute, no two of them more than ``ahead`` apart
+        order = Window.orderBy("at")
+        steps = real.where(F.col("n") >= (1 if lone else max(1, quarter(voices["near"])))).withColumn("gap", F.col("at") - F.lag("at", 1, before).over(order))
+        went = steps.withColumn("broken", F.sum((F.col("gap") > self.ahead).cast("int")).over(order)).where("broken = 0").agg(F.max("at").alias("m")).first().m
+        return max(m for m in (before, leap, went) if m is not None)
 
     def _spans(self, state: DataFrame, begin: int, now: int) -> list[tuple[int, int]]:
         """The passes over ``begin`` to ``now`` that have readings in reach; nothing is said of times when all were silent."""
