@@ -55,22 +55,29 @@ class Page:
     tokens: list[list[str]] = field(default_factory=lambda: [[]])
     marks: list[bool] = field(default_factory=lambda: [False])
     runs: list[tuple[int, str, int]] = field(default_factory=list)  # node, text, characters in links
+    places: list[tuple[int, bool, bool]] = field(default_factory=list)  # of each run: its block, white space before and after
 
 
 def parse(source: str) -> Page:
     page, stack = Page(), [0]
     names, open_ = ["html"], Counter(["html"])
     text: list[str] = []
-    linked, link_chars, at = False, 0, 0
+    linked, link_chars, at, block = False, 0, 0, 0
 
-    def flush() -> None:
-        nonlocal link_chars
+    def flush(ends: bool = True) -> None:
+        """Ends the run; and the block, unless an element that stands in a line of text begins or ends here."""
+        nonlocal link_chars, block
         if text:
-            joined = " ".join("".join(text).split())
+            raw = "".join(text)
+            joined = " ".join(raw.split())
             if joined:
                 page.runs.append((stack[-1], joined, link_chars))
+                page.places.append((block, raw[0].isspace(), raw[-1].isspace()))
+            elif page.places:  # white space alone parts its neighbours
+                page.places[-1] = (*page.places[-1][:2], True)
             text.clear()
             link_chars = 0
+        block += ends
 
     def close(upto: int) -> None:
         open_.subtract(names[upto:])
@@ -105,8 +112,9 @@ def parse(source: str) -> Page:
                     linked = False
                 continue
             if name != "html" and open_[name]:
-                flush()
-                close(last(name))
+                begins = last(name)
+                flush(not INLINE.issuperset(names[begins:]))
+                close(begins)
                 linked = linked and name != "a"
             elif name not in INLINE:
                 flush()
@@ -127,7 +135,7 @@ def parse(source: str) -> Page:
         if name in INLINE and AGAINST.isdisjoint(tokens):
             linked = linked or name == "a"
             continue
-        flush()
+        flush(name not in INLINE)
         linked = False
         if name in ("html", "body") and (name == "html" or open_["body"]):
             continue
@@ -280,8 +288,25 @@ def decode(parents: list[int], scores) -> list[bool]:
     return kept
 
 
+def blocks(page: Page, kept: list[bool]) -> list[str]:
+    """Texts of the kept blocks in page order; a block is what is kept of its runs, so dropping an element in a line leaves the line whole."""
+    out, last, apart = [], -1, True
+    for (node, text, _), (block, before, after) in zip(page.runs, page.places):
+        if block != last:
+            apart = True
+        if not kept[node]:
+            apart = True
+        elif block == last and out:
+            out[-1].append(" " + text if apart or before else text)
+            apart = after
+        else:
+            out.append([text])
+            last, apart = block, after
+    return ["".join(pieces) for pieces in out]
+
+
 def main_text(page: Page, kept: list[bool]) -> str:
-    return "\n\n".join(text for node, text, _ in page.runs if kept[node])
+    return "\n\n".join(blocks(page, kept))
 
 
 def labels(page: Page, semantic: bool) -> np.ndarray:
@@ -368,7 +393,8 @@ def extract(pages: DataFrame, trees: Trees, id_col: str = "page_id", url_col: st
                 scores = np.split(shared.value.score(np.concatenate([features(p) for p in some])), np.cumsum([len(p.tags) for p in some])[:-1])
                 for page, s in zip(some, scores):
                     kept = decode(page.parents, s)
-                    out.append((main_text(page, kept), sum(kept[node] for node, _, _ in page.runs), len(page.tags)))
+                    texts = blocks(page, kept)
+                    out.append(("\n\n".join(texts), len(texts), len(page.tags)))
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))]], names=["page_id", "url", "text", "n_blocks", "n_nodes"])
 

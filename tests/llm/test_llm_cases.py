@@ -120,6 +120,24 @@ def test_html_on_pages_labelled_by_hand():
     assert hit / found >= 0.9 and hit / want >= 0.9, (hit, found, want)
 
 
+def test_html_elements_in_a_line():
+    """An advert's class on an inline element sets it apart for the trees, but doesn't tear the paragraph."""
+
+    def texts(source, dropped=()):
+        page = html_extract.parse(source)
+        return html_extract.blocks(page, [not set(t) & set(dropped) for t in page.tokens])
+
+    assert texts("<p>Hello <a class='related'>world</a> again</p><p>b") == ["Hello world again", "b"]
+    assert texts("<p>Hello <a class='related'>world</a>, again</p>") == ["Hello world, again"]
+    assert texts("<p>a<span class='share-text'>b</span>c<b class=ad> d</b> e") == ["abc d e"]
+    assert texts("<p>Hello <a class='related'>world</a> again</p>", {"related"}) == ["Hello again"]
+    assert texts("<p><a class='related'>world</a> again</p>", {"related"}) == ["again"]
+    assert texts("<p>a <span class=ad>b</span></p><p>c", {"ad"}) == ["a", "c"]
+    assert texts("<p>a <span class=ad>b<div>c</div>d</span> e</p>") == ["a b", "c", "d e"]
+    assert texts("<div>a<span class=ad>b<div>c</span>d</div>") == ["ab", "c", "d"]
+    assert texts("<div><a class=nav>x</a>\n<a class=nav>y</a></div>") == ["x y"]
+
+
 def test_html_odd_markup():
     runs = lambda s: [t for _, t, _ in html_extract.parse(s).runs]
     assert runs('<article><script src="a.js" />var x=1;</script><p>a</p><style media=x/>p{}</style></article>') == ["a"]
