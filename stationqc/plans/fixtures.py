@@ -27,6 +27,10 @@ stations AS (SELECT station, city, CAST(CASE WHEN station = 59 THEN 95.0 ELSE 72
   CAST(CASE WHEN station = 59 THEN 34.0 ELSE 12.0 + 3.0 * floor(city / 3) + 0.11 * ((station * 3) % 7) END AS DOUBLE) AS lat, CAST(10.0 + 40.0 * city AS DOUBLE) AS elev FROM s0)"""
 
 
+#: The panel without its faults, as a history to learn from and to put labelled faults into.
+CLEAN = PANEL[: PANEL.index("panel AS")] + "clean AS (SELECT station, city, minute, wx, round(CAST(t0 AS DOUBLE), 4) AS T_raw, round(CAST(p0 AS DOUBLE), 4) AS P_raw, round(CAST(h0 AS DOUBLE), 4) AS RH_raw FROM w)"
+
+
 def _sql(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return spark.sql(f"WITH {text.replace('FROM lineitem', 'FROM {lineitem}')} SELECT * FROM {name}", lineitem=lines)
@@ -39,3 +43,15 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, STATIONS, "stations")
+
+
+def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`panel`, without faults and labels."""
+    return _sql(spark, sf_dir, CLEAN, "clean")
+
+
+def highland(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Another network, of the same lines dealt out by part: colder, of thinner air and damper.  Its clean panel and its stations."""
+    by_part = lambda text: text.replace("l_suppkey % 60", "l_partkey % 60")
+    rows = _sql(spark, sf_dir, by_part(CLEAN), "clean")
+    return rows.withColumns({"T_raw": rows.T_raw - 9.0, "P_raw": rows.P_raw - 140.0, "RH_raw": rows.RH_raw + 6.0}), _sql(spark, sf_dir, by_part(STATIONS), "stations")

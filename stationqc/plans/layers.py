@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, incidents, neighbours, profile, qc
+from ..operators import features, fusion, incidents, inject, neighbours, profile, qc
 from ..sources.scratch import delete, scratch_path
 from . import fixtures
 
 
 #: Layers that later ones or several queries read: written once, as Parquet in the scratch folder, and read back, so that
 #: plans stay short, readers take the columns they need, and a lost executor costs no layer.
-STORED = {"panel", "stations", "climate", "features", "edges", "residuals", "spatial", "scored", "marked", "expected", "alerts", "masked", "weather", "incidents"}
+STORED = {"panel", "stations", "climate", "features", "edges", "residuals", "spatial", "scored", "marked", "expected", "alerts", "masked", "weather", "incidents", "clean", "lesson", "trial", "judged"}
 
 
 class Layers:
@@ -100,6 +100,23 @@ class Layers:
     def make_incidents(self):
         return incidents.incidents(self.expected, self.edges, self.alerts)
 
+    def make_clean(self):
+        return fixtures.clean(self.spark, self.sf)
+
+    def make_lesson(self):
+        return inject.inject(self.clean, inject.random_plan(self.clean, seed=1), seed=100)
+
+    def make_judge(self):
+        """All that is learned: from the clean panel, and from one draw of labelled faults."""
+        return fusion.QualityModel.fit(self.clean, self.stations).calibrate(self.lesson)
+
+    def make_trial(self):
+        """Another draw of faults, which the judge has not seen."""
+        return inject.inject(self.clean, inject.random_plan(self.clean, seed=2), seed=200)
+
+    def make_judged(self):
+        return self.judge.score(self.trial)
+
 
 _last: dict[tuple[str, str], Layers] = {}
 

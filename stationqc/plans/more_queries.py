@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import EVENT_TEXT, NOTES, SENSORS, TOLERANCE, UNITS, VARS
+from ..constants import EVENT_TEXT, NOTES, SENSORS, TOLERANCE, UNITS, VARS, WARMUP
 from ..operators import board, evaluate, events, features, fusion, health, incidents, inject, models, qc
 from ..operators.neighbours import neighbour_support, residuals, spatial_z
 from ..sources import packets, tables
 from ..sources.scratch import scratch_path
 from ..streaming.edge import edge_qc
+from . import fixtures
 from . import incident_sql as inc
+from .fixtures import CLEAN
 from .layers import Layers
 from .oracle import build, each, r6, runs
 from .queries import EXTREMES, KEY, SQL, VECTOR_SQL, of, pick, query
@@ -191,9 +193,13 @@ def _truth(x: Layers) -> DataFrame:
     return evaluate.truth_faults(x.panel.select("station", "minute", "anom"))
 
 
-def _events(x: Layers) -> DataFrame:
+def _truth_of(labels: DataFrame) -> DataFrame:
+    return evaluate.truth_faults(labels).where(F.col("start") >= WARMUP)
+
+
+def _events(panel: DataFrame) -> DataFrame:
     """Genuine weather: runs of wx by city."""
-    rows = x.panel.where("wx = 1").select("city", "minute").distinct()
+    rows = panel.where("wx = 1").select("city", "minute").distinct()
     return incidents.group_runs(rows.withColumnRenamed("city", "station"), F.lit(True), 10).select(F.col("station").alias("city"), "start", (F.col("last") + 1).alias("end"))
 
 
@@ -202,13 +208,13 @@ _EVAL = build("limits", "").rstrip() + ", " + _TRUTH
 query("g9_truth_faults", _truth, _EVAL + ' SELECT truth, station, type, start, stop AS "end" FROM truth')
 query("j12_match_truth", lambda x: evaluate.match_truth(_truth(x), _alerts(x)).select("truth", "alert", "type", "found", "over"), _EVAL + " SELECT truth, alert, type, found, over FROM mt")
 query("u4_false_alarms", lambda x: evaluate.false_alarms(_truth(x), _alerts(x)).select("alert", "station", "onset"), _EVAL + " SELECT alert, station, onset FROM al WHERE alert NOT IN (SELECT alert FROM ov)")
-query("j13_events_hit", lambda x: evaluate.events_hit(_events(x), _alerts(x)).select("city", "start", "end"), _EVAL + f', {_EVENTS} SELECT city, start, stop AS "end" FROM wxe WHERE start >= 300 AND EXISTS (SELECT 1 FROM al WHERE al.city = wxe.city AND al.onset < wxe.stop AND al.a_end > wxe.start)')
+query("j13_events_hit", lambda x: evaluate.events_hit(_events(x.panel), _alerts(x)).select("city", "start", "end"), _EVAL + f', {_EVENTS} SELECT city, start, stop AS "end" FROM wxe WHERE start >= 300 AND EXISTS (SELECT 1 FROM al WHERE al.city = wxe.city AND al.onset < wxe.stop AND al.a_end > wxe.start)')
 query("a15_recall_by_type", lambda x: pick(evaluate.recall_by_type(_truth(x), _alerts(x)), "type n", "recall"), _EVAL + " SELECT t.type, count(*) AS n, round(avg(CASE WHEN m.truth IS NULL THEN 0.0 ELSE 1.0 END) + 1.3e-8, 6) + 0.0 AS recall FROM truth t LEFT JOIN mt m ON m.truth = t.truth GROUP BY t.type")
 query("a15_confusion", lambda x: evaluate.confusion(_truth(x), _alerts(x)), _EVAL + " SELECT type || '->' || found AS pair, count(*) AS n FROM mt WHERE type <> found GROUP BY 1")
 query("s7_write_report", lambda x: tables.write_report(pick(evaluate.recall_by_type(_truth(x), _alerts(x)), "type n", "recall"), scratch_path(x.spark, "report")), SQL["a15_recall_by_type"])
 _A14 = "recall precision f1 false_per_station_day kept_rate median_latency p90_latency cause_right"
 query(
-    "a14_detection_metrics", lambda x: pick(evaluate.detection_metrics(_truth(x), _alerts(x), _events(x), x.stations, 4.0), "injected detected alerts false_alarms events flagged", _A14),
+    "a14_detection_metrics", lambda x: pick(evaluate.detection_metrics(_truth(x), _alerts(x), _events(x.panel), x.stations, 4.0), "injected detected alerts false_alarms events flagged", _A14),
     _EVAL.replace("FROM plainruns)", "FROM plainruns WHERE detect >= 300)").replace("WHERE anom <> '' GROUP BY station, g)", "WHERE anom <> '' GROUP BY station, g HAVING min(minute) >= 300)")
     + f""", {_EVENTS}, fa AS (SELECT * FROM al WHERE alert NOT IN (SELECT alert FROM ov)), n AS (SELECT (SELECT count(*) FROM truth) AS injected, (SELECT count(*) FROM mt) AS detected, (SELECT count(*) FROM al) AS alerts, (SELECT count(*) FROM fa) AS false_alarms, (SELECT count(*) FROM wxe WHERE start >= 300) AS events,
   (SELECT count(*) FROM wxe WHERE start >= 300 AND EXISTS (SELECT 1 FROM fa WHERE fa.city = wxe.city AND fa.onset < wxe.stop AND fa.a_end > wxe.start)) AS flagged, (SELECT count(DISTINCT station) FROM panel) AS stations, (SELECT quantile_cont(greatest(0, detect - start), 0.5) FROM mt) AS median_latency, (SELECT quantile_cont(greatest(0, detect - start), 0.9) FROM mt) AS p90_latency, (SELECT avg(CASE WHEN type = found THEN 1.0 ELSE 0.0 END) FROM mt) AS cause_right),
@@ -294,6 +300,32 @@ query(
     build("panel", "SELECT station, minute, round(CASE WHEN station % 2 = 0 THEN T_raw + 0.4 * (minute / 1440.0) ELSE T_raw END + 1.3e-8, 6) + 0.0 AS T_raw, round(P_raw + 1.3e-8, 6) + 0.0 AS P_raw, round(CASE WHEN station % 2 = 1 AND RH_raw IS NOT NULL THEN least(100.0, greatest(1.0, RH_raw * (1 + 0.4 / 100.0 * (minute / 1440.0)))) ELSE RH_raw END + 1.3e-8, 6) + 0.0 AS RH_raw FROM panel"),
 )
 
+
+
+def _share(draw: str, shares: dict[str, float]) -> str:
+    upto, text = 0.0, ""
+    for name in list(shares)[:-1]:
+        upto = round(upto + shares[name], 6)
+        text += f" WHEN {draw} < {upto} THEN '{name}'"
+    return f"CASE{text} ELSE '{list(shares)[-1]}' END"
+
+
+_U = lambda k: _DRAW(2000 + k).replace("p.minute", "p.slot")
+_SIZES = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, '{v}' AS var, {subtle} AS subtle, CAST({sizes[inject.SIZED[kind]][v][0]} AS DOUBLE) AS low, CAST({sizes[inject.SIZED[kind]][v][1]} AS DOUBLE) AS high"
+    for kind in inject.SIZED for v in VARS for subtle, sizes in (("false", inject.GROSS), ("true", inject.SUBTLE))
+)
+_LENGTHS = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {a} AS least, {b} AS most" for kind, (a, b) in inject.LENGTHS.items())
+query(
+    "g10_random_plan", lambda x: pick(inject.random_plan(x.clean, seed=2), "station kind var start end sign form", "mag"),
+    f"""WITH {CLEAN}, sizes AS ({_SIZES}), lens AS ({_LENGTHS}), spans AS (SELECT station, max(minute) + 1 - 20 AS last FROM clean GROUP BY station), slots AS (SELECT station, last, unnest(range(CAST(floor((last - 1 - 300) / 690) AS BIGINT) + 1)) AS slot FROM spans WHERE last > 300),
+rooms AS (SELECT *, 300 + slot * 690 AS first, least(690, last - (300 + slot * 690)) - 90 AS room FROM slots), kinds AS (SELECT p.*, {_share(_U(1), inject.SHARES)} AS kind, {_share(_U(2), inject.VAR_SHARES)} AS var, {_U(3)} < 0.5 AS subtle FROM rooms p WHERE room >= 30),
+sized AS (SELECT p.*, z.low, z.high, CAST(least(room, least + floor({_U(4)} * (most - least))) AS BIGINT) AS length FROM kinds p JOIN lens USING (kind) LEFT JOIN sizes z ON z.kind = p.kind AND z.var = p.var AND z.subtle = p.subtle),
+begun AS (SELECT p.*, CAST(first + floor({_U(5)} * (room - length + 1)) AS BIGINT) AS start FROM sized p)
+SELECT station, kind, CASE WHEN kind IN ('comm_error', 'power_glitch') OR kind = 'stuck' AND subtle THEN 'all' ELSE var END AS var, start, start + length AS "end", CASE WHEN {_U(6)} < 0.5 THEN -1 ELSE 1 END AS sign,
+  CASE WHEN {_U(8)} < 0.5 THEN 'dropout' ELSE 'sentinel' END AS form, round(low + {_U(7)} * (high - low) + 1.3e-8, 6) + 0.0 AS mag FROM begun p""",
+)
+
 # ------------------------------------------------------------------ learned models
 _W14 = """i1 AS (SELECT station, minute, anom, row_number() OVER w - 1 AS rn, lag(anom) OVER w AS before, CASE WHEN coalesce(anom <> lag(anom) OVER w, true) THEN 1 ELSE 0 END AS fresh FROM panel WINDOW w AS (PARTITION BY station ORDER BY minute)),
 i2 AS (SELECT *, sum(fresh) OVER (PARTITION BY station ORDER BY minute) AS g, max(CASE WHEN fresh = 1 AND before <> '' THEN rn END) OVER (PARTITION BY station ORDER BY minute ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS ended FROM i1),
@@ -330,4 +362,38 @@ def _model(x: Layers) -> fusion.QualityModel:
 
 query("m5_m6_score", lambda x: _model(x).score(x.panel).select("station", "minute", "p_model", "hard", "instant", "prob"))
 query("m8_without_neighbours", lambda x: pick(spatial_z(residuals(neighbour_support(x.anomalies, x.edges.where("false"))), x.spatial), KEY + "nn has_nb", "nb_ts zL_T"), build("feat", "SELECT station, minute, CAST(0 AS BIGINT) AS nn, false AS has_nb, round(0.0 + 1.3e-8, 6) + 0.0 AS nb_ts, CAST(NULL AS DOUBLE) AS zL_T FROM feat"))
+
+def _all_methods(x: Layers, scored: DataFrame, edges: DataFrame, cities: DataFrame) -> dict[str, DataFrame]:
+    """Alerts by method; stored, since every measure reads them again."""
+    full = evaluate.named_alerts(incidents.incidents(scored, edges), cities, F.col("type"))
+    found = {k: evaluate.named_alerts(r, cities, F.lit("?")) for k, r in evaluate.baseline_runs(scored).items()} | {"full": full}
+    return {k: x._stored("found", r) for k, r in found.items()}
+
+
+def _end_to_end(x: Layers) -> DataFrame:
+    """Fit, inject, score and match: what each method finds of faults that the model has not seen."""
+    return evaluate.end_to_end(x.judged, x.trial, x._stored("wx", _events(x.clean)), x.stations, _all_methods(x, x.judged, x.judge.edges, x.stations))
+
+
+def _no_neighbours(x: Layers) -> DataFrame:
+    """The same faults, scored as if no station had a neighbour."""
+    none = x.judge.edges.where("false")
+    scored = x._stored("alone", x.judge.score(x.trial, none))
+    return evaluate.end_to_end(scored, x.trial, x._stored("wx", _events(x.clean)), x.stations, {"full": _all_methods(x, scored, none, x.stations)["full"]})
+
+
+def _other_network(x: Layers) -> DataFrame:
+    """The fusion of one network on another, of which only a clean history is known."""
+    clean, places = fixtures.highland(x.spark, x.sf)
+    clean, places = x._stored("highland", clean), x._stored("places", places)
+    other = fusion.QualityModel.fit(clean, places).reuse_fusion(x.judge)
+    trial = x._stored("trial", inject.inject(clean, inject.random_plan(clean, seed=3), seed=300))
+    scored = x._stored("judged", other.score(trial))
+    return evaluate.end_to_end(scored, trial, x._stored("wx", _events(clean)), places, _all_methods(x, scored, other.edges, places))
+
+
+query("a14_end_to_end", _end_to_end)
+query("a15_end_to_end_by_type", lambda x: evaluate.recall_by_type(_truth_of(x.trial), _all_methods(x, x.judged, x.judge.edges, x.stations)["full"]))
+query("m7_other_network", _other_network)
+query("m8_score_without_neighbours", _no_neighbours)
 query("r6_edge_qc", lambda x: edge_qc(x.panel))

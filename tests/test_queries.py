@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-PICK = ["p1_flag_missing", "w3_innov", "w5_run", "w16_cut_history", "j1_build_neighbours", "j7_exclude_flagged", "s7_write_report", "w10_threshold_runs", "w11_group_runs", "s4_densify", "j12_match_truth", "g3_drift", "f7_signed_text"]
+PICK = ["p1_flag_missing", "w3_innov", "w5_run", "w16_cut_history", "j1_build_neighbours", "j7_exclude_flagged", "s7_write_report", "w10_threshold_runs", "w11_group_runs", "s4_densify", "j12_match_truth", "g3_drift", "g10_random_plan", "f7_signed_text"]
 
 
 def rows(found):
