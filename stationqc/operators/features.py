@@ -27,12 +27,14 @@ def by_part() -> WindowSpec:
     return Window.partitionBy("station", "part").orderBy("minute")
 
 
-def cut_history(rows: DataFrame, length: int) -> DataFrame:
-    """``rows`` plus part (minute by ``length``) and lead: a part's last rows come again, with lead, before the next part.
+def cut_history(rows: DataFrame, length: int, back: int = BACK) -> DataFrame:
+    """``rows`` plus part (minute by ``length``) and lead: a part's last ``back`` rows come again, with lead, before the next part.
 
-    ``BACK / length`` more rows, for as many tasks a station as it has parts.
+    ``back / length`` more rows, for as many tasks a station as it has parts.
     """
-    part, lead = F.floor(F.col("minute") / length), F.pmod("minute", F.lit(length)) >= length - BACK
+    if length <= back:
+        raise ValueError(f"a part needs more than {back} minutes")
+    part, lead = F.floor(F.col("minute") / length), F.pmod("minute", F.lit(length)) >= length - back
     own, again = F.struct(part.alias("part"), F.lit(False).alias("lead")), F.struct((part + 1).alias("part"), F.lit(True).alias("lead"))
     return rows.select("*", F.inline(F.when(lead, F.array(own, again)).otherwise(F.array(own))))
 
@@ -115,8 +117,6 @@ def features(checked: DataFrame, profile: DataFrame, part: int | None = None) ->
     climate = with_climate(checked, profile)
     if part is None:
         return flags(spreads_and_runs(changes(climate)))
-    if part <= BACK:
-        raise ValueError(f"a part needs more than {BACK} minutes")
     return flags(spreads_and_runs(changes(cut_history(climate, part), by_part()), by_part()))
 
 
@@ -132,9 +132,9 @@ def feature_vector(featured: DataFrame) -> DataFrame:
     return out.select("station", "minute", *VECTOR, full.alias("complete"))
 
 
-def recently(flag: Column, rows: int = 30) -> Column:
-    """True if ``flag`` was in the last ``rows`` rows, this one included."""
-    return F.max(flag.cast("int")).over(by_minute().rowsBetween(1 - rows, 0)) > 0
+def recently(flag: Column, rows: int = 30, over: WindowSpec | None = None) -> Column:
+    """True if ``flag`` was in the last ``rows`` rows, this one included.  ``over``: see ``by_part``; parts need ``rows - 1`` rows of lead."""
+    return F.max(flag.cast("int")).over((over or by_minute()).rowsBetween(1 - rows, 0)) > 0
 
 
 FUSION = ["f_if", "f_ae", "f_bad", "f_stuck", "f_step", "f_ph", "f_dsd"] + [f"f_{z}_{v}" for z in ("zl", "zi") for v in VARS] + ["f_has_nb", "f_nb_ts"]

@@ -2,18 +2,18 @@
 
 Sessions need no state machine: act rows are cut where the gap exceeds ``close``, and a session opens at its first row
 with ``need`` of ``win`` rows active.  That equals the minute-by-minute rule because a window never spans two sessions
-(``win <= close``).  Everything about an incident is then one interval join, equal on the station, and one grouping.
+(``win <= close``).  Histories may be cut into parts, whose sessions are joined at the cuts.  Everything about an incident is then one interval join, equal on the station, and one grouping.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..constants import ACTION, CAUSE, CHECK_TEXT, CHECKS, HARD_P, LABEL, LOGGER, NAMES, NOISE, PROBE, RANGE, SENSORS, SENTENCE, SEVERITIES, SEVERITY, SHARES, STEP, STUCK_TAIL, THRESHOLD, TOLERANCE, UNITS, VARS, WHO
 from ..functions.physics import array_median, median_of
 from ..functions.text import fill, fixed, plain, signed
-from .features import by_minute
+from .features import by_minute, by_part, cut_history
 from .qc import last_minute, no_false
 
 KEY = ["station", "run_onset"]
@@ -34,34 +34,69 @@ def meet(runs: DataFrame, rows: DataFrame, start: Column, stop: Column, run_key:
     return dealt.join(rows, on, how).drop("m_start", "m_stop", "m_day")
 
 
-def _sessions(acts: DataFrame, gap: int) -> DataFrame:
+def _sessions(acts: DataFrame, gap: int, over: WindowSpec | None = None) -> DataFrame:
     """Adds session: it grows where the distance from the act row before exceeds ``gap``."""
-    fresh = F.coalesce(F.col("minute") - F.lag("minute").over(by_minute()) > gap, F.lit(True)).cast("long")
-    return acts.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(by_minute().rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+    over = over or by_minute()
+    fresh = F.coalesce(F.col("minute") - F.lag("minute").over(over) > gap, F.lit(True)).cast("long")
+    return acts.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(over.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
 
 
-def group_runs(rows: DataFrame, mask: Column, gap: int) -> DataFrame:
-    """(station, start, last): true rows whose distance is at most ``gap`` merged."""
+def _joined_sessions(acts: DataFrame, gap: int, opened: Column | None = None) -> DataFrame:
+    """(station, first, last, opened) of sessions of act rows that have a part: found part by part, then joined across cuts.
+
+    ``opened`` is a column of the rows, of which a session keeps the least.  Only a part's first and last session can go on
+    in another part, so a station's scan sees two rows a part, however many rows and sessions there are.
+    """
+    opened = opened if opened is not None else F.lit(None).cast("long")
+    merged = [F.min("first").alias("first"), F.max("last").alias("last"), F.min("opened").alias("opened")]
+    local = _sessions(acts.select("station", "part", "minute", opened.alias("opened")), gap, by_part()).groupBy("station", "part", "session")
+    local = local.agg(F.min("minute").alias("first"), F.max("minute").alias("last"), F.min("opened").alias("opened"))
+    local = local.withColumn("edge", (F.col("session") == 1) | (F.col("session") == F.max("session").over(Window.partitionBy("station", "part"))))
+    ordered = Window.partitionBy("station").orderBy("first")
+    fresh = F.coalesce(F.col("first") - F.lag("last").over(ordered) > gap, F.lit(True)).cast("long")
+    edges = local.where("edge").withColumn("fresh", fresh).withColumn("whole", F.sum("fresh").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = local.where("NOT edge").select("station", "first", "last", "opened")
+    return inner.unionByName(edges.groupBy("station", "whole").agg(*merged).drop("whole"))
+
+
+def group_runs(rows: DataFrame, mask: Column, gap: int, part: int | None = None) -> DataFrame:
+    """(station, start, last): true rows whose distance is at most ``gap`` merged.  ``part`` as in :func:`detect_runs`."""
     acts = rows.select("station", "minute", no_false(mask).alias("m")).where("m")
+    if part is not None:
+        return _joined_sessions(acts.withColumn("part", F.floor(F.col("minute") / part)), gap).select("station", F.col("first").alias("start"), "last")
     return _sessions(acts, gap).groupBy("station", "session").agg(F.min("minute").alias("start"), F.max("minute").alias("last")).drop("session")
 
 
-def detect_runs(rows: DataFrame, act: Column, instant: Column | None = None, need: int = 4, win: int = 6, close: int = 10, panel: DataFrame | None = None) -> DataFrame:
+def detect_runs(
+    rows: DataFrame, act: Column, instant: Column | None = None, need: int = 4, win: int = 6, close: int = 10, panel: DataFrame | None = None, part: int | None = None
+) -> DataFrame:
     """(station, onset, detect, end, ongoing) of alerts: opened by ``need`` of ``win`` active rows, or one instant row; ended by ``close`` quiet ones.
 
     ``end`` is exclusive.  ``panel`` gives the newest minute (default: that of ``rows``), by which an alert is ongoing.
+    ``part`` cuts histories to so many minutes (``win`` at least), with the same result: a station is then as many tasks as it has parts.
     """
     if win > close:
         raise ValueError("win must not exceed close")
     one = no_false(act) if instant is None else no_false(act) | no_false(instant)
     base = rows.select("station", "minute", one.alias("act"), (no_false(instant) if instant is not None else F.lit(False)).alias("now"))
-    seen = F.sum(F.col("act").cast("int")).over(by_minute().rowsBetween(1 - win, 0))
+    over = by_minute()
+    if part is not None:
+        base, over = cut_history(base, part, win - 1), by_part()
+    window = over.rowsBetween(1 - win, 0)
+    seen = F.sum(F.col("act").cast("int")).over(window)
     base = base.withColumn("sm", F.when(F.col("now"), F.greatest(seen, F.lit(need))).otherwise(seen))
-    found = _sessions(base.where("act"), close)
-    found = found.withColumn("detect", F.min(F.when(F.col("sm") >= need, F.col("minute"))).over(Window.partitionBy("station", "session")))
-    runs = found.where("detect IS NOT NULL").groupBy("station", "session").agg(
-        F.min(F.when(F.col("minute") >= F.col("detect") - (win - 1), F.col("minute"))).alias("onset"), F.first("detect").alias("detect"), (F.max("minute") + 1).alias("end")
-    )
+    if part is None:
+        found = _sessions(base.where("act"), close)
+        found = found.withColumn("detect", F.min(F.when(F.col("sm") >= need, F.col("minute"))).over(Window.partitionBy("station", "session")))
+        runs = found.where("detect IS NOT NULL").groupBy("station", "session").agg(
+            F.min(F.when(F.col("minute") >= F.col("detect") - (win - 1), F.col("minute"))).alias("onset"), F.first("detect").alias("detect"), (F.max("minute") + 1).alias("end")
+        )
+    else:
+        # a window never spans two sessions, so the onset is the first active row of the window that opens
+        since = F.min(F.when(F.col("act"), F.col("minute"))).over(window)
+        acts = base.withColumn("since", since).where("act AND NOT lead")
+        whole = _joined_sessions(acts, close, F.when(F.col("sm") >= need, F.struct("minute", "since"))).where("opened IS NOT NULL")
+        runs = whole.select("station", F.col("opened.since").alias("onset"), F.col("opened.minute").alias("detect"), (F.col("last") + 1).alias("end"))
     last = last_minute(panel if panel is not None else rows)
     return runs.crossJoin(F.broadcast(last)).select("station", "onset", "detect", "end", (F.col("last") - F.col("end") + 1 < close).alias("ongoing"))
 
@@ -72,18 +107,18 @@ def fault_minutes(rows: DataFrame, runs: DataFrame, name: str = "in_fault") -> D
     return rows.join(minutes, ["station", "minute"], "left").withColumn(name, no_false(F.col(name)))
 
 
-def weather_runs(masked: DataFrame) -> DataFrame:
+def weather_runs(masked: DataFrame, part: int | None = None) -> DataFrame:
     """(station, start, end) of unusual minutes outside faults: 3 of 5, closed after 15, cut at the first fault.  Needs ts and in_fault."""
-    runs = detect_runs(masked, (F.col("ts") >= 1) & ~F.col("in_fault"), need=3, win=5, close=15).select("station", F.col("detect").alias("start"), "end")
+    runs = detect_runs(masked, (F.col("ts") >= 1) & ~F.col("in_fault"), need=3, win=5, close=15, part=part).select("station", F.col("detect").alias("start"), "end")
     faults = masked.where("in_fault").select(F.col("station").alias("s"), F.col("minute").alias("m"))
     cut = meet(runs, faults, F.col("start"), F.col("end"), how="left").groupBy("station", "start", "end").agg(F.min("m").alias("cut"))
     return cut.select("station", "start", F.coalesce("cut", "end").alias("end"))
 
 
-def extreme_runs(masked: DataFrame, edges: DataFrame) -> DataFrame:
+def extreme_runs(masked: DataFrame, edges: DataFrame, part: int | None = None) -> DataFrame:
     """(station, start, last, detect, kind, ongoing): over 30 minutes at 4 degrees or more from the own climate, outside faults.  Needs A_T and in_fault."""
     near = masked.join(edges.select("station").distinct(), "station", "left_semi")
-    runs = group_runs(near, (F.abs("A_T") >= 4) & ~F.col("in_fault"), 10).where("last - start >= 30")
+    runs = group_runs(near, (F.abs("A_T") >= 4) & ~F.col("in_fault"), 10, part).where("last - start >= 30")
     rows = near.select(F.col("station").alias("s"), F.col("minute").alias("m"), F.coalesce("A_T", F.lit(0.0)).alias("a"))
     mean = meet(runs, rows, F.col("start"), F.col("last") + 1).groupBy("station", "start", "last").agg(F.avg("a").alias("mean"))
     kind = F.when(F.col("mean") > 0, "Heatwave").otherwise("Cold spell")

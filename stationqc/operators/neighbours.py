@@ -9,11 +9,16 @@ from ..constants import MOST_NEIGHBOURS, RADIUS_KM, VARS
 from ..functions.physics import array_median, guarded, haversine_km, hour_interp, median_of, once
 
 
+#: Stations of a cell at most: a bit each in a long.
+CELL = 32
+
+
 def build_neighbours(stations: DataFrame, radius_km: float = RADIUS_KM, k: int = MOST_NEIGHBOURS) -> DataFrame:
-    """(station, nb, km, rank, listed): for each station the nearest ``k`` others within ``radius_km``; ties by name.
+    """(station, nb, km, rank, listed, cell, slot): for each station the nearest ``k`` others within ``radius_km``; ties by name.
 
     The distance join is an equi-join on cells: bands of latitude as high as the radius, cut along longitude so that a
-    cell is at least that wide anywhere in its band.  A station looks into nine cells; longitudes wrap.
+    cell is at least that wide anywhere in its band.  A station looks into nine cells; longitudes wrap.  ``cell`` and
+    ``slot`` say where rows of neighbours meet: tiles four radii wide, cut along bands into pieces of ``CELL`` stations.
     """
     high = radius_km / 110.0
     band = lambda lat: F.floor(lat / high)
@@ -27,7 +32,11 @@ def build_neighbours(stations: DataFrame, radius_km: float = RADIUS_KM, k: int =
     probe = probe.withColumn("c", F.explode(F.array_distinct(F.array(*[F.pmod(cell(F.col("lon"), n) + d, n) for d in (-1, 0, 1)]))))
     found = probe.join(own, ["b", "c"]).where("station <> nb").withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).where(F.col("km") <= radius_km)
     near = found.withColumn("rank", F.row_number().over(Window.partitionBy("station").orderBy("km", "nb"))).where(F.col("rank") <= k)
-    return near.select("station", "nb", "km", F.col("rank").cast("long").alias("rank"), F.count("*").over(Window.partitionBy("station")).alias("listed"))
+    near = near.select("station", "nb", "km", F.col("rank").cast("long").alias("rank"), F.count("*").over(Window.partitionBy("station")).alias("listed"))
+    tile = [F.floor(F.col("b") / 4), F.floor(F.pmod(F.col("lon2") + 180.0, F.lit(360.0)) / (4 * high))]
+    place = F.row_number().over(Window.partitionBy(*tile).orderBy("b", "c", "lat2", "nb")) - 1
+    homes = own.select(F.col("nb").alias("station"), F.concat_ws(":", *tile, F.floor(place / CELL)).alias("cell"), (place % CELL).alias("slot"))
+    return near.join(homes, "station")
 
 
 def anomalies(featured: DataFrame) -> DataFrame:
@@ -41,16 +50,27 @@ def anomalies(featured: DataFrame) -> DataFrame:
 SPATIAL = [f"A_{v}" for v in VARS] + [f"innov_{v}" for v in VARS]
 
 
+def _celled(edges: DataFrame) -> DataFrame:
+    """Edges without cells (see :func:`build_neighbours`) make each station a cell of its own."""
+    return edges if "cell" in edges.columns else edges.withColumns({"cell": F.col("station").cast("string"), "slot": F.lit(0)})
+
+
+def halo(edges: DataFrame) -> DataFrame:
+    """(station, cell, told): the cells where somebody listens to a station, and who does, a bit a slot.  Mostly one cell a station."""
+    return _celled(edges).groupBy(F.col("nb").alias("station"), "cell").agg(F.bit_or(F.expr("shiftleft(1L, slot)")).alias("told"))
+
+
 def neighbour_values(rows: DataFrame, edges: DataFrame, columns: list[str], hidden: Column | None = None) -> DataFrame:
     """Per station and minute the sorted values of its neighbours, one array a column; nulls and ``hidden`` rows left out.
 
-    One shuffle for all columns, of the few that are needed; an array holds as many values as a station has neighbours.
+    Rows go to cells, not to neighbours: once to each cell where somebody listens.  A cell's minute is one list of
+    ``CELL`` stations and those that border them, from which each of its stations picks its neighbours by their bits.
     """
-    shown = rows.select("station", "minute", *[(F.when(~hidden, F.col(c)) if hidden is not None else F.col(c)).alias(c) for c in columns])
-    met = shown.withColumnRenamed("station", "nb").join(edges.select("station", "nb", "listed"), "nb")
-    # one list of all columns costs a third of a list a column
-    found = met.groupBy("station", "minute").agg(F.first("listed").alias("listed"), F.collect_list(F.struct(*columns)).alias("said"))
-    return found.select("station", "minute", "listed", *[F.sort_array(F.array_compact(F.col(f"said.{c}"))).alias(c) for c in columns])
+    shown = rows.select("station", "minute", *columns, (F.lit(True) if hidden is None else ~hidden).alias("shown")).where("shown")
+    sent = shown.join(halo(edges), "station").groupBy("cell", "minute").agg(F.collect_list(F.struct("told", *columns)).alias("heard"))
+    homes = _celled(edges).select("cell", "station", "listed", F.expr("shiftleft(1L, slot)").alias("bit")).distinct()
+    said = sent.join(homes, "cell").select("station", "minute", "listed", F.filter("heard", lambda r: r.told.bitwiseAND(F.col("bit")) != 0).alias("said"))
+    return said.select("station", "minute", "listed", *[F.sort_array(F.array_compact(F.col(f"said.{c}"))).alias(c) for c in columns])
 
 
 def neighbour_median(values: Column, least: int = 2) -> Column:

@@ -122,9 +122,11 @@ query("p10_baseline_masks", lambda x: x.features.select("station", "minute", qc.
 # sessions
 RUN = "station onset detect end ongoing"
 table("w10_detect_runs", lambda x: x.alerts, RUN, "", "alerts", "alerts")
+table("w10_cut_detect_runs", lambda x: incidents.detect_runs(x.scored, F.col("prob") >= 0.7, F.col("instant"), part=1440), RUN, "", "alerts", "alerts")
 table("w10_threshold_runs", lambda x: incidents.detect_runs(x.features, qc.threshold_mask(), need=1, win=1), RUN, "", "limits", "plainruns")
 table("w11_group_runs", lambda x: incidents.group_runs(x.panel, F.col("anom") != "", 10), "station start last", "", "panel", "(SELECT station, min(minute) AS start, max(minute) AS last FROM (SELECT station, minute, sum(fresh) OVER (PARTITION BY station ORDER BY minute) AS g FROM (SELECT station, minute, CASE WHEN coalesce(minute - lag(minute) OVER (PARTITION BY station ORDER BY minute) > 10, true) THEN 1 ELSE 0 END AS fresh FROM panel WHERE anom <> '')) GROUP BY station, g)")
 table("w12_weather_runs", lambda x: x.weather, "station start end", "", "weather", "weather")
+table("w12_cut_weather_runs", lambda x: incidents.weather_runs(x.masked, 1440), "station start end", "", "weather", "weather")
 EXTREMES = """, ext_m AS (SELECT station, minute, coalesce(A_T, 0.0) AS a, lag(minute) OVER (PARTITION BY station ORDER BY minute) AS p FROM masked WHERE abs(A_T) >= 4 AND NOT in_fault AND station IN (SELECT station FROM edges)),
 ext_s AS (SELECT *, sum(CASE WHEN coalesce(minute - p > 10, true) THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY minute) AS g FROM ext_m),
 ext_r AS (SELECT station, min(minute) AS start, max(minute) AS last FROM ext_s GROUP BY station, g HAVING max(minute) - min(minute) >= 30),

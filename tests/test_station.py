@@ -102,6 +102,55 @@ def test_sessions_equal_the_literal_rule(spark):
         assert [tuple(r) for r in got] == flat
 
 
+def test_sessions_of_cut_histories_equal_the_literal_rule_at_every_cut(spark):
+    rng, rows, want = random.Random(11), [], {}
+    for k in range(40):
+        p, q = rng.random() ** 2, rng.random() * 0.1
+        act, now = [rng.random() < p for _ in range(70)], [rng.random() < q for _ in range(70)]
+        if k == 0:
+            act = [True] * 70  # one session over all parts
+        if k == 1:
+            act = [m % 11 == 0 for m in range(70)]  # gaps as long as a part
+        rows += [(f"s{k:02}", m, a, i) for m, (a, i) in enumerate(zip(act, now))]
+        want[f"s{k:02}"] = act, now
+    df = spark.createDataFrame(rows, "station string, minute long, act boolean, now boolean").persist()
+    merged = [tuple(r) for r in incidents.group_runs(df, F.col("act"), 10).orderBy("station", "start").collect()]
+    for need, win, close in ((4, 6, 10), (1, 1, 10), (3, 5, 15)):
+        flat = [(s, *r) for s in sorted(want) for r in literal_runs(*want[s], need, win, close)]
+        for part in (win, 7, 10, 11, 23, 70, 1000):
+            got = incidents.detect_runs(df, F.col("act"), F.col("now"), need, win, close, part=part).orderBy("station", "onset").collect()
+            assert [tuple(r) for r in got] == flat, (need, win, close, part)
+    for part in (1, 5, 11, 12, 40):
+        assert [tuple(r) for r in incidents.group_runs(df, F.col("act"), 10, part).orderBy("station", "start").collect()] == merged
+    with pytest.raises(ValueError):
+        incidents.detect_runs(df, F.col("act"), part=5)
+
+
+@pytest.mark.parametrize("cell", [1, 5, 32])
+def test_neighbour_values_by_cells_equal_those_by_edges(spark, monkeypatch, cell):
+    monkeypatch.setattr(neighbours, "CELL", cell)
+    rng = np.random.default_rng(cell)
+    # a dense town over a cell's edge, pairs at one point, stations across the date line, and one that is alone
+    pts = [(i, 77 + float(rng.normal(0, 0.3)), 28.0 + float(rng.normal(0, 0.3))) for i in range(50)] + [(50, 77.0, 28.0), (51, 77.0, 28.0), (60, 179.95, 60.0), (61, -179.95, 60.1), (70, 10.0, -40.0)]
+    edges = neighbours.build_neighbours(spark.createDataFrame(pts, "station long, lon double, lat double")).persist()
+    place = {(r.cell, r.slot) for r in edges.select("cell", "slot", "station").distinct().collect()}
+    assert len(place) == edges.select("station").distinct().count() and max(s for _, s in place) < cell
+    said = {(p[0], m): (None if rng.random() < 0.2 else float(np.round(rng.normal(), 1)), bool(rng.random() < 0.2)) for p in pts for m in range(6) if rng.random() < 0.9}
+    rows = spark.createDataFrame([(s, m, x, h) for (s, m), (x, h) in said.items()], "station long, minute long, x double, h boolean")
+    listed = {}
+    for e in edges.collect():
+        listed.setdefault(e.station, []).append(e.nb)
+    for hidden in (None, F.col("h")):
+        for given in (edges, edges.drop("cell", "slot")):
+            got = {(r.station, r.minute): (r.listed, r.x) for r in neighbours.neighbour_values(rows, given, ["x"], hidden).collect()}
+            for s, nbs in listed.items():
+                for m in range(6):
+                    want = sorted(x for x, h in (said.get((n, m), (None, True)) for n in nbs) if x is not None and not (hidden is not None and h))
+                    n, values = got.get((s, m), (len(nbs), []))
+                    assert (n, values) == (len(nbs), want)
+            assert 70 not in {s for s, _ in got}
+
+
 def test_neighbours_equal_all_pairs_even_across_the_date_line(spark):
     rng = np.random.default_rng(5)
     pts = [(i, float(rng.uniform(-180, 180)), float(rng.uniform(-80, 80))) for i in range(150)] + [(200, 179.9, 60.0), (201, -179.9, 60.1), (202, 179.5, 60.0), (203, 10.0, 89.5), (204, -170.0, 89.6)]
