@@ -156,7 +156,7 @@ class Monitor:
         """Alerts that begin in the minutes ``first`` to ``last``, and earlier ones whose type a due re-check changes."""
         inside = state.where((F.col("minute") <= last) & (F.col("minute") > first - self.window))
         scored = self.score(densify(inside, self.stations))
-        runs = incidents.detect_runs(scored, F.col("prob") >= THRESHOLD, F.col("instant"))
+        runs = incidents.detect_runs(scored, F.col("prob") >= THRESHOLD, F.col("instant"), panel=inside)  # the newest minute needs no scores
         asked = F.filter(F.array(*[F.col("detect") + k for k in self.recheck]), lambda m: (m >= first) & (m <= last) & (F.col("end") >= m)) if self.recheck else F.array().cast("array<bigint>")
         due = runs.withColumn("again", F.array_max(asked)).where(F.col("detect").between(first, last) | F.col("again").isNotNull())
         typed = self.classify(due, scored) if self.classify else due.withColumn("type", F.lit("?"))
