@@ -1,6 +1,7 @@
 """What is normal for a station: learned by grouped aggregation.
 
-Percentiles are exact unless asked otherwise: ``exact=False`` takes sketches of a fixed size, for histories whose values don't fit a task.
+Percentiles are exact unless asked otherwise: ``exact=False`` takes sketches of a fixed size, for histories whose values don't fit a task;
+those over all rows are exact at any size with ``most`` (see ``selection``).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import FLOOR, VARS
 from ..functions.physics import hour_interp, hour_of, quantile
 from .features import VECTOR
+from .selection import quantiles
 
 
 def by_hour(values: dict[str, str], found: DataFrame, empty: Column | None = None) -> DataFrame:
@@ -30,17 +32,24 @@ def climate_profile(checked: DataFrame) -> DataFrame:
     return by_hour({f"clim_{v}": v for v in VARS}, climatology(checked))
 
 
-def dsd_reference(featured: DataFrame, exact: bool = True) -> DataFrame:
-    """One row: the median dsd of each variable over all rows."""
+def dsd_reference(featured: DataFrame, exact: bool = True, most: int | None = None) -> DataFrame:
+    """One row: the median dsd of each variable over all rows.  ``most``: exact, with so many values in a task at most."""
+    if most is not None:
+        return quantiles(featured, [], {f"dsd_ref_{v}": (F.col(f"dsd_{v}"), 0.5) for v in VARS}, most)
     return featured.agg(*[quantile(f"dsd_{v}", 0.5, exact).alias(f"dsd_ref_{v}") for v in VARS])
 
 
-def feature_scale(vector: DataFrame, exact: bool = True) -> DataFrame:
-    """(feature, med, iqr) over complete rows; iqr is at least half the 90th percentile of the distance from the median."""
+def feature_scale(vector: DataFrame, exact: bool = True, most: int | None = None) -> DataFrame:
+    """(feature, med, iqr) over complete rows; iqr is at least half the 90th percentile of the distance from the median.  ``most`` as in :func:`dsd_reference`."""
     full = vector.where("complete")
-    first = full.agg(*[quantile(c, [0.25, 0.5, 0.75], exact).alias(c) for c in VECTOR])
+    if most is None:
+        first = full.agg(*[quantile(c, [0.25, 0.5, 0.75], exact).alias(c) for c in VECTOR])
+    else:
+        three = quantiles(full, [], {f"{c}_{i}": (F.col(c), p) for c in VECTOR for i, p in enumerate((0.25, 0.5, 0.75))}, most)
+        first = three.select(*[F.array(*[f"{c}_{i}" for i in range(3)]).alias(c) for c in VECTOR])
     far = full.crossJoin(F.broadcast(first.select(*[F.get(c, F.lit(1)).alias(f"m_{c}") for c in VECTOR])))
-    second = far.agg(*[quantile(F.abs(F.col(c) - F.col(f"m_{c}")), 0.9, exact).alias(f"a_{c}") for c in VECTOR])
+    distance = {f"a_{c}": F.abs(F.col(c) - F.col(f"m_{c}")) for c in VECTOR}
+    second = far.agg(*[quantile(x, 0.9, exact).alias(n) for n, x in distance.items()]) if most is None else quantiles(far, [], {n: (x, 0.9) for n, x in distance.items()}, most)
     both = first.crossJoin(F.broadcast(second))
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.get(c, F.lit(1)).alias("med"), F.greatest(F.get(c, F.lit(2)) - F.get(c, F.lit(0)), F.col(f"a_{c}") * 0.5 + 1e-3).alias("iqr")) for c in VECTOR]))
     return both.select(rows.alias("r")).select("r.*")

@@ -68,6 +68,7 @@ _SCALE = (
     + " UNION ALL ".join(f"SELECT '{c}' AS feature, m_{c} AS med, greatest(b_{c} - a_{c}, n_{c} * 0.5 + 1e-3) AS iqr FROM q3, q9" for c in features.VECTOR) + ")"
 )
 query("a3_feature_scale", lambda x: pick(profile.feature_scale(features.feature_vector(x.features)), "feature", "med iqr"), build("feat", "").rstrip() + _SCALE + f" SELECT feature, {r6('med iqr')} FROM scale")
+query("a3_bounded_scale", lambda x: pick(profile.feature_scale(features.feature_vector(x.features), most=10_000), "feature", "med iqr"), build("feat", "").rstrip() + _SCALE + f" SELECT feature, {r6('med iqr')} FROM scale")
 
 
 def _scaled(x: Layers) -> DataFrame:
@@ -84,6 +85,7 @@ query(
 # learned profiles
 table("a1_climatology", lambda x: profile.climatology(x.checked), "station hour", "T P RH", "clim", "clim")
 query("a2_dsd_reference", lambda x: pick(profile.dsd_reference(x.features), "", of("dsd_ref")), build("feat", "SELECT " + each("round(quantile_cont(dsd_@, 0.5) + 1.3e-8, 6) + 0.0 AS dsd_ref_@") + " FROM feat"))
+query("a2_bounded_reference", lambda x: pick(profile.dsd_reference(x.features, most=10_000), "", of("dsd_ref")), build("feat", "SELECT " + each("round(quantile_cont(dsd_@, 0.5) + 1.3e-8, 6) + 0.0 AS dsd_ref_@") + " FROM feat"))
 query(
     "a5_spatial_offsets",
     lambda x: pick(profile.spatial_offsets(x.residuals).select("station", "n_T", "n_P", "n_RH", F.posexplode(F.arrays_zip(*[f"off_{v}" for v in VARS])).alias("hour", "o")).select("station", "hour", "n_T", "n_P", "n_RH", "o.*"), "station hour n_T n_P n_RH", of("off")),
