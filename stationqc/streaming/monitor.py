@@ -104,12 +104,14 @@ class Monitor:
 
     def _forget(self, batch_id: int) -> None:
         """Folders of batches that no replay reads go; alerts of many batches become one folder."""
+        if batch_id < 1:
+            return
+        delete(self.spark, f"{self.folder}/arrived/batch={batch_id - 1}")
+        delete(self.spark, f"{self.folder}/parts/of={batch_id - 1}")
         if batch_id < 2:
             return
         for name in ("state", "waiting", "clock", "emitted"):
             delete(self.spark, f"{self.folder}/{name}/batch={batch_id - 2}")
-        delete(self.spark, f"{self.folder}/arrived/batch={batch_id - 1}")
-        delete(self.spark, f"{self.folder}/parts/of={batch_id - 1}")
         if self.compact and batch_id % self.compact == 0:
             upto = range(max(0, batch_id - self.compact - 1), batch_id - 1)
             folders = [f"{self.folder}/alerts/batch={i}" for i in upto]
