@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stationqc.operators import evaluate, features, incidents, inject, models, neighbours, profile, qc
+from stationqc.plans.layers import Layers
 from stationqc.sources import tables
 from stationqc.streaming import edge
 
@@ -88,6 +89,30 @@ def literal_runs(act, instant, need, win, close):
     return out
 
 
+def test_features_are_one_pass_in_order_whatever_the_batches(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, m, None if rng.random() < 0.1 else round(float(rng.normal(20, 1)), 1), 1000.0, float(50 + m % 7)) for s in (1, 2) for m in range(120)]
+    checked = qc.checked(spark.createDataFrame(rows, "station long, minute long, T_raw double, P_raw double, RH_raw double").repartition(3))
+    climate = profile.climate_profile(checked)
+    made = features.features(checked, climate)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
+    whole = made.orderBy("station", "minute").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert features.features(checked, climate).orderBy("station", "minute").collect() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_layers_store_only_what_rows_alone_do_not_tell(spark):
+    made = Layers(spark, "/root/testdata/sf0.001")
+    assert {"zL_T", "exp_T", "dev_RH", "stuck_any", "td"} <= set(made.expected.columns)
+    widths = {p.rsplit("/", 1)[1].split("-")[1]: len(spark.read.parquet(p).columns) for p in made.paths}
+    made.release()
+    assert "scored" not in widths and "expected" not in widths and "features" not in widths and max(widths.values()) <= 36, widths
+
+
 def test_sessions_equal_the_literal_rule(spark):
     rng, rows, want = random.Random(3), [], {}
     for k in range(60):
