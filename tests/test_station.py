@@ -89,6 +89,21 @@ def literal_runs(act, instant, need, win, close):
     return out
 
 
+def test_faults_and_alerts_meet_by_day_as_by_all_pairs(spark):
+    rng, span = random.Random(3), 6 * 1440
+    draw = lambda i: (i, rng.randrange(3), s := rng.randrange(span), s + rng.choice([1, 5, 60, 1500, 4000]))
+    faults, alerts = [draw(i) for i in range(60)] + [(60, 0, 1440, 1441)], [draw(100 + i) for i in range(80)] + [(180, 0, 1461, 1462), (181, 0, 1400, 1440)]
+    truth = spark.createDataFrame([(i, k, "spike", a, b) for i, k, a, b in faults], "truth long, station long, type string, start long, end long")
+    named = spark.createDataFrame([(i, k, k, a, a, b) for i, k, a, b in alerts], "alert long, station long, city long, onset long, detect long, end long")
+    met = evaluate.overlaps(truth, named)
+    got = [(r.truth, r.alert) for r in met.collect()]
+    assert sorted(got) == sorted((t[0], a[0]) for t in faults for a in alerts if t[1] == a[1] and a[2] <= t[3] + 20 and a[3] >= t[2])
+    assert "day" in met._jdf.queryExecution().analyzed().toString()
+    events = truth.select(F.col("station").alias("city"), "start", "end")
+    hit = [(r.city, r.start, r.end) for r in evaluate.events_hit(events, named, 0).collect()]
+    assert sorted(hit) == sorted({t[1:] for t in faults if any(t[1] == a[1] and a[2] < t[3] and a[3] > t[2] for a in alerts)})
+
+
 def test_features_are_one_pass_in_order_whatever_the_batches(spark):
     rng = np.random.default_rng(5)
     rows = [(s, m, None if rng.random() < 0.1 else round(float(rng.normal(20, 1)), 1), 1000.0, float(50 + m % 7)) for s in (1, 2) for m in range(120)]
