@@ -1,6 +1,8 @@
 import math
 import random
+from decimal import ROUND_HALF_EVEN, Decimal
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,7 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from stationqc.functions import text
 from stationqc.operators import evaluate, features, incidents, inject, models, neighbours, profile, qc
+from stationqc.plans import incident_sql
 from stationqc.plans.layers import Layers
 from stationqc.sources import tables
 from stationqc.streaming import edge
@@ -104,6 +108,15 @@ def test_faults_and_alerts_meet_by_day_as_by_all_pairs(spark):
     assert sorted(hit) == sorted({t[1:] for t in faults if any(t[1] == a[1] and a[2] < t[3] and a[3] > t[2] for a in alerts)})
 
 
+def test_fixed_digits_by_decimals_in_sql_and_in_spark(spark):
+    values = [6.949999999999999, 7.949999999999999, 7.050000000000001, 12.450000000000001, 0.05, 0.15, 0.25, 12.35, 4.35, 8.05, 0.0, 1e-7, 1234.55, 99.95]
+    want = [f"{Decimal(repr(x)).quantize(Decimal('0.1'), ROUND_HALF_EVEN)}" for x in values]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
+    assert [r.t for r in rows.select("i", text.fixed(F.col("x"), 1).alias("t")).orderBy("i").collect()] == want
+    assert [r[0] for r in duckdb.sql(f"SELECT {incident_sql.fixed('x', 1)} FROM (SELECT unnest({values}::DOUBLE[]) AS x)").fetchall()] == want
+    assert duckdb.sql(f"SELECT {incident_sql.fixed('2.5', 0)}, {incident_sql.fixed('3.5::DOUBLE', 0)}, {incident_sql.fixed('NULL::DOUBLE', 1)}").fetchall()[0][:2] == ("2", "4")
+
+
 def test_features_are_one_pass_in_order_whatever_the_batches(spark):
     rng = np.random.default_rng(5)
     rows = [(s, m, None if rng.random() < 0.1 else round(float(rng.normal(20, 1)), 1), 1000.0, float(50 + m % 7)) for s in (1, 2) for m in range(120)]
