@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stationqc.operators import selection
 from stationqc.operators.selection import quantiles
 
 
@@ -42,3 +43,12 @@ def test_without_groups_and_without_rows(spark):
     assert list(got) == pytest.approx(list(want))
     assert list(quantiles(rows.where("false"), [], {"a": (F.col("x"), 0.5)}).first()) == [None]
     assert quantiles(rows.where("false"), ["g"], {"a": (F.col("x"), 0.5)}).count() == 0
+
+
+def test_passes_read_stored_values_and_rows_are_made_once(spark, monkeypatch):
+    kept, keep = [], selection._kept
+    monkeypatch.setattr(selection, "_kept", lambda s, df: kept.append(df.columns) or keep(s, df))
+    x = F.col("id").cast("double")
+    got = selection.quantiles(spark.range(1000), [], {"low": (x, 0.25), "high": (x, 0.75)}, 100).first()
+    assert (got.low, got.high) == (249.75, 749.25)
+    assert len(kept[0]) == 1 and kept[0][0].startswith("value_")
