@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import duckdb
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from stationqc.functions import text
 from stationqc.operators import evaluate, features, incidents, inject, models, neighbours, profile, qc
 from stationqc.plans import incident_sql
-from stationqc.plans.layers import Layers
+from stationqc.plans.layers import CLEANED, Layers
 from stationqc.sources import tables
 from stationqc.streaming import edge
 
@@ -141,6 +142,19 @@ def test_layers_store_only_what_rows_alone_do_not_tell(spark):
     assert "scored" not in widths and "expected" not in widths and "features" not in widths and max(widths.values()) <= 36, widths
 
 
+def test_layers_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+    was, before = spark.conf.get(CLEANED, None), shuffled()
+    made = Layers(spark, "/root/testdata/sf0.001")
+    assert "med_T" in made.near.columns
+    left = shuffled() - before
+    made.release()
+    assert not left and spark.conf.get(CLEANED, None) == was
+
+
 def test_sessions_equal_the_literal_rule(spark):
     rng, rows, want = random.Random(3), [], {}
     for k in range(60):
@@ -204,6 +218,29 @@ def test_neighbour_values_by_cells_equal_those_by_edges(spark, monkeypatch, cell
             assert 70 not in {s for s, _ in got}
 
 
+def test_support_of_neighbours_is_one_exchange_whatever_the_batches(spark):
+    rng = np.random.default_rng(8)
+    pts = [(i, 77 + float(rng.normal(0, 0.3)), 28.0 + float(rng.normal(0, 0.3))) for i in range(40)] + [(70, 10.0, -40.0)]
+    edges = neighbours.build_neighbours(spark.createDataFrame(pts, "station long, lon double, lat double")).persist()
+    columns = [*neighbours.SPATIAL, "ts"]
+    value = lambda: None if rng.random() < 0.3 else float(np.round(rng.normal(), 1))
+    rows = spark.createDataFrame([(p[0], m, "x", bool(rng.random() < 0.2), *[value() for _ in columns]) for p in pts for m in (0, 1, 2, 1439, 1440) if rng.random() < 0.9], f"station long, minute long, note string, h boolean, {', '.join(f'{c} double' for c in columns)}").persist()
+    for hidden in (None, F.col("h")):
+        said = neighbours.neighbour_values(rows, edges, columns, hidden)
+        found = said.select("station", "minute", *[neighbours.neighbour_median(F.col(a)).alias(f"{k}_{v}") for k, stem in (("med", "A"), ("medI", "innov")) for v in ("T", "P", "RH") for a in [f"{stem}_{v}"]], *[neighbours.neighbour_spread(F.col(f"A_{v}"), F.col("listed")).alias(f"spread_{v}") for v in ("T", "P", "RH")], F.size("A_T").cast("long").alias("nn"), neighbours.array_median(F.col("ts")).alias("nb_ts"))
+        want = rows.join(found, ["station", "minute"], "left").fillna(0, ["nn", "nb_ts", "spread_T", "spread_P", "spread_RH"]).select(*rows.columns, *neighbours.SUPPORT)
+        for most in (7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            try:
+                made = neighbours.neighbour_support(rows, edges, hidden)
+                plan = made._jdf.queryExecution().executedPlan().toString()
+                assert not re.search(r"Join \[station#\d+L?, minute", plan)
+                got = sorted(map(repr, made.select(*want.columns).collect()))
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            assert got == sorted(map(repr, want.collect()))
+
+
 def test_neighbours_equal_all_pairs_even_across_the_date_line(spark):
     rng = np.random.default_rng(5)
     pts = [(i, float(rng.uniform(-180, 180)), float(rng.uniform(-80, 80))) for i in range(150)] + [(200, 179.9, 60.0), (201, -179.9, 60.1), (202, 179.5, 60.0), (203, 10.0, 89.5), (204, -170.0, 89.6)]
