@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,8 +15,8 @@ from ..sources.packets import FLAGS
 ALPHA, WARM, Z_LIMIT, DEW_LIMIT, LONGEST = 0.03, 30, 8.0, 6.0, 255
 #: Readings learned from, the mean dew point, and a row each of means, variances, last values and runs of T, P, RH.
 FRESH = (0.0, 0.0, *([0.0] * 12))
-_LOW, _HIGH = (np.array([RANGE[v][k] for v in VARS]) for k in (0, 1))
-_STEP, _STUCK, _NOISE = (np.array([of[v] for v in VARS], float) for of in (STEP, STUCK, NOISE))
+_LOW, _HIGH = (tuple(float(RANGE[v][k]) for v in VARS) for k in (0, 1))
+_STEP, _STUCK, _NOISE = (tuple(float(of[v]) for v in VARS) for of in (STEP, STUCK, NOISE))
 
 
 def _dew(t: float, rh: float) -> float:
@@ -29,39 +28,42 @@ def step(state: tuple, reading: tuple) -> tuple[tuple, int]:
     """The state after ``reading`` (T, P, RH; None for none), and its flags.
 
     A check looks at the sensors that are there.  Means and variances are exponential, of rows without any flag; a missing
-    sensor keeps the last values of all three.
+    sensor keeps the last values of all three.  Plain floats: arrays of three cost many times their arithmetic.
     """
     seen, dew = state[:2]
-    mean, var, last, run = np.array(state[2:], float).reshape(4, 3)
-    x = np.array([math.nan if r is None else r for r in reading], float)
-    there = np.isfinite(x) & (x > -90)
-    x = np.where(there, x, math.nan)
-    fog = np.array([False, False, x[2] >= 98])
-    run = np.where(there, np.where((seen > 0) & (x == last) & ~fog, np.minimum(LONGEST, run + 1), 0), run)
-    spread = np.abs(x - mean) / np.sqrt(var + _NOISE**2)
-    raised = {
-        "missing": ~there, "range": (x < _LOW) | (x > _HIGH), "step": (seen > 0) & (np.abs(x - last) > _STEP),
-        "stuck": there & (run + 1 >= _STUCK), "z_score": (seen >= WARM) & (spread > Z_LIMIT),
-    }
-    names = {k for k, hit in raised.items() if hit.any()}
+    mean, var, last, run = list(state[2:5]), list(state[5:8]), list(state[8:11]), list(state[11:14])
+    names = set()
+    for k, x in enumerate(reading):
+        if x is None or not math.isfinite(x) or x <= -90:
+            names.add("missing")
+            continue
+        run[k] = min(LONGEST, run[k] + 1) if seen > 0 and x == last[k] and not (k == 2 and x >= 98) else 0.0
+        if x < _LOW[k] or x > _HIGH[k]:
+            names.add("range")
+        if seen > 0 and abs(x - last[k]) > _STEP[k]:
+            names.add("step")
+        if run[k] + 1 >= _STUCK[k]:
+            names.add("stuck")
+        if seen >= WARM and abs(x - mean[k]) / math.sqrt(var[k] + _NOISE[k] * _NOISE[k]) > Z_LIMIT:
+            names.add("z_score")
     if not names & {"missing", "range"}:
-        now = _dew(x[0], x[2])
+        now = _dew(reading[0], reading[2])
         if seen >= WARM and abs(now - dew) > DEW_LIMIT:
             names.add("dew_point")
         if not names:
-            mean, var, dew = (mean, var, dew) if seen else (x, np.zeros(3), now)
-            off = x - mean
-            mean, var, dew = mean + ALPHA * off, (1 - ALPHA) * (var + ALPHA * off**2), dew + ALPHA * (now - dew)
+            mean, var, dew = (mean, var, dew) if seen else (list(reading), [0.0] * 3, now)
+            off = [x - m for x, m in zip(reading, mean)]
+            mean, var, dew = [m + ALPHA * d for m, d in zip(mean, off)], [(1 - ALPHA) * (v + ALPHA * (d * d)) for v, d in zip(var, off)], dew + ALPHA * (now - dew)
             seen = min(65535.0, seen + 1)
     if "missing" not in names:
-        last = x
-    return (seen, dew, *np.concatenate([mean, var, last, run]).tolist()), sum(FLAGS[k] for k in names)
+        last = list(reading)
+    return (seen, dew, *mean, *var, *last, *run), sum(FLAGS[k] for k in names)
 
 
 def _fold(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[int]]:
     out = []
-    for r in rows[["T_raw", "P_raw", "RH_raw"]].itertuples(index=False):
-        state, flags = step(state, tuple(None if pd.isna(x) else float(x) for x in r))
+    for reading in zip(*[rows[c].astype(float).tolist() for c in ("T_raw", "P_raw", "RH_raw")]):  # a null is NaN, which no sensor sends
+        state, flags = step(state, reading)
         out.append(flags)
     return state, out
 
