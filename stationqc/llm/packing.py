@@ -112,34 +112,29 @@ def sequences(tokens: DataFrame, capacity: int = 4096, max_per_source: int = 4,
 
     ``ids`` are the token ids of the whole bin; document ``doc_ids[k]`` begins at ``offsets[k]`` with its piece
     ``pieces[k]``, so boundaries are known to an attention mask.  Rules and ties are those of :func:`pack`; a rest keeps
-    to its shard.  Full pieces of long documents are bins as they are and are never shuffled: a shard holds at most
-    ``shard_rows`` rests of less than ``capacity`` ids.  Null or empty ids give no row.  Repeated rows are packed each; full pieces
+    to its shard.  Full pieces of long documents are bins as they are and are never shuffled: a shard is packed by the
+    lengths of about ``shard_rows`` rests, and ids meet only in their bin, ``capacity`` of them at most.  Null or empty ids give no row.  Repeated rows are packed each; full pieces
     of such rows share a bin_id.
     """
     rows = tokens.select("doc_id", "ids", F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster")).where(F.size("ids") > 0)
-    rows = stored(rows, "tokens")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"bin_id string, n_tokens int, ids array<int>, doc_ids array<{kind}>, pieces array<int>, offsets array<int>"
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "tokens")
     full = F.floor(F.size("ids") / capacity).cast("int")
     part = rows.where(full > 0).select("doc_id", "ids", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
     cut = part.select("doc_id", "piece", F.slice("ids", F.col("piece") * capacity + 1, F.lit(capacity)).alias("ids"))
     name = F.concat(F.lit("f"), F.lower(F.hex(F.xxhash64("doc_id", "piece", "ids"))), F.lower(F.hex(F.hash("ids", "doc_id"))))
     whole = cut.select(name.alias("bin_id"), F.lit(capacity).alias("n_tokens"), "ids", F.array("doc_id").alias("doc_ids"), F.array("piece").alias("pieces"), F.array(F.lit(0)).alias("offsets"))
-    rest = rows.where(F.size("ids") % capacity > 0).select("doc_id", "source", "cluster", full.alias("piece"), F.slice("ids", full * capacity + 1, F.lit(capacity)).alias("ids"))
+    rest = rows.where(F.size("ids") % capacity > 0).select("row", "doc_id", "source", "cluster", full.alias("piece"), F.slice("ids", full * capacity + 1, F.lit(capacity)).alias("ids"))
     shards = max(1, -(-rows.count() // shard_rows))
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        n = shard["ids"].map(len).rename("n")
-        order = pd.concat([shard[["doc_id", "source", "cluster", "own"]], n], axis=1).sort_values(["n", "doc_id", "source", "cluster", "own"], ascending=[False, True, True, True, True], na_position="first").index
-        left = shard.loc[order]
-        bins, offsets, _ = best_fit(n[order].tolist(), _ids(left["source"]).tolist(), _ids(left["cluster"]).tolist(), capacity, max_per_source)
-        made: list[tuple] = [([], [], [], []) for _ in range(max(bins, default=-1) + 1)]
-        for b, at, doc, piece, ids in zip(bins, offsets, left["doc_id"], left["piece"], left["ids"]):
-            for held, value in zip(made[b], (None if pd.isna(doc) else doc, piece, at, ids)):
-                held.append(value)
+        left = shard.sort_values(["n", "doc_id", "source", "cluster", "own"], ascending=[False, True, True, True, True], na_position="first")
+        bins, offsets, _ = best_fit(left["n"].tolist(), _ids(left["source"]).tolist(), _ids(left["cluster"]).tolist(), capacity, max_per_source)
         base = int(shard["shard"].iloc[0])
-        flat = [np.concatenate(m[3]) for m in made]
-        return pd.DataFrame({"bin_id": [f"{base}-{b}" for b in range(len(made))], "n_tokens": [len(x) for x in flat], "ids": flat, "doc_ids": [m[0] for m in made], "pieces": [m[1] for m in made], "offsets": [m[2] for m in made]})
-
-    dealt = rest.withColumn("own", F.xxhash64("ids")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "own", "source", "cluster"), F.lit(shards)))
-    return whole.unionByName(dealt.groupBy("shard").applyInPandas(run, schema))
+        return pd.DataFrame({"row": left["row"], "bin_id": [f"{base}-{b}" for b in bins], "offset": offsets})
+
+    # a shard is packed by its lengths; its ids meet bin by bin
+    sized = rest.select("row", "doc_id", "source", "cluster", F.size("ids").alias("n"), F.xxhash64("ids").alias("own"))
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "own", "source", "cluster"), F.lit(shards)))
+    places = stored(dealt.groupBy("shard").applyInPandas(run, "row long, bin_id string, offset int"), "places")
+    filled = rest.join(places, "row").groupBy("bin_id").agg(F.sum(F.size("ids")).cast("int").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids"))).alias("items"))
+    return whole.unionByName(filled.select("bin_id", "n_tokens", F.flatten("items.ids").alias("ids"), F.col("items.doc_id").alias("doc_ids"), F.col("items.piece").alias("pieces"), F.col("items.offset").alias("offsets")))
