@@ -3,15 +3,17 @@
 Rows with equal sets of shingles are one item.  Items are range-partitioned by the size of their set and compared in the
 tiles of :mod:`simhash`, here with a wide radius; tile pairs whose sizes alone rule the similarity out are skipped, which
 loses nothing.  A task returns three edge-disjoint spanning forests of its candidates, the likeliest first by a sketch of
-64 bytes an item, so k near copies give fewer than 3 k links.  Every link is then verified on both texts before components are built.
+64 bytes an item, so k near copies give fewer than 3 k links.  Every link is verified on both texts before components are built.
+Then all candidates whose items these links leave in different components are verified as well, so no candidate is lost for
+being one of many.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ _MULTIPLY, _ADD = _RNG.integers(0, 2**63, PERMS, np.uint64) * np.uint64(2) + np.
 SLACK, SURE = 0.15, 0.95
 #: Candidate pairs whose sketches are compared at once, and links held before they are thinned to a forest.
 CHUNK, HELD = 1 << 15, 1 << 18
-#: Edge-disjoint forests that a task returns: a link that fails its verification then seldom takes a true one's place.
+#: Edge-disjoint forests that a task returns at first: a link that fails its verification then seldom takes a true one's place.
 FORESTS = 3
 #: Sets of shingles held at once.
 SETS = 512
@@ -100,24 +102,10 @@ def _forest(est: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def likely_links(items: np.ndarray, n: np.ndarray, fps: np.ndarray, sketches: np.ndarray, side: np.ndarray | None, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ``items`` to verify; with ``side`` (false, true) only tiles of different sides are compared."""
-    side = np.zeros(len(n), bool) if side is None else side
-    alone, order = not side.any(), np.lexsort((fps, n, side))
-    items, n, fps, sketches, side = items[order], n[order], fps[order], sketches[order], side[order]
-    cut = len(n) - int(side.sum())
+def _met(n: np.ndarray, fps: np.ndarray, sketches: np.ndarray, cut: int, radius: int, least: float, apart):
+    """(est, x, y) of candidate pairs, ``CHUNK`` at most at once, that ``apart`` lets through; rows by (n, fps), those from ``cut`` on are another side."""
+    alone = cut == len(n)
     spans = [(at, min(at + TILE, end)) for first, end in ((0, cut), (cut, len(n))) for at in range(first, end, TILE)]
-    label, held, size = np.arange(len(n)), [], 0
-
-    def thinned():
-        est, x, y = map(np.concatenate, zip(*held))
-        left, kept = np.arange(len(x)), []
-        for _ in range(FORESTS):
-            kept.append(left[_forest(est[left], x[left], y[left])])
-            left = np.setdiff1d(left, kept[-1], assume_unique=True)
-        kept = np.concatenate(kept)
-        return [(est[kept], x[kept], y[kept])]
-
     for i, (a, b) in enumerate(spans):
         for c, d in spans[i:]:
             if (not alone and (a >= cut or c < cut)) or n[c] * least > n[b - 1] or n[a] * least > n[d - 1]:
@@ -128,42 +116,77 @@ def likely_links(items: np.ndarray, n: np.ndarray, fps: np.ndarray, sketches: np
                 x, y = x[x < y], y[x < y]
             for at in range(0, len(x), CHUNK) if len(x) else ():
                 p, q = x[at : at + CHUNK], y[at : at + CHUNK]
-                open_ = label[p] != label[q]
+                open_ = apart(p, q)
                 p, q = p[open_], q[open_]
                 est = (sketches[p] == sketches[q]).mean(axis=1) if len(p) else np.empty(0)
                 near = est >= least - SLACK
-                est, p, q = est[near], p[near], q[near]
-                if len(p):
-                    held.append((est, p, q))
-                    size += len(p)
-                    label = _merge(label, p[est >= SURE], q[est >= SURE])
-                if size > HELD:
-                    held = thinned()
-                    size = len(held[0][0]) - FORESTS * len(n)  # a forest has fewer links than nodes: room for HELD new ones
+                if near.any():
+                    yield est[near], p[near], q[near]
+
+
+def _ordered(n: np.ndarray, fps: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, int]:
+    side = np.zeros(len(n), bool) if side is None else side
+    return np.lexsort((fps, n, side)), len(n) - int(side.sum())
+
+
+def likely_links(items: np.ndarray, n: np.ndarray, fps: np.ndarray, sketches: np.ndarray, side: np.ndarray | None, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``items`` to verify first; with ``side`` (false, true) only tiles of different sides are compared.
+
+    Not all: what these don't connect once they are verified, :func:`open_links` finds.
+    """
+    order, cut = _ordered(n, fps, side)
+    items, n, fps, sketches = items[order], n[order], fps[order], sketches[order]
+    label, held, size = np.arange(len(n)), [], 0
+
+    def thinned():
+        est, x, y = map(np.concatenate, zip(*held))
+        left, kept = np.arange(len(x)), []
+        for _ in range(FORESTS):
+            kept.append(left[_forest(est[left], x[left], y[left])])
+            left = np.setdiff1d(left, kept[-1], assume_unique=True)
+        kept = np.concatenate(kept)
+        return [(est[kept], x[kept], y[kept])]
+
+    for est, p, q in _met(n, fps, sketches, cut, radius, least, lambda p, q: label[p] != label[q]):
+        held.append((est, p, q))
+        size += len(p)
+        label = _merge(label, p[est >= SURE], q[est >= SURE])
+        if size > HELD:
+            held = thinned()
+            size = len(held[0][0]) - FORESTS * len(n)  # a forest has fewer links than nodes: room for HELD new ones
     if not held:
         return items[:0], items[:0]
     _, x, y = thinned()[0]
     return items[x], items[y]
 
 
+def open_links(items: np.ndarray, n: np.ndarray, fps: np.ndarray, sketches: np.ndarray, side: np.ndarray | None, part: np.ndarray, radius: int, least: float):
+    """Every candidate pair of ``items`` of different ``part``, piece by piece: none is dropped and none held."""
+    order, cut = _ordered(n, fps, side)
+    items, part = items[order], part[order]
+    for _, x, y in _met(n[order], fps[order], sketches[order], cut, radius, least, lambda p, q: part[p] != part[q]):
+        yield items[x], items[y]
+
+
 def _packed(size: int):
     def cut(batches):
         parts = pa.Table.from_batches([*batches]) if (batches := list(batches)) else None
         for at in range(0, parts.num_rows if parts else 0, size):
             t = parts.slice(at, size)
-            item, n, fp = (t.column(c).to_numpy() for c in ("item", "n", "fp"))
-            made = [[int(n.min())], [int(n.max())], [len(n)], [item.tobytes()], [n.tobytes()], [fp.tobytes()], [b"".join(t.column("sketch").to_pylist())]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["low", "high", "size", "item", "n", "fp", "sketch"])
+            item, n, fp, part = (t.column(c).to_numpy() for c in ("item", "n", "fp", "part"))
+            made = [[int(n.min())], [int(n.max())], [len(n)], [item.tobytes()], [n.tobytes()], [fp.tobytes()], [part.tobytes()], [b"".join(t.column("sketch").to_pylist())]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["low", "high", "size", "item", "n", "fp", "part", "sketch"])
 
     return cut
 
 
 def candidates(items: DataFrame, radius: int, least: float, block: int | None = None) -> DataFrame:
-    """(src, dst) pairs of ``items`` (item, n, fp, sketch; stored, with words) to verify."""
+    """(src, dst) pairs of ``items`` (item, n, fp, sketch; stored, with words) to verify: the likeliest, or with a column part all pairs of different parts."""
+    parted = "part" in items.columns
     count = items.count()
     block = block or min(MOST_BLOCK, max(LEAST_BLOCK, count // BLOCKS))
-    ranked = items.select("item", "n", "fp", "sketch").repartitionByRange(max(1, -(-count // block)), "n", "item")
-    made = ranked.mapInArrow(_packed(block), "low long, high long, size long, item binary, n binary, fp binary, sketch binary")
+    ranked = items.select("item", "n", "fp", F.col("part" if parted else "item").alias("part"), "sketch").repartitionByRange(max(1, -(-count // block)), "n", "item")
+    made = ranked.mapInArrow(_packed(block), "low long, high long, size long, item binary, n binary, fp binary, part binary, sketch binary")
     made = stored(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
     place = grouped(made.select("block", "low", "high", "size"), [F.col("low"), F.col("high")], block)
     blocks = made.drop("low", "high", "size").join(place.select("block", "g"), "block").drop("block")
@@ -174,14 +197,15 @@ def candidates(items: DataFrame, radius: int, least: float, block: int | None =
     low, high = groups.select(F.col("g").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j")), groups.select(F.col("g").alias("i"), "low", "high")
     pairs = near.join(low, "j").join(high, "i").where((F.col("low_j") * least <= F.col("high")) & (F.col("low") * least <= F.col("high_j"))).select("i", "j")
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        item, n, fps = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("item", np.int64), ("n", np.int64), ("fp", np.uint64)))
-        sketches = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["sketch"]]).reshape(-1, PERMS)
-        side = np.repeat(rows["side"].to_numpy(bool), [len(x) // 8 for x in rows["item"]])
-        src, dst = likely_links(item, n, fps, sketches, side, radius, least)
-        return pd.DataFrame({"src": src, "dst": dst})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([*batches])
+        whole = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in rows.column(c)])
+        item, n, fps, part, sketches = whole("item", np.int64), whole("n", np.int64), whole("fp", np.uint64), whole("part", np.int64), whole("sketch", np.uint8).reshape(-1, PERMS)
+        side = np.repeat(rows.column("side").to_numpy(), [len(x.as_buffer()) // 8 for x in rows.column("item")])
+        for src, dst in open_links(item, n, fps, sketches, side, part, radius, least) if parted else [likely_links(item, n, fps, sketches, side, radius, least)]:
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
-    return sides(blocks, pairs).groupBy("i", "j").applyInPandas(compare, "src long, dst long")
+    return sides(blocks, pairs).groupBy("i", "j").applyInArrow(compare, "src long, dst long")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 18, least: float = 0.8) -> DataFrame:
@@ -199,7 +223,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = ["n", "s1", "s2"]
     groups = stored(facts.groupBy(*same).agg(F.min("row").alias("item"), F.count("*").alias("rows")), "groups")
     items = stored(facts.select(F.col("row").alias("item"), "n", "fp", "sketch").join(groups.where("n > 0").select("item"), "item"), "items")
-    likely = stored(candidates(items, radius, least).distinct(), "likely")
+    pair = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
+    likely = stored(candidates(items, radius, least).select(*pair).distinct(), "likely")
 
     texts = given.select(F.col("row").alias("item"), "text")
 
@@ -211,9 +236,17 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 keep = pa.array([similarity(shingles(x, width), shingles(y, width)) >= least for x, y in zip(a, b)], pa.bool_())
                 yield batch.select([0, 1]).filter(keep)
 
-    sides = likely.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
-    links = stored(sides.mapInArrow(verified, "src long, dst long"), "links")
+    def true_of(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
+        return stored(both.mapInArrow(verified, "src long, dst long"), "links")
+
+    links = true_of(likely)
     parts = stored(connected_components(links).withColumnRenamed("node", "item"), "parts")
+    # The likeliest links connect most; of all other candidates, those that would still connect something are verified too.
+    parted = stored(items.join(parts, "item", "left").select(*items.columns, F.coalesce("component", "item").alias("part")), "parted")
+    rest = true_of(stored(candidates(parted, radius, least).select(*pair).distinct().join(likely, ["src", "dst"], "left_anti"), "rest"))
+    if not rest.isEmpty():
+        parts = stored(connected_components(links.unionByName(rest)).withColumnRenamed("node", "item"), "parts")
 
     # Only rows of items that have a companion, or several rows, are looked at again.
     several = groups.join(parts, "item", "left").where("component IS NOT NULL OR rows > 1").select(*same, F.coalesce("component", "item").alias("component"))

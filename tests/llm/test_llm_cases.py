@@ -104,6 +104,23 @@ PAGES = [
 ]
 
 
+def test_no_similar_pair_is_lost_among_likelier_ones(spark, monkeypatch):
+    # to the sketches all texts look alike, so forests hold the links of the shortest ones; only the two longest are similar
+    monkeypatch.setattr(near_copies, "summary", lambda h: (0, bytes(near_copies.PERMS)))
+    texts = [" ".join(f"w{i}x{j}" for j in range(60 + min(i, 10))) for i in range(12)]
+    texts[11] = texts[10] + " more"
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.drop_similar(rows).collect()) == list(range(11))
+
+
+def test_ids_meet_in_their_bin_alone(spark):
+    rows = spark.createDataFrame([(i, [i] * (1 + i % 7), None, None) for i in range(200)], "doc_id long, ids array<int>, source string, cluster string")
+    made = packing.sequences(rows, capacity=16, shard_rows=50)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan  # a whole shard's ids were one Arrow batch
+    assert sum(r.n_tokens for r in made.collect()) == sum(1 + i % 7 for i in range(200))
+
+
 def test_html_on_pages_labelled_by_hand():
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma,", "delta.", "of", "the"]) for _ in range(rng.randint(8, 40))) for _ in range(40)]
