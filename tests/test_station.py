@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stationqc.functions import text
-from stationqc.operators import evaluate, features, incidents, inject, models, neighbours, profile, qc
+from stationqc.operators import evaluate, evidence, features, incidents, inject, models, neighbours, profile, qc
 from stationqc.plans import incident_sql
 from stationqc.plans.layers import CLEANED, Layers
 from stationqc.sources import tables
@@ -350,3 +350,36 @@ def test_edge_check_costs_few_microseconds_a_reading():
     state, flags = edge._fold(edge.FRESH, rows)
     assert time.process_time() - began < 0.6  # arrays of three took over a second
     assert len(flags) == 20_000 and all(math.isfinite(x) for x in state) and [f & 1 for f in flags] == rows.isna().any(axis=1).astype(int).tolist()
+
+
+def test_history_and_neighbours_meet_as_raw_rows(spark):
+    """One exchange of raw rows, cut into days, gives what features over whole histories and neighbours by minute give."""
+    rng = np.random.default_rng(11)
+    pts = [(i, 77 + float(rng.normal(0, 0.4)), 28.0 + float(rng.normal(0, 0.4))) for i in range(6)] + [(70, 10.0, -40.0)]
+    edges = neighbours.build_neighbours(spark.createDataFrame(pts, "station long, lon double, lat double")).persist()
+    value = lambda base: None if rng.random() < 0.05 else float(np.round(base + rng.integers(0, 3), 1))
+    held = lambda base, m: base if 1400 < m < 1470 else value(base)
+    rows = [(p[0], m, held(20.0, m), held(1000.0, m), value(50.0), "x") for p in pts for m in range(1380 + p[0] % 3, 2900)]
+    checked = qc.checked(spark.createDataFrame(rows, "station long, minute long, T_raw double, P_raw double, RH_raw double, note string")).persist()
+    climate = profile.climate_profile(checked).persist()
+    starts = evidence.day_starts(checked, evidence.day_ends(checked)).persist()
+    flagged = checked.where("minute % 97 = 0 OR minute = 1439").select("station", "minute")
+    own = neighbours.anomalies(features.features(checked, climate)).withColumn("ts", F.least(F.lit(8.0), F.coalesce(F.abs("innov_T") / 0.6, F.lit(0.0))))
+    ts = lambda found: np.minimum(8.0, np.nan_to_num(np.abs(found["innov_T"]) / 0.6))
+    for some in (None, flagged):
+        marked = own.join(flagged.withColumn("f", F.lit(True)), ["station", "minute"], "left").withColumn("excluded", features.recently(F.coalesce("f", F.lit(False))))
+        out = [*evidence.HISTORY, *neighbours.SUPPORT, "excluded"]
+        want = neighbours.neighbour_support(marked if some is not None else marked.withColumn("excluded", F.lit(False)), edges, F.col("excluded"))
+        made = evidence.near_rows(checked, climate, edges, starts, ["station", "minute", "T_raw", "note"], out, ts, some)
+        exchanged = [line for line in made._jdf.queryExecution().toString().splitlines() if "Exchange" in line]
+        assert exchanged and not any("innov" in line for line in exchanged)
+        ordered = lambda df: df.select("station", "minute", "note", *out).toPandas().sort_values(["station", "minute"]).reset_index(drop=True)
+        pd.testing.assert_frame_equal(ordered(made), ordered(want), check_dtype=False, atol=1e-9, rtol=1e-9)
+
+
+def test_layers_store_no_second_copy_of_the_rows(spark):
+    made = Layers(spark, "/root/testdata/sf0.001")
+    assert {"excluded", "zL_T"} <= set(made.second.columns)
+    kept = {p.rsplit("/", 1)[1].split("-")[1]: spark.read.parquet(p).columns for p in made.paths}
+    made.release()
+    assert kept["flagged"] == ["station", "minute"] and "marked" not in kept
