@@ -383,3 +383,13 @@ def test_layers_store_no_second_copy_of_the_rows(spark):
     kept = {p.rsplit("/", 1)[1].split("-")[1]: spark.read.parquet(p).columns for p in made.paths}
     made.release()
     assert kept["flagged"] == ["station", "minute"] and "marked" not in kept
+
+
+def test_incidents_are_stored_slice_by_slice(spark):
+    """Only a slice's evidence is shuffled at a time; all stations are there, and ongoing ones are seen by the whole panel's newest minute."""
+    made = Layers(spark, "/root/testdata/sf0.001")
+    whole = incidents.incidents(made.expected, made.edges, made.alerts).select("station", "run_onset", "type", "ongoing", "corrected").collect()
+    slices = list(made.make_incidents())
+    got = made.incidents.select("station", "run_onset", "type", "ongoing", "corrected").collect()
+    made.release()
+    assert len(slices) > 1 and got and sorted(map(repr, got)) == sorted(map(repr, whole))
