@@ -129,7 +129,12 @@ class SpanEncoder:
         return self.sp.encode([x or "" for x in texts], add_bos=False, add_eos=True, num_threads=1)
 
     def spans(self, text: str | None, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """First and past-the-last original byte of every id; control ids such as the end take no bytes.
+        """First and past-the-last original byte of every id; control ids such as the end take no bytes."""
+        cuts = self.cuts(text, ids)
+        return cuts[:-1], cuts[1:]
+
+    def cuts(self, text: str | None, ids: list[int]) -> np.ndarray:
+        """Where the spans of ``ids`` begin, and where the last one ends: pieces tile the text, so each begins where the one before ends.
 
         Unknown pieces are as long as the library says.  Should pieces and normalised text differ in length, all pieces
         are, and none goes past the text.
@@ -142,7 +147,7 @@ class SpanEncoder:
             odd = own == self.unk if sizes.sum() - sizes[: len(own)][own == self.unk].sum() + surfaces[own == self.unk].sum() == len(normal) else np.ones(len(own), bool)
             sizes[: len(surfaces)] = np.where(odd, surfaces, sizes[: len(surfaces)])
         ends = np.minimum(np.cumsum(sizes), len(normal))
-        return source[np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)], source[ends]
+        return source[np.concatenate([[0], ends]).astype(np.int64)]
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -193,10 +198,12 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
             for at in range(0, len(texts), 64):
                 part = texts[at : at + 64]
                 for text, ids in zip(part, coder.encode(part)):
-                    starts, ends = coder.spans(text, ids)
-                    covered = int(ends.max() - starts.min()) if len(ids) else 0
-                    both = np.stack([starts, ends], axis=1).ravel().tolist()
-                    out.append((len(ids), _digest(map(name, ids)), hashlib.sha256(coder.decode(ids).encode()).hexdigest(), covered, _digest(map(str, both))))
+                    cuts = coder.cuts(text, ids).tolist()
+                    covered = cuts[-1] - cuts[0] if ids else 0
+                    shown = list(map(str, cuts))  # each once, though it ends one span and begins the next
+                    both = [""] * (2 * len(ids))
+                    both[::2], both[1::2] = shown[:-1], shown[1:]
+                    out.append((len(ids), _digest(map(name, ids)), hashlib.sha256(coder.decode(ids).encode()).hexdigest(), covered, _digest(both)))
             columns = zip(*out) if out else ((), (), (), (), ())
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_span_bytes", "spans_sha256"])

@@ -329,3 +329,21 @@ def test_every_repeated_run_of_lines_goes(spark, monkeypatch, slots):
     for d, t in enumerate(texts):
         want = t if not gone[d] else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
         assert got[d].text == want and got[d].n_removed_lines == len(gone[d]) and got[d].n_removed_chunks == sum(i - 1 not in gone[d] for i in gone[d])
+
+
+def test_spans_are_told_by_their_cuts(spark):
+    import hashlib
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coder = sentencepieces.SpanEncoder(path)
+    texts = ["", " a  b", "naïve 日本語 \u0001 x", "word " * 300, "\n\n"]
+    got = {r.doc_id: r for r in sentencepieces.encode_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for k, text in enumerate(texts):
+        (ids,) = coder.encode([text])
+        cuts = coder.cuts(text, ids)
+        starts, ends = coder.spans(text, ids)
+        assert len(cuts) == len(ids) + 1 and (starts == cuts[:-1]).all() and (ends == cuts[1:]).all() and (np.diff(cuts) >= 0).all()
+        both = " ".join(f"{a} {b}" for a, b in zip(starts, ends))
+        assert got[k].spans_sha256 == hashlib.sha256(both.encode()).hexdigest() and got[k].n_span_bytes == cuts[-1] - cuts[0]
