@@ -5,7 +5,9 @@ tiles of :mod:`simhash`, here with a wide radius; tile pairs whose sizes alone r
 loses nothing.  A task returns three edge-disjoint spanning forests of its candidates, the likeliest first by a sketch of
 64 bytes an item, so k near copies give fewer than 3 k links.  Every link is verified on both texts before components are built.
 Then all candidates whose items these links leave in different components are verified as well, so no candidate is lost for
-being one of many.
+being one of many.  They may be all pairs of a group that is nearly similar, so they never become rows: a first pass returns the
+items that have such a candidate, a second one meets again those items alone, with their whole sets of shingles, and returns a
+forest of true links.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ CHUNK, HELD = 1 << 15, 1 << 18
 FORESTS = 3
 #: Sets of shingles held at once.
 SETS = 512
+#: Shingles (8 bytes) of a block of items that come with their sets, at least and at most.
+LEAST_VOLUME, MOST_VOLUME = 1 << 20, 1 << 21
 #: Items of a block, at least and at most (96 bytes each), and blocks that a table is cut into meanwhile: each is sent to the blocks of like sizes.
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1 << 14, 1 << 18, 64
 
@@ -160,33 +164,85 @@ def likely_links(items: np.ndarray, n: np.ndarray, fps: np.ndarray, sketches: np
     return items[x], items[y]
 
 
-def open_links(items: np.ndarray, n: np.ndarray, fps: np.ndarray, sketches: np.ndarray, side: np.ndarray | None, part: np.ndarray, radius: int, least: float):
-    """Every candidate pair of ``items`` of different ``part``, piece by piece: none is dropped and none held."""
+def open_items(items: np.ndarray, n: np.ndarray, fps: np.ndarray, sketches: np.ndarray, side: np.ndarray | None, part: np.ndarray, radius: int, least: float) -> np.ndarray:
+    """Those of ``items`` with a candidate of another ``part``."""
     order, cut = _ordered(n, fps, side)
-    items, part = items[order], part[order]
-    for _, x, y in _met(n[order], fps[order], sketches[order], cut, radius, least, lambda p, q: part[p] != part[q]):
-        yield items[x], items[y]
+    part, seen = part[order], np.zeros(len(order), bool)
+    for _, x, y in _met(n[order], fps[order], sketches[order], cut, radius, least, lambda p, q: (part[p] != part[q]) & ~(seen[p] & seen[q])):
+        seen[x] = seen[y] = True
+    return items[order[seen]]
 
 
-def _packed(size: int):
+def true_links(items: np.ndarray, n: np.ndarray, fps: np.ndarray, sketches: np.ndarray, side: np.ndarray | None, part: np.ndarray, sets: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the ``part`` of ``items`` as all similar candidates would: every candidate of parts not yet connected is verified.  ``sets``: their shingles, one item after the other."""
+    order, cut = _ordered(n, fps, side)
+    code, first = np.unique(sets, return_inverse=True)[1].astype(np.int32), (np.cumsum(n) - n)[order]
+    n, part = n[order], np.unique(part[order], return_inverse=True)[1]
+    label, mark, src, dst = np.arange(part.max(initial=-1) + 1), np.zeros(code.max(initial=-1) + 1, bool), [], []
+    for _, xs, ys in _met(n, fps[order], sketches[order], cut, radius, least, lambda p, q: label[part[p]] != label[part[q]]):
+        cuts = [0, *(np.flatnonzero(np.diff(xs)) + 1).tolist(), len(xs)]
+        for at, end in zip(cuts, cuts[1:]):
+            x, y = xs[at], ys[at:end]
+            y = y[label[part[y]] != label[part[x]]]
+            own = code[first[x] : first[x] + n[x]]
+            mark[own] = True
+            for y in np.split(y, np.flatnonzero(np.diff(np.cumsum(n[y]) // LEAST_VOLUME)) + 1) if len(y) else ():
+                before = np.cumsum(n[y]) - n[y]
+                both = np.add.reduceat(mark[code[np.repeat(first[y] - before, n[y]) + np.arange(n[y].sum())]], before, dtype=np.int64)
+                y = y[both / (n[x] + n[y] - both) >= least]
+                y = y[np.unique(label[part[y]], return_index=True)[1]]
+                y = y[label[part[y]] != label[part[x]]]
+                if len(y):
+                    src += [items[order[x]]] * len(y)
+                    dst += items[order[y]].tolist()
+                    label = _merge(label, np.full(len(y), part[x]), part[y])
+            mark[own] = False
+    return np.array(src, np.int64), np.array(dst, np.int64)
+
+
+#: Columns of a block that are joined bytes, and their type.
+BYTES = {"item": np.int64, "n": np.int64, "fp": np.uint64, "part": np.int64, "sketch": np.uint8, "shingles": np.uint64}
+
+
+def _packed(size: int, columns: list[str]):
+    """Batches of items to blocks of about ``size`` items, or of as many shingles if they are among ``columns``; a block is held, no partition."""
+
     def cut(batches):
-        parts = pa.Table.from_batches([*batches]) if (batches := list(batches)) else None
-        for at in range(0, parts.num_rows if parts else 0, size):
-            t = parts.slice(at, size)
-            item, n, fp, part = (t.column(c).to_numpy() for c in ("item", "n", "fp", "part"))
-            made = [[int(n.min())], [int(n.max())], [len(n)], [item.tobytes()], [n.tobytes()], [fp.tobytes()], [part.tobytes()], [b"".join(t.column("sketch").to_pylist())]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["low", "high", "size", "item", "n", "fp", "part", "sketch"])
+        held, weight = [], 0
+
+        def made():
+            t = pa.Table.from_batches(held)
+            n = t.column("n").to_numpy()
+            joined = [b"".join(t.column(c).to_pylist()) if c in ("sketch", "shingles") else t.column(c).to_numpy().tobytes() for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in [int(n.min()), int(n.max()), weight]] + [pa.array([x], pa.binary()) for x in joined], names=["low", "high", "size", *columns])
+
+        for batch in batches:
+            each = batch.column(batch.schema.get_field_index("n")).to_numpy() if "shingles" in columns else np.ones(len(batch), np.int64)
+            sums, at = np.concatenate([[0], np.cumsum(each)]), 0
+            while at < len(batch):
+                end = min(len(batch), max(at + 1, int(np.searchsorted(sums, sums[at] + size - weight, "right")) - 1))
+                held.append(batch.slice(at, end - at))
+                weight, at = weight + int(sums[end] - sums[at]), end
+                if weight >= size:
+                    yield made()
+                    held, weight = [], 0
+        if held:
+            yield made()
 
     return cut
 
 
 def candidates(items: DataFrame, radius: int, least: float, block: int | None = None) -> DataFrame:
-    """(src, dst) pairs of ``items`` (item, n, fp, sketch; stored, with words) to verify: the likeliest, or with a column part all pairs of different parts."""
-    parted = "part" in items.columns
-    count = items.count()
-    block = block or min(MOST_BLOCK, max(LEAST_BLOCK, count // BLOCKS))
-    ranked = items.select("item", "n", "fp", F.col("part" if parted else "item").alias("part"), "sketch").repartitionByRange(max(1, -(-count // block)), "n", "item")
-    made = ranked.mapInArrow(_packed(block), "low long, high long, size long, item binary, n binary, fp binary, part binary, sketch binary")
+    """(src, dst) pairs of ``items`` (item, n, fp, sketch; stored, with words) to verify, the likeliest.
+
+    With a column part instead (item) of :func:`open_items`, and with part and shingles the (src, dst) of :func:`true_links`.
+    """
+    parted, whole = "part" in items.columns, "shingles" in items.columns
+    columns = [c for c in BYTES if c in items.columns]
+    count = (items.agg(F.sum("n")).first()[0] or 0) if whole else items.count()
+    block = block or (min(MOST_VOLUME, max(LEAST_VOLUME, count // BLOCKS)) if whole else min(MOST_BLOCK, max(LEAST_BLOCK, count // BLOCKS)))
+    ranked = items.select(*columns).repartitionByRange(max(1, -(-count // block)), "n", "item")
+    made = ranked.mapInArrow(_packed(block, columns), "low long, high long, size long, " + ", ".join(f"{c} binary" for c in columns))
     made = stored(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
     place = grouped(made.select("block", "low", "high", "size"), [F.col("low"), F.col("high")], block)
     blocks = made.drop("low", "high", "size").join(place.select("block", "g"), "block").drop("block")
@@ -199,13 +255,18 @@ def candidates(items: DataFrame, radius: int, least: float, block: int | None =
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches([*batches])
-        whole = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in rows.column(c)])
-        item, n, fps, part, sketches = whole("item", np.int64), whole("n", np.int64), whole("fp", np.uint64), whole("part", np.int64), whole("sketch", np.uint8).reshape(-1, PERMS)
-        side = np.repeat(rows.column("side").to_numpy(), [len(x.as_buffer()) // 8 for x in rows.column("item")])
-        for src, dst in open_links(item, n, fps, sketches, side, part, radius, least) if parted else [likely_links(item, n, fps, sketches, side, radius, least)]:
-            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+        x = {c: np.concatenate([np.frombuffer(y.as_buffer(), BYTES[c]) for y in rows.column(c)]) for c in columns}
+        side = np.repeat(rows.column("side").to_numpy(), [len(y.as_buffer()) // 8 for y in rows.column("item")])
+        given = x["item"], x["n"], x["fp"], x["sketch"].reshape(-1, PERMS), side
+        if not parted:
+            found = likely_links(*given, radius, least)
+        elif whole:
+            found = true_links(*given, x["part"], x["shingles"], radius, least)
+        else:
+            found = [open_items(*given, x["part"], radius, least)]
+        yield pa.RecordBatch.from_arrays([pa.array(y) for y in found], names=["item"] if len(found) == 1 else ["src", "dst"])
 
-    return sides(blocks, pairs).groupBy("i", "j").applyInArrow(compare, "src long, dst long")
+    return sides(blocks, pairs).groupBy("i", "j").applyInArrow(compare, "item long" if parted and not whole else "src long, dst long")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 18, least: float = 0.8) -> DataFrame:
@@ -236,17 +297,24 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 keep = pa.array([similarity(shingles(x, width), shingles(y, width)) >= least for x, y in zip(a, b)], pa.bool_())
                 yield batch.select([0, 1]).filter(keep)
 
-    def true_of(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
-        return stored(both.mapInArrow(verified, "src long, dst long"), "links")
-
-    links = true_of(likely)
+    both = likely.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
+    links = stored(both.mapInArrow(verified, "src long, dst long"), "links")
     parts = stored(connected_components(links).withColumnRenamed("node", "item"), "parts")
     # The likeliest links connect most; of all other candidates, those that would still connect something are verified too.
     parted = stored(items.join(parts, "item", "left").select(*items.columns, F.coalesce("component", "item").alias("part")), "parted")
-    rest = true_of(stored(candidates(parted, radius, least).select(*pair).distinct().join(likely, ["src", "dst"], "left_anti"), "rest"))
-    if not rest.isEmpty():
-        parts = stored(connected_components(links.unionByName(rest)).withColumnRenamed("node", "item"), "parts")
+    left = stored(candidates(parted, radius, least).distinct(), "open")
+    if not left.isEmpty():
+
+        def sets(batches):
+            for whole in batches:
+                for at in range(0, len(whole), SETS):
+                    batch = whole.slice(at, SETS)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, width).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["item", "shingles"])
+
+        known = texts.join(left, "item").mapInArrow(sets, "item long, shingles binary")
+        rest = stored(candidates(stored(known.join(parted, "item"), "sets"), radius, least), "rest")
+        if not rest.isEmpty():
+            parts = stored(connected_components(links.unionByName(rest)).withColumnRenamed("node", "item"), "parts")
 
     # Only rows of items that have a companion, or several rows, are looked at again.
     several = groups.join(parts, "item", "left").where("component IS NOT NULL OR rows > 1").select(*same, F.coalesce("component", "item").alias("component"))

@@ -113,6 +113,48 @@ def test_no_similar_pair_is_lost_among_likelier_ones(spark, monkeypatch):
     assert sorted(r.doc_id for r in near_copies.drop_similar(rows).collect()) == list(range(11))
 
 
+def test_nearly_similar_pairs_are_verified_without_becoming_rows(spark, monkeypatch):
+    # all of the 60 texts are candidates of each other, at 0.69; two are copies of 0.9 of the last and of each other
+    monkeypatch.setattr(near_copies, "summary", lambda h: (0, bytes(near_copies.PERMS)))
+    common = " ".join(f"c{j}" for j in range(200))
+    texts = [f"{common} " + " ".join(f"w{i}x{j}" for j in range(40 + min(i, 20))) for i in range(60)]
+    texts += [texts[-1] + f" more{i} words" for i in range(2)]
+    sizes, write = [], near_copies.stored
+
+    def counted(df, tag):
+        sizes.append((write(df, tag), tag))
+        return sizes[-1][0]
+
+    monkeypatch.setattr(near_copies, "stored", counted)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.drop_similar(rows).collect()) == list(range(60))
+    assert max(df.count() for df, _ in sizes) <= near_copies.FORESTS * len(texts)
+
+
+def test_true_links_connect_as_all_similar_pairs_do():
+    rng = random.Random(5)
+    base = [[rng.randint(0, 10**9) for _ in range(rng.randint(20, 60))] for _ in range(12)]
+    sets = [np.unique(np.array([rng.choice([x, x, x, x, x, x, x, x, x, rng.randint(0, 10**9)]) for x in base[i % 12]], np.uint64)) for i in range(90)]
+    n, zero = np.array([len(h) for h in sets]), np.zeros(90, np.uint64)
+    items, part, sketch = np.arange(90) + 1000, np.arange(90) // 2 * 2, np.zeros((90, near_copies.PERMS), np.uint8)
+    for side in (None, np.arange(90) % 5 == 0):
+        pairs = [(i, j) for i in range(90) for j in range(i) if near_copies.similarity(sets[i], sets[j]) >= 0.6 and (side is None or side[i] != side[j])]
+
+        def groups(links):
+            up = part.tolist()
+            for _ in range(90):
+                for i, j in links:
+                    up[i] = up[j] = min(up[i], up[j])
+                for i, p in enumerate(part.tolist()):
+                    up[i] = up[p] = min(up[i], up[p])
+            return up
+
+        src, dst = near_copies.true_links(items, n, zero, sketch, side, part, np.concatenate(sets), 64, 0.6)
+        assert groups(zip((src - 1000).tolist(), (dst - 1000).tolist())) != part.tolist()
+        assert len(src) < 45 and {(max(a, b), min(a, b)) for a, b in zip((src - 1000).tolist(), (dst - 1000).tolist())} <= set(pairs)
+        assert groups(list(zip((src - 1000).tolist(), (dst - 1000).tolist()))) == groups(pairs)
+
+
 def test_ids_meet_in_their_bin_alone(spark):
     rows = spark.createDataFrame([(i, [i] * (1 + i % 7), None, None) for i in range(200)], "doc_id long, ids array<int>, source string, cluster string")
     made = packing.sequences(rows, capacity=16, shard_rows=50)
