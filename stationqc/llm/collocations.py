@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slot_bitmap, stored
+from .common import shuffle_partitions, slot_bitmap, small_batches, stored
 
 #: Bytes of text of a chunk.
 CHUNK = 1 << 22
@@ -314,6 +314,12 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
     and quotients decimals of 38 digits, so scores are exact.  Ties of score and count go by the phrase's bytes.  Texts of any
     length are read whole, cut where pieces end.  Other columns of ``docs`` are not read.  An empty table has no phrases.
     """
+    with small_batches(docs.sparkSession):  # a chunk is a row of megabytes
+        return _mined(docs, lang_col, text_col, least, top, head)
+
+
+def _mined(docs: DataFrame, lang_col: str, text_col: str, least: int, top: int, head: int) -> DataFrame:
+    """See :func:`mine`; all that goes through Python is stored here."""
     big = lambda c: c.cast("decimal(19,0)")
     parts = stored(chunks(docs, lang_col, text_col).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     single = parts.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("a"))

@@ -6,10 +6,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stationqc.llm import collocations, top_search, whitening
+from stationqc.llm import collocations, common, top_search, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 ODD = [None, [None, 1.0, 2.0, 3.0], [math.nan, 1.0, 2.0, 3.0], [math.inf, 0.0, 0.0, 0.0], [1.0, -math.inf, 0.0, 0.0], [3e38, 0.0, 0.0, 0.0]]
@@ -158,3 +159,21 @@ def test_phrases_of_nothing_and_of_large_counts(spark):
     hi = spark.range(1).select(F.lit(10**15).alias("a"), F.lit(2 * 10**15).cast("long").alias("l"), F.lit(10**15).alias("r"))
     quotient = F.expr("(CAST(2000000 AS DECIMAL(19,0)) * CAST(a AS DECIMAL(19,0))) DIV (CAST(l AS DECIMAL(19,0)) + CAST(r AS DECIMAL(19,0)))")
     assert hi.select(quotient).first()[0] == 666_666
+
+
+def test_chunks_go_to_python_in_small_batches(spark, monkeypatch):
+    seen, write = [], collocations.stored
+
+    def sized(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    def stored(df, tag):
+        big = spark.range(0, 20, 1, 1).select(F.repeat(F.lit("abcdefghij"), 300_000).cast("binary").alias("x"))
+        seen.append(max(r.size for r in big.mapInArrow(sized, "size long").collect()))
+        return write(df, tag)
+
+    monkeypatch.setattr(collocations, "stored", stored)
+    collocations.mine(spark.createDataFrame([("en", "a b")] * 40, "lang string, text string")).collect()
+    assert seen and max(seen) < 13_000_000  # the row that passes 8 MB is the last
+    assert spark.conf.get(common.BATCH_BYTES, None) is None
