@@ -393,3 +393,10 @@ def test_incidents_are_stored_slice_by_slice(spark):
     got = made.incidents.select("station", "run_onset", "type", "ongoing", "corrected").collect()
     made.release()
     assert len(slices) > 1 and got and sorted(map(repr, got)) == sorted(map(repr, whole))
+
+
+def test_a_layer_is_one_table_or_slices(spark):
+    made = Layers(spark, "/root/testdata/sf0.001")
+    one = made._stored("one", spark.range(3))
+    assert one.count() == 3 and made._stored("two", [spark.range(3), spark.range(2)]).count() == 5
+    made.release()
