@@ -400,3 +400,45 @@ def test_a_layer_is_one_table_or_slices(spark):
     one = made._stored("one", spark.range(3))
     assert one.count() == 3 and made._stored("two", [spark.range(3), spark.range(2)]).count() == 5
     made.release()
+
+
+def _residuals(spark):
+    rng, rows = np.random.default_rng(3), []
+    for name, n in (("a", 1500), ("b", 900), ("c", 400), ("d", 700)):
+        for m in range(n):
+            gone = rng.random(6) < (1.0 if name == "d" else 0.1)
+            rows.append((name, m, *[None if g else float(np.round(x, 2)) for g, x in zip(gone, rng.normal(0, 1, 6) * (0.1, 1, 3, 0.1, 1, 3))]))
+    return spark.createDataFrame(rows, "station string, minute long, res_T double, res_P double, res_RH double, resI_T double, resI_P double, resI_RH double").repartition(7)
+
+
+def test_spatial_tables_equal_percentiles(spark):
+    rows = _residuals(spark).persist()
+    offsets = profile.spatial_offsets(rows)
+    want = offsets.join(profile.spatial_sigma(rows, offsets), "station")
+    got = profile.spatial_tables(rows)
+    assert "percentile" not in got._jdf.queryExecution().toString()
+    ordered = lambda df: df.select(*want.columns).orderBy("station").toPandas()
+    got, want = ordered(got), ordered(want)
+    assert len(got) == 4 and (got.drop(columns=[c for c in got if c.startswith("off")]).round(9).equals(want.drop(columns=[c for c in want if c.startswith("off")]).round(9)))
+    for c in ("off_T", "off_P", "off_RH"):
+        np.testing.assert_allclose(np.stack(got[c]), np.stack(want[c]), atol=1e-12)
+
+
+def test_profiles_over_all_rows_are_counts(spark, monkeypatch):
+    """Neither the one reference nor the scale gathers values in one aggregate."""
+    from stationqc.operators import selection
+
+    plans, keep = [], selection._kept
+    monkeypatch.setattr(selection, "_kept", lambda s, df: plans.append(df._jdf.queryExecution().toString()) or keep(s, df))
+    rng = np.random.default_rng(5)
+    values = np.round(rng.normal(0, 2, (700, len(features.VECTOR))), 1)
+    vector = spark.createDataFrame([("a", i, *map(float, r), i % 9 > 0) for i, r in enumerate(values)], f"station string, minute long, {', '.join(f'{c} double' for c in features.VECTOR)}, complete boolean").persist()
+    got = {r.feature: r for r in profile.feature_scale(vector).collect()}
+    full = pd.DataFrame(values, columns=features.VECTOR)[np.arange(700) % 9 > 0]
+    for c in features.VECTOR:
+        q = full[c].quantile([0.25, 0.5, 0.75]).tolist()
+        assert got[c].med == pytest.approx(q[1], abs=1e-12)
+        assert got[c].iqr == pytest.approx(max(q[2] - q[0], (full[c] - q[1]).abs().quantile(0.9) * 0.5 + 1e-3), abs=1e-12)
+    ref = profile.dsd_reference(vector).first()
+    assert list(ref) == pytest.approx([float(np.median(values[:, features.VECTOR.index(f"dsd_{v}")])) for v in ("T", "P", "RH")])
+    assert plans and not any("percentile" in p for p in plans)
