@@ -83,3 +83,19 @@ def test_the_autoencoder_stops_when_held_rows_gain_no_more_and_keeps_its_best():
     assert len(long.losses) < 80 and long.losses[-1] > min(long.losses) * (1 - 1e-4)
     held = np.clip(x, -10, 10)[np.random.default_rng(0).permutation(len(x))][:60]
     assert abs(((long._forward(held)[-1] - held) ** 2).mean() - min(long.losses)) < 1e-9
+
+
+def test_many_blocks_are_grown_in_one_stage_and_more_in_jobs(spark, monkeypatch):
+    df, x, *_ = frame(spark, 3, 300)
+    settings = {"rounds": 5, "depth": 3, "least": 10}
+    one = boosting.fit(df, NAMES, **settings)
+    seen, group = spark.sparkContext.statusTracker(), spark.sparkContext
+    jobs = []
+    for held in (boosting.HELD, 0):  # blocks in tasks; blocks in the scratch folder
+        monkeypatch.setattr(boosting, "HELD", held)
+        group.setJobGroup(f"held {held}", "trees")
+        many = boosting.fit(df, NAMES, block_rows=80, **settings)
+        jobs.append(len(seen.getJobIdsForGroup(f"held {held}")))
+        assert len(one.trees) == len(many.trees) and np.abs(one.raw(one.codes(x)) - many.raw(many.codes(x))).max() < 1e-9
+    group.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] < 10 < jobs[1]
