@@ -442,3 +442,11 @@ def test_profiles_over_all_rows_are_counts(spark, monkeypatch):
     ref = profile.dsd_reference(vector).first()
     assert list(ref) == pytest.approx([float(np.median(values[:, features.VECTOR.index(f"dsd_{v}")])) for v in ("T", "P", "RH")])
     assert plans and not any("percentile" in p for p in plans)
+
+
+def test_health_makes_no_other_pass_over_the_panel(spark):
+    from stationqc.plans import more_queries
+
+    made = Layers(spark, "/root/testdata/sf0.001")
+    assert more_queries._measured(made).count() and "features" not in made.made
+    made.release()
